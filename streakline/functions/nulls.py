@@ -28,7 +28,7 @@ def sum0(col: Column) -> Column:
 
 
 def mean(col: Column) -> Column:
-    """Aggregate: mean of an integer or decimal column, exact up to the last division."""
+    """Aggregate: mean of an integer column, exact up to the last division."""
     return ratio(F.sum(col), F.count(col))
 
 
@@ -41,6 +41,21 @@ def mean_of_ratios(col: Column) -> Column:
     return mean(col.cast("decimal(28,6)"))
 
 
+def cents(col: Column) -> Column:
+    """An amount of money as whole cents, so that adding it up is exact and cheap."""
+    return F.rint(col * 100).cast("bigint")
+
+
+def sum_money(col: Column) -> Column:
+    """Aggregate: exact sum of an amount in whole cents; 0 over nothing."""
+    return sum0(cents(col)) / F.lit(100.0)
+
+
+def mean_money(col: Column) -> Column:
+    """Aggregate: mean of an amount in whole cents, exact up to the last division."""
+    return ratio(sum_money(col), F.count(col))
+
+
 def flag(col: Column) -> Column:
     """A boolean with NULL read as false."""
     return F.coalesce(col, F.lit(False))

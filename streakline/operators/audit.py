@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streakline.functions.nulls import flag, mean, pct, ratio, sum0
+from streakline.functions.nulls import cents, flag, mean, pct, ratio, sum0, sum_money
 from streakline.operators.events import campaign_window, is_action, is_participation
 from streakline.spec import ID, CampaignSpec
 
@@ -120,19 +120,19 @@ def reward_leakage(selections: DataFrame, transactions: DataFrame) -> DataFrame:
     redeemed = (
         transactions.filter((F.col("coupon_discount") > 0) & F.col("coupon_code").isNotNull())
         .groupBy(ID, F.col("coupon_code").alias("code"))
-        .agg(F.sum("coupon_discount").alias("discount"))
+        .agg(F.sum(cents(F.col("coupon_discount"))).alias("discount_cents"))
     )
     used = selections.join(redeemed, [ID, "code"], "left")
     per_customer = used.groupBy(ID).agg(
-        F.bool_or(F.col("discount").isNotNull()).alias("redeemed"),
-        sum0(F.col("discount")).alias("discount"),
-        sum0(F.col("discount") * F.col("n_selected")).alias("discount_raw"),
+        F.bool_or(F.col("discount_cents").isNotNull()).alias("redeemed"),
+        F.sum("discount_cents").alias("once"),
+        F.sum(F.col("discount_cents") * F.col("n_selected")).alias("per_selection"),
     )
     return per_customer.agg(
         F.count(F.lit(1)).alias("customers_selected"),
         F.count_if("redeemed").alias("customers_used"),
-        sum0(F.col("discount")).alias("leakage"),
-        sum0(F.col("discount_raw")).alias("leakage_raw"),
+        (sum0(F.col("once")) / F.lit(100.0)).alias("leakage"),
+        (sum0(F.col("per_selection")) / F.lit(100.0)).alias("leakage_raw"),
     )
 
 
@@ -150,7 +150,7 @@ def bug_discount_share(
     leakage: DataFrame, transactions_in_campaign: DataFrame
 ) -> DataFrame:
     """Redeemed discount of affected customers as a share of all campaign discounts."""
-    total = transactions_in_campaign.agg(sum0(F.col("coupon_discount")).alias("total_discount"))
+    total = transactions_in_campaign.agg(sum_money(F.col("coupon_discount")).alias("total_discount"))
     return (
         leakage.select("leakage")
         .withColumn("total_discount", total.scalar())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions.dates import calendar, in_window, is_weekend, weekday
-from streakline.functions.nulls import pct, ratio, sum0
+from streakline.functions.nulls import pct, ratio, sum_money
 from streakline.operators.events import is_action, is_participation
 from streakline.spec import ID, CampaignSpec
 
@@ -127,7 +127,7 @@ def daily_orders(
         .agg(
             F.countDistinct(ID).alias("unique_customers"),
             F.count(F.lit(1)).alias("total_orders"),
-            sum0(F.col("demand")).alias("total_demand"),
+            sum_money(F.col("demand")).alias("total_demand"),
         )
         .withColumns(
             {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions.binning import engagement_segment, streak_group
-from streakline.functions.nulls import mean, mean_of_ratios, pct, ratio
+from streakline.functions.nulls import mean, mean_money, mean_of_ratios, pct, ratio
 from streakline.spec import CampaignSpec, PeriodSpec
 
 ROWS = "customers"
@@ -16,7 +16,7 @@ def impact_participants(master: DataFrame) -> DataFrame:
     """Campaign-period orders and demand of participants against the others."""
     return master.groupBy("is_participant").agg(
         mean(F.col("n_orders_during")).alias("avg_orders_during"),
-        mean(F.col("total_demand_during")).alias("avg_demand_during"),
+        mean_money(F.col("total_demand_during")).alias("avg_demand_during"),
         F.count(F.lit(1)).alias("n_customers"),
     )
 
@@ -25,7 +25,7 @@ def streak_impact(master: DataFrame) -> DataFrame:
     """Campaign-period orders and demand per streak group."""
     return master.groupBy(streak_group(F.col("max_streak")).alias("streak_group")).agg(
         mean(F.col("n_orders_during")).alias("avg_orders_during"),
-        mean(F.col("total_demand_during")).alias("avg_demand_during"),
+        mean_money(F.col("total_demand_during")).alias("avg_demand_during"),
         F.count(F.lit(1)).alias(ROWS),
     )
 
@@ -37,7 +37,7 @@ def lift_analysis(master: DataFrame) -> DataFrame:
     """
     return master.groupBy("is_participant").agg(
         mean(F.col("n_orders_during") - F.col("n_orders_pre")).alias("avg_order_lift"),
-        mean(F.col("total_demand_during") - F.col("total_demand_pre")).alias("avg_demand_lift"),
+        mean_money(F.col("total_demand_during") - F.col("total_demand_pre")).alias("avg_demand_lift"),
         F.count(F.lit(1)).alias(ROWS),
     )
 
@@ -49,7 +49,7 @@ def _daily_means(periods: PeriodSpec) -> dict[str, Column]:
     for name, n_days in days.items():
         length = F.lit(float(n_days))
         out[f"avg_orders_per_day_{name}"] = ratio(mean(F.col(f"n_orders_{name}")), length)
-        out[f"avg_demand_per_day_{name}"] = ratio(mean(F.col(f"total_demand_{name}")), length)
+        out[f"avg_demand_per_day_{name}"] = ratio(mean_money(F.col(f"total_demand_{name}")), length)
     return out
 
 
@@ -141,7 +141,7 @@ def pre_post_engagement(master: DataFrame) -> DataFrame:
                 for p in ("pre", "post")
                 for agg in (
                     mean(F.col(f"n_orders_{p}")).alias(f"avg_orders_{p}"),
-                    mean(F.col(f"total_demand_{p}")).alias(f"avg_demand_{p}"),
+                    mean_money(F.col(f"total_demand_{p}")).alias(f"avg_demand_{p}"),
                     mean_of_ratios(F.col(f"avg_order_value_{p}")).alias(f"avg_aov_{p}"),
                 )
             ],
@@ -163,7 +163,7 @@ def pre_post_change(master: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n_users"),
             mean(change("n_orders")).alias("orders_change"),
-            mean(change("total_demand")).alias("demand_change"),
+            mean_money(change("total_demand")).alias("demand_change"),
             mean_of_ratios(change("avg_order_value")).alias("aov_change"),
         )
         .orderBy(F.asc_nulls_last("engagement_segment"))

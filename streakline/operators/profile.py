@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions.dates import midnight
-from streakline.functions.nulls import flag, mean, mean_of_ratios, pct, sum0
+from streakline.functions.nulls import flag, mean, mean_money, mean_of_ratios, pct, sum_money
 from streakline.operators.events import is_action, is_participation
 from streakline.spec import ID, CampaignSpec, PeriodSpec
 
@@ -69,8 +69,8 @@ def coupon_summary(coupons: DataFrame) -> DataFrame:
     """Coupons issued per customer, over the whole coupon log."""
     return coupons.groupBy(ID).agg(
         F.count(F.lit(1)).alias("n_coupons_issued"),
-        sum0(F.col("value")).alias("total_coupon_value"),
-        mean(F.col("value")).alias("avg_coupon_value"),
+        sum_money(F.col("value")).alias("total_coupon_value"),
+        mean_money(F.col("value")).alias("avg_coupon_value"),
         F.count_if(F.col("value_type") == "Percentage").alias("n_percentage"),
         F.count_if(F.col("value_type") == "Fixed").alias("n_fixed"),
         F.min("timestamp").alias("first_coupon_date"),
@@ -105,6 +105,11 @@ def order_periods(transactions: DataFrame, periods: PeriodSpec) -> DataFrame:
     )
 
 
+def order_totals(transactions: DataFrame, periods: PeriodSpec) -> DataFrame:
+    """``order_periods`` without coupon use, for transactions without discounts."""
+    return with_uplift(order_counts(transactions, periods))
+
+
 def _by_period(transactions: DataFrame, periods: PeriodSpec, aggs) -> DataFrame:
     dated = transactions.filter(F.col("order_local_timestamp").isNotNull())
     return dated.groupBy(ID).agg(
@@ -116,8 +121,8 @@ def _order_aggs(period: str, inside: Column) -> list[Column]:
     demand = F.when(inside, F.col("demand"))
     return [
         F.count_if(inside).alias(f"n_orders_{period}"),
-        sum0(demand).alias(f"total_demand_{period}"),
-        F.coalesce(mean(demand), F.lit(0.0)).alias(f"avg_order_value_{period}"),
+        sum_money(demand).alias(f"total_demand_{period}"),
+        F.coalesce(mean_money(demand), F.lit(0.0)).alias(f"avg_order_value_{period}"),
     ]
 
 
@@ -126,7 +131,7 @@ def _coupon_aggs(period: str, inside: Column) -> list[Column]:
     with_coupon = flag(discount > 0) | F.col("coupon_code").isNotNull()
     return [
         F.count_if(inside & with_coupon).alias(f"n_coupon_orders_{period}"),
-        sum0(F.when(inside, discount)).alias(f"total_coupon_discount_{period}"),
+        sum_money(F.when(inside, discount)).alias(f"total_coupon_discount_{period}"),
     ]
 
 

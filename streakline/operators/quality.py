@@ -204,7 +204,7 @@ def customer_timeline(
                 transactions,
                 "transactions",
                 F.col("order_id").cast("string"),
-                F.col("demand").cast("decimal(18,2)").cast("string"),
+                F.format_string("%.2f", F.col("demand").cast("double")),
                 "order_local_timestamp",
             ),
         ]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streakline.functions.association import safe_corr
 from streakline.functions.dates import before
-from streakline.functions.nulls import mean, mean_of_ratios, pct, ratio, sum0
+from streakline.functions.nulls import mean, mean_of_ratios, pct, ratio, sum0, sum_money
 from streakline.functions.quantiles import exact_percentiles
 from streakline.operators.events import is_action
 from streakline.spec import ID, CampaignSpec
@@ -148,8 +148,8 @@ def historic_basket(transactions: DataFrame, day: date) -> DataFrame:
         .groupBy(ID)
         .agg(
             rows.alias("n_orders_pre"),
-            sum0(F.col("demand")).alias("total_demand_pre"),
-            ratio(sum0(F.col("demand")), rows).alias("historic_abv"),
+            sum_money(F.col("demand")).alias("total_demand_pre"),
+            ratio(sum_money(F.col("demand")), rows).alias("historic_abv"),
         )
     )
 

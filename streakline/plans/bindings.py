@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.sources.cleaning import (
@@ -49,8 +49,7 @@ ORDER_DAYS = (date(2024, 1, 1), date(2024, 1, 30))
 CHECK_DAYS = (date(2024, 1, 14), date(2024, 1, 15), date(2024, 1, 16))
 ID_PREFIX = "Customer#"
 EVENTS = ("click", "error", "purchase", "signup", "view")
-
-MONEY = "decimal(18,2)"
+TIER_CODE = "concat('TIER', k % 5 + 1)"
 
 
 @dataclass(frozen=True)
@@ -65,45 +64,36 @@ class Tables:
 
     @cached_property
     def _events(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").try_cast("int")
-        return self._read("events").withColumn("k", k)
+        """Events with the number ``k`` of their properties and the reward code it stands for."""
+        return self._read("events").selectExpr(
+            f"user_id AS {ID}",
+            "ts",
+            "event_id",
+            "event_type",
+            "value",
+            "try_cast(get_json_object(props, '$.k') AS INT) AS k",
+        )
 
     @cached_property
     def raw_log(self) -> DataFrame:
         """Event log as exported: text streaks, missing values spelled ``null``."""
-        k, kind = F.col("k"), F.col("event_type")
-        missing = F.lit("null")
-        streak = (
-            F.when(k % 13 == 12, missing)
-            .when(k % 11 == 10, F.lit("-1"))
-            .otherwise((k % 23).cast("string"))
-        )
-        action = (
-            F.when(kind == "error", "opened")
-            .when((kind == "purchase") & (k % 2 == 0), "claimed")
-            .when(kind == "purchase", "selected")
-            .otherwise(missing)
-        )
-        card = F.element_at(F.array(*map(F.lit, ("coupon", "win", "tip", "streak"))), k % 4 + 1)
-        return self._events.select(
-            F.col("user_id").alias(ID),
-            F.col("ts").alias("timestamp"),
+        return self._events.selectExpr(
+            ID,
+            "ts AS timestamp",
             "event_id",
-            F.col("event_type").alias("event"),
-            action.alias("action"),
-            streak.alias("current_streak_value"),
-            F.when(kind.isin("click", "purchase", "error"), card)
-            .otherwise(missing)
-            .alias("collectable_type"),
-            F.when((kind == "purchase") & (k % 2 == 1), self._tier_code())
-            .otherwise(missing)
-            .alias("collectable_value"),
+            "event_type AS event",
+            """CASE WHEN event_type = 'error' THEN 'opened'
+                    WHEN event_type = 'purchase' THEN if(k % 2 = 0, 'claimed', 'selected')
+                    ELSE 'null' END AS action""",
+            """CASE WHEN k % 13 = 12 THEN 'null' WHEN k % 11 = 10 THEN '-1'
+                    ELSE cast(k % 23 AS STRING) END AS current_streak_value""",
+            """if(event_type IN ('click', 'purchase', 'error'),
+                  element_at(array('coupon', 'win', 'tip', 'streak'), k % 4 + 1),
+                  'null') AS collectable_type""",
+            f"""if(event_type = 'purchase' AND k % 2 = 1, {TIER_CODE}, 'null')
+                AS collectable_value""",
         )
 
-    @staticmethod
-    def _tier_code() -> Column:
-        return F.concat(F.lit("TIER"), (F.col("k") % 5 + 1).cast("string"))
-
     @cached_property
     def log(self) -> DataFrame:
         """Clean event log. ``event`` is always filled and stays a bare column for pushdown."""
@@ -112,98 +102,87 @@ class Tables:
 
     @cached_property
     def coupons(self) -> DataFrame:
-        return self._events.filter(F.col("event_type") == "purchase").select(
-            F.col("user_id").alias(ID),
-            F.col("event_type"),
-            self._tier_code().alias("code"),
-            F.col("ts").alias("timestamp"),
-            F.col("value").cast(MONEY).alias("value"),
-            F.when(F.col("k") % 2 == 0, "Percentage").otherwise("Fixed").alias("value_type"),
+        return self._events.filter("event_type = 'purchase'").selectExpr(
+            ID,
+            "event_type",
+            f"{TIER_CODE} AS code",
+            "ts AS timestamp",
+            "value",
+            "if(k % 2 = 0, 'Percentage', 'Fixed') AS value_type",
         )
 
     @cached_property
     def orders_live(self) -> DataFrame:
-        """Orders placed during the months of the campaign, with coupon use."""
-        coupon = F.col("k") % 3 == 0
-        value = F.col("value").cast(MONEY)
-        return self._events.filter(F.col("event_type") == "purchase").select(
-            F.col("user_id").alias(ID),
-            F.col("event_id").alias("order_id"),
-            F.col("ts").alias("order_local_timestamp"),
-            value.alias("demand"),
-            F.when(coupon, F.round(value * F.lit("0.1").cast("decimal(2,1)"), 2))
-            .otherwise(F.lit(0))
-            .cast(MONEY)
-            .alias("coupon_discount"),
-            F.when(coupon, self._tier_code()).alias("coupon_code"),
+        """Orders placed during the months of the campaign, a tenth off with a coupon."""
+        return self._events.filter("event_type = 'purchase'").selectExpr(
+            ID,
+            "event_id AS order_id",
+            "ts AS order_local_timestamp",
+            "value AS demand",
+            "if(k % 3 = 0, round(rint(value * 100) / 1000D, 2), 0D) AS coupon_discount",
+            f"if(k % 3 = 0, {TIER_CODE}, NULL) AS coupon_code",
+        )
+
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return self._read("orders").selectExpr(
+            f"o_custkey AS {ID}",
+            "o_orderkey AS order_id",
+            "o_orderdate AS order_local_timestamp",
+            "o_totalprice AS demand",
+            "o_orderpriority",
         )
 
     @cached_property
     def orders_history(self) -> DataFrame:
         """The long order history, without discounts: no report but coupon use needs them."""
-        return self._read("orders").select(
-            F.col("o_custkey").alias(ID),
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").alias("order_local_timestamp"),
-            F.col("o_totalprice").cast(MONEY).alias("demand"),
-        )
+        return self._orders.drop("o_orderpriority")
 
     @cached_property
     def orders_history_discounts(self) -> DataFrame:
-        """The long order history with the discount given on the order's lines."""
-        line = F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")
+        """The long order history with the discount given on the order's lines, in whole cents."""
         per_order = (
             self._read("lineitem")
             .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(F.sum(line).alias("coupon_discount"))
-        )
-        discount = F.coalesce("coupon_discount", F.lit(0)).cast("decimal(28,4)")
-        base = self._read("orders").select(
-            F.col("o_custkey").alias(ID),
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").alias("order_local_timestamp"),
-            F.col("o_totalprice").cast(MONEY).alias("demand"),
-            "o_orderpriority",
+            .agg(
+                F.expr(
+                    """round(sum(cast(rint(l_extendedprice * 100) AS BIGINT)
+                             * cast(rint(l_discount * 100) AS BIGINT)) / 10000D, 2)"""
+                ).alias("discount")
+            )
         )
-        return base.join(per_order, "order_id", "left").select(
+        return self._orders.join(per_order, "order_id", "left").selectExpr(
             ID,
             "order_id",
             "order_local_timestamp",
             "demand",
-            discount.alias("coupon_discount"),
-            F.when(discount > 0, F.col("o_orderpriority")).alias("coupon_code"),
+            "coalesce(discount, 0D) AS coupon_discount",
+            "if(discount > 0, o_orderpriority, NULL) AS coupon_code",
         )
 
     @cached_property
     def raw_customers(self) -> DataFrame:
         """Attributes as exported: prefixed ids and numbers as text."""
-        key = F.col("c_custkey")
-        missing = F.lit("null")
-        low = 15 + 5 * (key % 18)
-        age = (
-            F.when(key % 19 == 0, missing)
-            .when(key % 23 == 0, F.lit("110-114"))
-            .otherwise(F.concat_ws("-", low.cast("string"), (low + 4).cast("string")))
-        )
+        nation = self._read("nation").select("n_nationkey", "n_name", "n_regionkey")
         return (
             self._read("customer")
-            .join(self._read("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                F.col("c_name").alias(ID),
-                F.when(key % 3 == 0, "V").when(key % 3 == 1, "M").alias("gender"),
-                age.alias("age"),
-                F.col("n_name").alias("province"),
-                F.when(key % 17 == 0, missing).otherwise((key % 12).cast("string")).alias("orders"),
-                F.element_at(F.array(*map(F.lit, ("app", "mobile", "desktop"))), (key % 3 + 1).cast("int"))
-                .alias("most_used_device"),
-                F.when(key % 2 == 0, "android").otherwise("ios").alias("most_used_platform"),
-                F.col("c_mktsegment").alias("most_popular_category"),
-                F.when(key % 31 == 0, missing)
-                .otherwise((F.col("n_regionkey") + 1).cast("string"))
-                .alias("urbanisation"),
-                F.when(key % 29 == 0, missing)
-                .otherwise((2010 + key % 15).cast("string"))
-                .alias("first_order_year"),
+            .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+            .selectExpr(
+                f"c_name AS {ID}",
+                "CASE c_custkey % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'M' END AS gender",
+                """CASE WHEN c_custkey % 19 = 0 THEN 'null' WHEN c_custkey % 23 = 0 THEN '110-114'
+                        ELSE concat(15 + 5 * (c_custkey % 18), '-', 19 + 5 * (c_custkey % 18))
+                        END AS age""",
+                "n_name AS province",
+                "if(c_custkey % 17 = 0, 'null', cast(c_custkey % 12 AS STRING)) AS orders",
+                """CASE c_custkey % 3 WHEN 0 THEN 'app' WHEN 1 THEN 'mobile' ELSE 'desktop' END
+                   AS most_used_device""",
+                "if(c_custkey % 2 = 0, 'android', 'ios') AS most_used_platform",
+                "c_mktsegment AS most_popular_category",
+                """if(c_custkey % 31 = 0, 'null', cast(n_regionkey + 1 AS STRING))
+                   AS urbanisation""",
+                """if(c_custkey % 29 = 0, 'null', cast(2010 + c_custkey % 15 AS STRING))
+                   AS first_order_year""",
             )
         )
 

@@ -285,7 +285,10 @@ def numeric_summary(t):
         "total_demand_all_time",
         "order_uplift_pct",
     ]
-    return quality.numeric_summary(_master(t), columns)
+    master = c360.customer360(
+        t.log, t.coupons, t.orders_history, t.customers, CAMPAIGN, PERIODS
+    )
+    return quality.numeric_summary(master, columns)
 
 
 @query

@@ -22,7 +22,7 @@ from streakline.operators.profile import (
     engagement_summary,
     order_counts,
     order_periods,
-    with_uplift,
+    order_totals,
 )
 from streakline.spec import ID, CampaignSpec, PeriodSpec
 
@@ -35,13 +35,18 @@ def customer360(
     campaign: CampaignSpec,
     periods: PeriodSpec,
 ) -> DataFrame:
-    """Every customer with attributes, engagement, coupons and order periods."""
+    """Every customer with attributes, engagement, coupons and order periods.
+
+    Transactions without discount columns give the order periods without
+    coupon use.
+    """
     base = all_customer_ids([log, coupons, transactions, customers])
     engagement = engagement_summary(campaign_window(log, campaign), campaign)
     with_profile = attach_profile(base, customers)
     with_engagement = attach_engagement(with_profile, engagement)
     with_coupons = attach_coupons(with_engagement, coupon_summary(coupons))
-    return attach_orders(with_coupons, order_periods(transactions, periods))
+    orders = order_periods if "coupon_discount" in transactions.columns else order_totals
+    return attach_orders(with_coupons, orders(transactions, periods))
 
 
 def engagement_of_all(
@@ -71,7 +76,7 @@ def orders_of_all(
     """
     everyone = engagement_of_all(log, coupons, transactions, customers, campaign)
     slim = everyone.select(ID, "is_participant", "max_streak")
-    return attach_orders(slim, with_uplift(order_counts(transactions, periods)))
+    return attach_orders(slim, order_totals(transactions, periods))
 
 
 def participants(log: DataFrame, campaign: CampaignSpec) -> DataFrame:

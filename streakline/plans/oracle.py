@@ -110,7 +110,8 @@ _part(
 _part(
     "line_discount",
     """SELECT l_orderkey AS order_id,
-    sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS discount
+    round(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))), 2)
+      AS discount
     FROM lineitem GROUP BY l_orderkey""",
 )
 _part(
