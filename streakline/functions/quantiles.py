@@ -61,56 +61,33 @@ def exact_percentiles(
             "_total": F.sum("_n_bucket").over(whole),
         }
     )
-    wanted = {name: _ranks(F.col("_total"), p) for name, p in probs.items()}
-    holds = F.lit(False)
-    for low, high in wanted.values():
-        for rank in (low, high):
-            holds = holds | (
-                (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n_bucket"))
-            )
-    hit = ranked.filter(holds).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_b"),
-        "_start",
-        "_total",
-    )
-
-    same_bucket = F.col("_bucket") == F.col("_b")
-    for k in keys:
-        same_bucket = same_bucket & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # zero-based ranks next to the exact position, which may lie between two rows
+    at = {name: f"((_total - 1) * {float(p)!r}D)" for name, p in probs.items()}
+    low = {name: f"floor({position})" for name, position in at.items()}
+    high = {name: f"ceil({position})" for name, position in at.items()}
+    ranks = [*low.values(), *high.values()]
+    hit = ranked.filter(
+        " OR ".join(f"({r} >= _start AND {r} < _start + _n_bucket)" for r in ranks)
+    ).selectExpr(*[f"{k} AS _k_{k}" for k in keys], "_bucket AS _b", "_start", "_total")
+
+    same_bucket = " AND ".join(["_bucket = _b", *[f"{k} <=> _k_{k}" for k in keys]])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_value")
-    positions = (
-        placed.join(hit, same_bucket)
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_begin", F.col("_end") - F.col("_n"))
+    positions = placed.join(hit, F.expr(same_bucket)).withColumn(
+        "_end", F.col("_start") + F.sum("_n").over(inside)
     )
 
-    def at(rank: Column) -> Column:
-        covers = (rank >= F.col("_begin")) & (rank < F.col("_end"))
-        return F.max(F.when(covers, F.col("_value")))
+    def value_at(rank: str, name: str) -> Column:
+        return F.expr(f"max(if({rank} >= _end - _n AND {rank} < _end, _value, NULL)) AS {name}")
 
     found = positions.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
-        *[at(low).alias(f"_lo_{name}") for name, (low, _) in wanted.items()],
-        *[at(high).alias(f"_hi_{name}") for name, (_, high) in wanted.items()],
+        *[value_at(rank, f"_lo_{name}") for name, rank in low.items()],
+        *[value_at(rank, f"_hi_{name}") for name, rank in high.items()],
     )
-    return found.select(
+    return found.selectExpr(
         *keys,
         *[
-            _interpolate(F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col("_total"), p).alias(name)
-            for name, p in probs.items()
+            f"_lo_{name} + (_hi_{name} - _lo_{name}) * ({at[name]} - {low[name]}) AS {name}"
+            for name in probs
         ],
     )
-
-
-def _position(total: Column, p: float) -> Column:
-    return (total - 1).cast("double") * F.lit(float(p))
-
-
-def _ranks(total: Column, p: float) -> tuple[Column, Column]:
-    return F.floor(_position(total, p)), F.ceil(_position(total, p))
-
-
-def _interpolate(low: Column, high: Column, total: Column, p: float) -> Column:
-    part = _position(total, p) - F.floor(_position(total, p))
-    return low + (high - low) * part

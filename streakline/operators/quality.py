@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions.dates import in_window, local_time
-from streakline.functions.nulls import mean, share
+from streakline.functions.nulls import share
 from streakline.functions.quantiles import exact_percentiles
 from streakline.operators.events import campaign_window, is_action, is_participation
 from streakline.spec import ID, CampaignSpec
 
 Tables = Mapping[str, DataFrame]
+SALTS = 16
 
 
 def _stack(rows: Sequence[DataFrame]) -> DataFrame:
@@ -185,7 +186,14 @@ def common_customers(presence: DataFrame, first: int | None = None) -> DataFrame
 def customer_timeline(
     ids: DataFrame, log: DataFrame, coupons: DataFrame, transactions: DataFrame
 ) -> DataFrame:
-    """What the given customers did, from all three tables, one row per record."""
+    """What the given customers did, from all three tables, one row per record.
+
+    This is the one join that meets raw records. Each customer's records are
+    spread over ``SALTS`` join keys, and the ids repeated for each, so a
+    customer with a third of all records does not end up in one task. The
+    salted key also gives both sides a shuffle of their own, which adaptive
+    execution needs to split what is still too large.
+    """
 
     def part(df: DataFrame, source: str, what: Column, detail: Column, ts: str) -> DataFrame:
         return df.select(
@@ -209,7 +217,11 @@ def customer_timeline(
             ),
         ]
     )
-    return records.join(ids, ID, "left_semi")
+    salted = records.withColumn(
+        "_salt", F.pmod(F.xxhash64("timestamp", "source", "what"), F.lit(SALTS)).cast("int")
+    )
+    wanted = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(wanted, [ID, "_salt"], "left_semi").drop("_salt")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -238,27 +250,17 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum and NULL count of numeric columns."""
     stats = df.agg(
         *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(c).alias("n"),
-                F.count_if(F.col(c).isNull()).alias("n_null"),
-                F.min(c).cast("double").alias("minimum"),
-                mean(F.col(c).cast("decimal(28,6)")).alias("mean"),
-                F.max(c).cast("double").alias("maximum"),
-            ).alias(c)
+            F.expr(
+                f"""struct('{c}' AS column, count({c}) AS n, count_if({c} IS NULL) AS n_null,
+                    cast(min({c}) AS DOUBLE) AS minimum, cast(max({c}) AS DOUBLE) AS maximum,
+                    try_divide(cast(sum(cast({c} AS DECIMAL(28,6))) AS DOUBLE), count({c})) AS mean
+                    ) AS {c}"""
+            )
             for c in columns
         ]
     ).select(F.inline(F.array(*columns)))
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.column", "cell.value")
+    cells = ", ".join(f"struct('{c}' AS column, cast({c} AS DOUBLE) AS value)" for c in columns)
+    long = df.select(F.expr(f"inline(array({cells}))"))
     quartiles = exact_percentiles(
         long, ["column"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )

@@ -48,8 +48,7 @@ def tier_mapping(log: DataFrame, tiers: DataFrame, spec: CampaignSpec) -> DataFr
         .agg(F.count(F.lit(1)).alias("n_selections"), F.countDistinct(ID).alias("n_customers"))
     )
     return (
-        F.broadcast(tiers)
-        .join(used, "code", "left")
+        tiers.join(used, "code", "left")
         .fillna(0, ["n_selections", "n_customers"])
         .orderBy("code")
     )

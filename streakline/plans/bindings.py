@@ -16,13 +16,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.sources.cleaning import (
-    null_scrub,
-    sanitize_streak,
-    strip_id_prefix,
-    typed_customers,
-)
-from streakline.sources.readers import reward_days, tier_table
+from streakline.plans.tables import CampaignTables
+from streakline.sources.cleaning import strip_id_prefix, typed_customers
+from streakline.sources.readers import clean_log
 from streakline.spec import ID, CampaignSpec, PeriodSpec, numbered_tiers, scheduled_rewards
 
 CAMPAIGN = CampaignSpec(
@@ -52,13 +48,23 @@ EVENTS = ("click", "error", "purchase", "signup", "view")
 TIER_CODE = "concat('TIER', k % 5 + 1)"
 
 
-@dataclass(frozen=True)
-class Tables:
+@dataclass
+class Tables(CampaignTables):
     """Lazy campaign tables over one folder."""
 
     spark: SparkSession
     folder: str
 
+    campaign = CAMPAIGN
+    launch = LAUNCH
+    first_days = FIRST_DAYS
+    periods = PERIODS
+    id_prefix = ID_PREFIX
+    event_names = EVENTS
+    order_days = ORDER_DAYS
+    check_days = CHECK_DAYS
+    reward_plan = scheduled_rewards(CAMPAIGN.start)
+
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -96,9 +102,7 @@ class Tables:
 
     @cached_property
     def log(self) -> DataFrame:
-        """Clean event log. ``event`` is always filled and stays a bare column for pushdown."""
-        nullable = ["action", "current_streak_value", "collectable_type", "collectable_value"]
-        return sanitize_streak(null_scrub(self.raw_log, nullable))
+        return clean_log(self.raw_log)
 
     @cached_property
     def coupons(self) -> DataFrame:
@@ -190,11 +194,3 @@ class Tables:
     def customers(self) -> DataFrame:
         """Clean attributes under the id type of the log."""
         return typed_customers(strip_id_prefix(self.raw_customers, ID_PREFIX, "bigint"))
-
-    @cached_property
-    def tiers(self) -> DataFrame:
-        return tier_table(self.spark, CAMPAIGN.tiers)
-
-    @cached_property
-    def rewards(self) -> DataFrame:
-        return reward_days(self.spark, scheduled_rewards(CAMPAIGN.start))

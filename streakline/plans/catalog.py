@@ -1,8 +1,8 @@
-"""Every analysis bound to the given tables, by name.
+"""Every analysis by name.
 
-Each entry takes the session and the folder of the tables, builds its plan and
-returns the lazy result. Money leaves as DOUBLE and unrounded rates with six
-decimals, so results compare across engines.
+An analysis takes the tables of a campaign, builds its plan and returns the
+lazy result. Bound to a folder of test tables, it gives doubles with six
+decimals, so that results compare across engines.
 """
 
 from __future__ import annotations
@@ -31,23 +31,15 @@ from streakline.operators import (
     timeofday,
 )
 from streakline.plans import customer360 as c360
-from streakline.plans.bindings import (
-    CAMPAIGN,
-    CHECK_DAYS,
-    EVENTS,
-    FIRST_DAYS,
-    ID_PREFIX,
-    LAUNCH,
-    ORDER_DAYS,
-    PERIODS,
-    Tables,
-)
+from streakline.plans.bindings import Tables
+from streakline.plans.tables import CampaignTables
 from streakline.sources import cleaning
 from streakline.spec import ID
 
+Analysis = Callable[[CampaignTables], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 DECIMALS = 6
-_REGISTRY: dict[str, Query] = {}
+_REGISTRY: dict[str, Analysis] = {}
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -61,25 +53,27 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+def query(build: Analysis) -> Analysis:
     """Register ``build`` under its own name."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return comparable(build(Tables(spark, folder)))
-
-    _REGISTRY[build.__name__] = run
+    _REGISTRY[build.__name__] = build
     return build
 
 
-def catalog() -> dict[str, Query]:
+def analyses() -> dict[str, Analysis]:
+    """Every analysis as a function of a campaign's tables."""
     return dict(_REGISTRY)
 
 
-def _camp(t: Tables, spec=CAMPAIGN) -> DataFrame:
-    return events.campaign_window(t.log, spec)
+def _bound(build: Analysis) -> Query:
+    return lambda spark, folder: comparable(build(Tables(spark, folder)))
 
 
-def _sources(t: Tables) -> dict[str, DataFrame]:
+def catalog() -> dict[str, Query]:
+    """Every analysis bound to the derived campaign of a folder of tables."""
+    return {name: _bound(build) for name, build in _REGISTRY.items()}
+
+
+def _sources(t: CampaignTables) -> dict[str, DataFrame]:
     return {
         "log": t.log,
         "coupons": t.coupons,
@@ -88,30 +82,6 @@ def _sources(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def _master(t: Tables) -> DataFrame:
-    return c360.customer360(
-        t.log, t.coupons, t.orders_history_discounts, t.customers, CAMPAIGN, PERIODS
-    )
-
-
-def _everyone_engaged(t: Tables) -> DataFrame:
-    return c360.engagement_of_all(t.log, t.coupons, t.orders_history, t.customers, CAMPAIGN)
-
-
-def _everyone(t: Tables) -> DataFrame:
-    return c360.orders_of_all(
-        t.log, t.coupons, t.orders_history, t.customers, CAMPAIGN, PERIODS
-    )
-
-
-def _participants(t: Tables) -> DataFrame:
-    return c360.participants(t.log, CAMPAIGN)
-
-
-def _profiles(t: Tables) -> DataFrame:
-    return c360.participant_profile(t.log, t.customers, CAMPAIGN)
-
-
 # --- sources and cleaning -------------------------------------------------
 
 
@@ -150,17 +120,17 @@ def streak_sanitize(t):
 
 @query
 def id_prefix_strip(t):
-    return cleaning.strip_id_prefix(t.raw_customers, ID_PREFIX, "bigint").select(ID, "gender", "age")
+    return cleaning.strip_id_prefix(t.raw_customers, t.id_prefix, "bigint").select(ID, "gender", "age")
 
 
 @query
 def campaign_window(t):
-    return quality.window_rows(t.log, CAMPAIGN)
+    return quality.window_rows(t.log, t.campaign)
 
 
 @query
 def tier_mapping(t):
-    return rewards.tier_mapping(t.log, t.tiers, CAMPAIGN)
+    return rewards.tier_mapping(t.log, t.tiers, t.campaign)
 
 
 # --- data quality ---------------------------------------------------------
@@ -173,7 +143,7 @@ def hourly_orders(t):
 
 @query
 def hourly_boundary(t):
-    return quality.hourly_boundary(t.orders_live, CHECK_DAYS)
+    return quality.hourly_boundary(t.orders_live, t.check_days)
 
 
 @query
@@ -194,12 +164,12 @@ def time_ranges(t):
 
 @query
 def qualifying_range(t):
-    return quality.qualifying_range(t.log, CAMPAIGN)
+    return quality.qualifying_range(t.log, t.campaign)
 
 
 @query
 def daily_events_pivot(t):
-    return quality.daily_events_pivot(t.log, EVENTS)
+    return quality.daily_events_pivot(t.log, t.event_names)
 
 
 @query
@@ -214,7 +184,7 @@ def id_summary(t):
 
 @query
 def id_prefix_share(t):
-    return quality.id_prefix_share(t.raw_customers, ID_PREFIX)
+    return quality.id_prefix_share(t.raw_customers, t.id_prefix)
 
 
 @query
@@ -264,7 +234,7 @@ def customer_timeline(t):
 
 @query
 def distinct_values(t):
-    return quality.distinct_values(_camp(t), ["event", "action"])
+    return quality.distinct_values(t.camp, ["event", "action"])
 
 
 @query
@@ -285,22 +255,19 @@ def numeric_summary(t):
         "total_demand_all_time",
         "order_uplift_pct",
     ]
-    master = c360.customer360(
-        t.log, t.coupons, t.orders_history, t.customers, CAMPAIGN, PERIODS
-    )
-    return quality.numeric_summary(master, columns)
+    return quality.numeric_summary(t.master_without_coupon_use, columns)
 
 
 @query
 def non_null_share(t):
-    camp = events.campaign_window(cleaning.null_scrub(t.raw_log, ["current_streak_value"]), CAMPAIGN)
-    return quality.non_null_share(camp, "current_streak_value", CAMPAIGN)
+    camp = events.campaign_window(cleaning.null_scrub(t.raw_log, ["current_streak_value"]), t.campaign)
+    return quality.non_null_share(camp, "current_streak_value", t.campaign)
 
 
 @query
 def duplicate_keys(t):
     return quality.duplicate_keys(
-        events.user_daily_activity(t.log, CAMPAIGN), [ID, "activity_date"]
+        events.user_daily_activity(t.log, t.campaign), [ID, "activity_date"]
     )
 
 
@@ -312,44 +279,44 @@ def duplicate_order_days(t):
 
 @query
 def join_fanout_check(t):
-    base = profile.all_customer_ids([t.log, t.coupons, t.orders_history, t.customers])
+    base = t.ids
     return quality.join_fanout_check(
         base,
         {
             "customers": t.customers,
-            "engagement": profile.engagement_summary(_camp(t), CAMPAIGN),
+            "engagement": t.engagement,
             "coupons": profile.coupon_summary(t.coupons),
-            "orders": profile.order_counts(t.orders_history, PERIODS),
+            "orders": profile.order_counts(t.orders_history, t.periods),
         },
     )
 
 
 @query
 def events_per_user(t):
-    return quality.events_per_user(events.engagement_events(t.log, CAMPAIGN))
+    return quality.events_per_user(events.engagement_events(t.log, t.campaign))
 
 
 @query
 def buyers_count(t):
-    return profile.buyers_count(_everyone(t))
+    return profile.buyers_count(t.everyone)
 
 
 @query
 def tz_compare(t):
-    return quality.tz_compare(t.log, "event_id", "timestamp", CAMPAIGN.timezone)
+    return quality.tz_compare(t.log, "event_id", "timestamp", t.campaign.timezone)
 
 
 @query
 def row_counts(t):
     return quality.row_counts(
         {
-            "engagement_summary": profile.engagement_summary(_camp(t), CAMPAIGN),
+            "engagement_summary": t.engagement,
             "coupon_summary": profile.coupon_summary(t.coupons),
-            "order_periods": profile.order_counts(t.orders_history, PERIODS),
-            "reward_selection": rewards.reward_selection(t.log, t.tiers, CAMPAIGN),
-            "engagement_events": events.engagement_events(t.log, CAMPAIGN),
-            "user_daily_activity": events.user_daily_activity(t.log, CAMPAIGN),
-            "participation_days": events.participation_days(t.log, CAMPAIGN),
+            "order_periods": profile.order_counts(t.orders_history, t.periods),
+            "reward_selection": t.selection,
+            "engagement_events": events.engagement_events(t.log, t.campaign),
+            "user_daily_activity": events.user_daily_activity(t.log, t.campaign),
+            "participation_days": events.participation_days(t.log, t.campaign),
         }
     )
 
@@ -359,32 +326,32 @@ def row_counts(t):
 
 @query
 def funnel_independent(t):
-    return funnel.funnel_independent(_camp(t), CAMPAIGN)
+    return funnel.funnel_independent(t.camp, t.campaign)
 
 
 @query
 def funnel_sequential(t):
-    return funnel.funnel_sequential(_camp(t), CAMPAIGN)
+    return funnel.funnel_sequential(t.camp, t.campaign)
 
 
 @query
 def funnel_conversion(t):
-    return funnel.funnel_conversion(_camp(t), CAMPAIGN)
+    return funnel.funnel_conversion(t.camp, t.campaign)
 
 
 @query
 def customer_journey(t):
-    return funnel.customer_journey(_camp(t), CAMPAIGN)
+    return funnel.customer_journey(t.camp, t.campaign)
 
 
 @query
 def funnel_independent_launch(t):
-    return funnel.funnel_independent(_camp(t, LAUNCH), LAUNCH)
+    return funnel.funnel_independent(events.campaign_window(t.log, t.launch), t.launch)
 
 
 @query
 def funnel_conversion_launch(t):
-    return funnel.funnel_conversion(_camp(t, LAUNCH), LAUNCH)
+    return funnel.funnel_conversion(events.campaign_window(t.log, t.launch), t.launch)
 
 
 # --- customer 360 ---------------------------------------------------------
@@ -392,12 +359,12 @@ def funnel_conversion_launch(t):
 
 @query
 def all_customer_ids(t):
-    return profile.all_customer_ids([t.log, t.coupons, t.orders_history, t.customers])
+    return t.ids
 
 
 @query
 def engagement_summary(t):
-    return profile.engagement_summary(_camp(t), CAMPAIGN)
+    return t.engagement
 
 
 @query
@@ -407,29 +374,29 @@ def coupon_summary(t):
 
 @query
 def order_periods(t):
-    return profile.order_periods(t.orders_history_discounts, PERIODS)
+    return profile.order_periods(t.orders_history_discounts, t.periods)
 
 
 @query
 def customer360(t):
-    return _master(t)
+    return t.master
 
 
 @query
 def customer_info_match(t):
-    base = profile.all_customer_ids([t.log, t.coupons, t.orders_history, t.customers])
+    base = t.ids
     return c360.known_share(profile.attach_profile(base, t.customers))
 
 
 @query
 def participant_behaviour(t):
-    return profile.participant_behaviour(_everyone(t))
+    return profile.participant_behaviour(t.everyone)
 
 
 @query
 def sample_profiles(t):
     return profile.sample_profiles(
-        _everyone(t), ["is_participant", "max_streak", "n_orders_pre", "n_orders_post"], n=10, seed=7
+        t.everyone, ["is_participant", "max_streak", "n_orders_pre", "n_orders_post"], n=10, seed=7
     )
 
 
@@ -437,7 +404,7 @@ def sample_profiles(t):
 
 
 def _daily_opens(t):
-    return daily.daily_open_rate(_camp(t), CAMPAIGN)
+    return daily.daily_open_rate(t.camp, t.campaign)
 
 
 @query
@@ -457,33 +424,33 @@ def largest_drop(t):
 
 @query
 def card_performance(t):
-    return daily.card_performance(_camp(t), CAMPAIGN)
+    return daily.card_performance(t.camp, t.campaign)
 
 
 @query
 def best_card(t):
-    return daily.best_card(daily.card_performance(_camp(t), CAMPAIGN))
+    return daily.best_card(daily.card_performance(t.camp, t.campaign))
 
 
 @query
 def daily_orders(t):
-    return daily.daily_orders(t.orders_live, CAMPAIGN, *ORDER_DAYS)
+    return daily.daily_orders(t.orders_live, t.campaign, *t.order_days)
 
 
 @query
 def daily_activity(t):
-    return daily.daily_activity(t.log, CAMPAIGN, *ORDER_DAYS)
+    return daily.daily_activity(t.log, t.campaign, *t.order_days)
 
 
 @query
 def reward_calendar(t):
-    return daily.reward_response(t.rewards, daily.daily_activity(t.log, CAMPAIGN, *ORDER_DAYS))
+    return daily.reward_response(t.rewards, daily.daily_activity(t.log, t.campaign, *t.order_days))
 
 
 def _daily_full(t):
     return daily.daily_full(
-        daily.daily_orders(t.orders_live, CAMPAIGN, *ORDER_DAYS),
-        daily.daily_activity(t.log, CAMPAIGN, *ORDER_DAYS),
+        daily.daily_orders(t.orders_live, t.campaign, *t.order_days),
+        daily.daily_activity(t.log, t.campaign, *t.order_days),
         t.rewards,
     )
 
@@ -506,60 +473,56 @@ def scale_factor(t):
 # --- streak levels and card opens ----------------------------------------
 
 
-def _max_streaks(t):
-    return streaks.user_max_streak(_camp(t), CAMPAIGN)
-
-
 @query
 def user_max_streak(t):
-    return _max_streaks(t)
+    return t.max_streaks
 
 
 @query
 def ultimate_streak(t):
-    return streaks.ultimate_streak(_max_streaks(t), CAMPAIGN)
+    return streaks.ultimate_streak(t.max_streaks, t.campaign)
 
 
 @query
 def long_streak_share(t):
-    return streaks.long_streak_share(_max_streaks(t), 7)
+    return streaks.long_streak_share(t.max_streaks, 7)
 
 
 @query
 def streak_distribution(t):
-    return streaks.distribution(_max_streaks(t), "max_streak")
+    return streaks.distribution(t.max_streaks, "max_streak")
 
 
 @query
 def streak_stats(t):
-    return streaks.streak_stats(_max_streaks(t))
+    return streaks.streak_stats(t.max_streaks)
 
 
 @query
 def streak_stats_all_customers(t):
-    return streaks.streak_stats(_everyone_engaged(t)).withColumnRenamed(
+    return streaks.streak_stats(t.everyone_engaged).withColumnRenamed(
         "total_participants", "total_customers"
     )
 
 
 @query
 def opens_distribution(t):
-    return streaks.distribution(_participants(t), "n_opens")
+    return streaks.distribution(t.participants, "n_opens")
 
 
 @query
 def opens_stats(t):
-    return streaks.opens_stats(_participants(t))
+    return streaks.opens_stats(t.participants)
 
 
 @query
 def histogram_opens(t):
-    return streaks.histogram(_participants(t), "n_opens", 5)
+    return streaks.histogram(t.participants, "n_opens", 5)
 
 
 @query
 def histogram_streak(t):
-    return streaks.histogram(_max_streaks(t), "max_streak", 1)
+    return streaks.histogram(t.max_streaks, "max_streak", 1)
 
 
 # --- segmentation ---------------------------------------------------------
@@ -568,7 +531,7 @@ def histogram_streak(t):
 @query
 def segment_gender(t):
     return segments.segment_engagement(
-        _profiles(t), {"gender_clean": binning.gender_label(F.col("gender"))}, digits=2
+        t.profiles, {"gender_clean": binning.gender_label(F.col("gender"))}, digits=2
     )
 
 
@@ -576,7 +539,7 @@ def segment_gender(t):
 def segment_age(t):
     unknown = "Unknown / Error"
     return segments.segment_engagement(
-        _profiles(t),
+        t.profiles,
         {"age_group": binning.age_group(F.col("age"), unknown)},
         with_median=True,
         levels=[*binning.AGE_LEVELS, unknown],
@@ -585,13 +548,13 @@ def segment_age(t):
 
 @query
 def age_recode_audit(t):
-    return segments.age_recode_audit(_profiles(t))
+    return segments.age_recode_audit(t.profiles)
 
 
 @query
 def segment_age_gender(t):
     return segments.segment_engagement(
-        _profiles(t),
+        t.profiles,
         {
             "age_group": binning.age_group(F.col("age")),
             "gender_clean": binning.gender_label(F.col("gender")),
@@ -601,7 +564,7 @@ def segment_age_gender(t):
 
 
 def _by_attribute(t, column):
-    return segments.segment_engagement(_profiles(t), {column: F.col(column)}, with_median=True)
+    return segments.segment_engagement(t.profiles, {column: F.col(column)}, with_median=True)
 
 
 @query
@@ -612,7 +575,7 @@ def segment_device(t):
 @query
 def segment_urban(t):
     return segments.segment_engagement(
-        _profiles(t), {"urban_level": binning.urban_level(F.col("urbanisation"))}, with_median=True
+        t.profiles, {"urban_level": binning.urban_level(F.col("urbanisation"))}, with_median=True
     )
 
 
@@ -634,91 +597,82 @@ def segment_province(t):
 @query
 def segment_tenure(t):
     return segments.segment_engagement(
-        _profiles(t), {"tenure": binning.tenure(F.col("first_order_year"))}
+        t.profiles, {"tenure": binning.tenure(F.col("first_order_year"))}
     )
 
 
 @query
 def segment_orders(t):
-    with_orders = c360.participant_orders(t.log, t.orders_history, CAMPAIGN, PERIODS)
     return segments.segment_engagement(
-        with_orders, {"order_segment": binning.order_level(F.col("n_orders_pre"))}
+        t.participant_orders, {"order_segment": binning.order_level(F.col("n_orders_pre"))}
     )
 
 
 @query
 def segment_streak(t):
     return segments.segment_engagement(
-        _participants(t), {"streak_segment": binning.streak_level(F.col("max_streak"))}
+        t.participants, {"streak_segment": binning.streak_level(F.col("max_streak"))}
     )
 
 
 # --- reward selection -----------------------------------------------------
 
 
-def _selection(t):
-    return rewards.reward_selection(t.log, t.tiers, CAMPAIGN)
-
-
-def _chosen(t):
-    return rewards.selectors(_selection(t), profile.engagement_summary(_camp(t), CAMPAIGN))
-
-
 @query
 def reward_selection(t):
-    return _selection(t)
+    return t.selection
 
 
 @query
 def selection_vs_streak(t):
-    return rewards.selection_vs_streak(_chosen(t))
+    return rewards.selection_vs_streak(t.chosen)
 
 
 @query
 def corr_tier_streak(t):
-    return rewards.corr_tier_streak(_chosen(t))
+    return rewards.corr_tier_streak(t.chosen)
 
 
 @query
 def edge_cases(t):
-    return rewards.edge_cases(_chosen(t))
+    return rewards.edge_cases(t.chosen)
 
 
 @query
 def crosstab_max_tier(t):
-    return rewards.streak_tier_crosstab(_chosen(t), "max_streak", CAMPAIGN)
+    return rewards.streak_tier_crosstab(t.chosen, "max_streak", t.campaign)
 
 
 @query
 def selection_totals(t):
     return rewards.selection_totals(
-        rewards.streak_tier_crosstab(_chosen(t), "max_streak", CAMPAIGN)
+        rewards.streak_tier_crosstab(t.chosen, "max_streak", t.campaign)
     )
 
 
 @query
 def crosstab_final_tier(t):
-    return rewards.streak_tier_crosstab(_chosen(t), "final_streak", CAMPAIGN)
+    return rewards.streak_tier_crosstab(t.chosen, "final_streak", t.campaign)
 
 
 @query
 def tier_logged_streak(t):
-    return rewards.tier_logged_streak(t.log, CAMPAIGN)
+    return rewards.tier_logged_streak(t.log, t.campaign)
 
 
 @query
 def down_selection(t):
-    return rewards.down_selection(_chosen(t))
+    return rewards.down_selection(t.chosen)
 
 
 @query
 def historic_basket(t):
-    return rewards.historic_basket(t.orders_history, PERIODS.start)
+    return rewards.historic_basket(t.orders_history, t.periods.start)
 
 
 def _chosen_with_basket(t):
     return rewards.selectors_with_basket(
-        _chosen(t), rewards.historic_basket(t.orders_history, PERIODS.start)
+        t.chosen, rewards.historic_basket(t.orders_history, t.periods.start)
     )
 
 
@@ -735,7 +689,7 @@ def basket_by_tier(t):
 @query
 def basket_by_downselect(t):
     return rewards.basket_by_downselect(
-        c360.selectors_with_orders(_chosen(t), t.orders_history, PERIODS)
+        c360.selectors_with_orders(t.chosen, t.orders_history, t.periods)
     )
 
 
@@ -744,51 +698,51 @@ def basket_by_downselect(t):
 
 @query
 def impact_participants(t):
-    return impact.impact_participants(_everyone(t))
+    return impact.impact_participants(t.everyone)
 
 
 @query
 def corr_streak_orders(t):
-    return statistics.corr_streak_orders(_everyone(t))
+    return statistics.corr_streak_orders(t.everyone)
 
 
 @query
 def streak_impact(t):
-    return impact.streak_impact(_everyone(t))
+    return impact.streak_impact(t.everyone)
 
 
 @query
 def lift_analysis(t):
-    return impact.lift_analysis(_everyone(t))
+    return impact.lift_analysis(t.everyone)
 
 
 @query
 def ols_streak_orders(t):
-    return statistics.ols(_everyone(t), "n_orders_during", "max_streak")
+    return statistics.ols(t.everyone, "n_orders_during", "max_streak")
 
 
 @query
 def ols_streak_demand(t):
-    return statistics.ols(_everyone(t), "total_demand_during", "max_streak")
+    return statistics.ols(t.everyone, "total_demand_during", "max_streak")
 
 
 @query
 def ols_streak_orders_p_values(t):
-    return statistics.ols_p_values(_everyone(t), "n_orders_during", "max_streak")
+    return statistics.ols_p_values(t.everyone, "n_orders_during", "max_streak")
 
 
 @query
 def ols_streak_demand_p_values(t):
-    return statistics.ols_p_values(_everyone(t), "total_demand_during", "max_streak")
+    return statistics.ols_p_values(t.everyone, "total_demand_during", "max_streak")
 
 
 @query
 def period_rates(t):
-    return impact.period_rates(_everyone(t), PERIODS)
+    return impact.period_rates(t.everyone, t.periods)
 
 
 def _group_rates(t):
-    return impact.period_rates_by_group(_everyone(t), PERIODS)
+    return impact.period_rates_by_group(t.everyone, t.periods)
 
 
 @query
@@ -798,7 +752,7 @@ def period_rates_by_group(t):
 
 @query
 def campaign_lift(t):
-    return impact.campaign_lift(_everyone(t), PERIODS)
+    return impact.campaign_lift(t.everyone, t.periods)
 
 
 @query
@@ -808,28 +762,28 @@ def participant_ratio(t):
 
 @query
 def incremental_impact(t):
-    return impact.incremental_impact(_group_rates(t), CAMPAIGN)
+    return impact.incremental_impact(_group_rates(t), t.campaign)
 
 
 @query
 def pre_post_engagement(t):
-    return impact.pre_post_engagement(_everyone(t))
+    return impact.pre_post_engagement(t.everyone)
 
 
 @query
 def pre_post_change(t):
-    return impact.pre_post_change(_everyone(t))
+    return impact.pre_post_change(t.everyone)
 
 
 @query
 def anova_streak_orders(t):
-    grouped = _everyone(t).withColumn("streak_group", binning.streak_group(F.col("max_streak")))
+    grouped = t.everyone.withColumn("streak_group", binning.streak_group(F.col("max_streak")))
     return statistics.anova(grouped, "streak_group", "n_orders_during")
 
 
 @query
 def chi_square_participation_buying(t):
-    flags = _everyone(t).select("is_participant", (F.col("n_orders_during") > 0).alias("bought"))
+    flags = t.everyone.select("is_participant", (F.col("n_orders_during") > 0).alias("bought"))
     return statistics.chi_square(flags, "is_participant", "bought")
 
 
@@ -838,186 +792,170 @@ def chi_square_participation_buying(t):
 
 @query
 def engagement_events(t):
-    return events.engagement_events(t.log, CAMPAIGN)
+    return events.engagement_events(t.log, t.campaign)
 
 
 @query
 def cohort_table(t):
-    return retention.cohort_table(t.log, CAMPAIGN)
+    return retention.cohort_table(t.log, t.campaign)
 
 
 @query
 def user_daily_activity(t):
-    return events.user_daily_activity(t.log, CAMPAIGN)
-
-
-def _lifecycle(t):
-    return retention.retention_lifecycle(t.log, CAMPAIGN)
+    return events.user_daily_activity(t.log, t.campaign)
 
 
 @query
 def retention_lifecycle(t):
-    return _lifecycle(t)
+    return t.lifecycle
 
 
 @query
 def cohort_sizes(t):
-    return retention.cohort_sizes(retention.cohort_table(t.log, CAMPAIGN))
+    return retention.cohort_sizes(retention.cohort_table(t.log, t.campaign))
 
 
 @query
 def cohort_retention(t):
-    return retention.cohort_retention(_lifecycle(t))
+    return retention.cohort_retention(t.lifecycle)
 
 
 @query
 def cohort_retention_full(t):
-    return retention.cohort_retention(_lifecycle(t), horizon=CAMPAIGN.days)
+    return retention.cohort_retention(t.lifecycle, horizon=t.campaign.days)
 
 
 @query
 def retention_overall(t):
-    return retention.retention_overall(_lifecycle(t))
+    return retention.retention_overall(t.lifecycle)
 
 
 @query
 def retention_by_segment(t):
-    return retention.retention_by_segment(_lifecycle(t), t.customers)
+    return retention.retention_by_segment(t.lifecycle, t.customers)
 
 
 # --- time of day ----------------------------------------------------------
 
 
-def _local(t):
-    return timeofday.local_time_events(_camp(t), CAMPAIGN)
-
-
 @query
 def local_time_events(t):
-    return _local(t)
+    return t.local
 
 
 @query
 def hourly_distribution(t):
-    return timeofday.hourly_distribution(_local(t))
+    return timeofday.hourly_distribution(t.local)
 
 
 @query
 def time_buckets(t):
-    return timeofday.time_buckets(_local(t))
+    return timeofday.time_buckets(t.local)
 
 
 @query
 def peak_hours(t):
-    return timeofday.peak_hours(timeofday.hourly_distribution(_local(t)))
+    return timeofday.peak_hours(timeofday.hourly_distribution(t.local))
 
 
 @query
 def weekday_hour_share(t):
-    return timeofday.weekday_hour_share(_local(t))
+    return timeofday.weekday_hour_share(t.local)
 
 
 @query
 def opens_day_hour(t):
-    return timeofday.opens_day_hour(_local(t))
+    return timeofday.opens_day_hour(t.local)
 
 
 # --- streak rebuilding ----------------------------------------------------
 
 
-def _flags(t, spec=CAMPAIGN):
+def _flags(t, spec):
     return streaks.rebuild_flags(events.participation_days(t.log, spec))
 
 
 @query
 def streak_gaps(t):
-    return streaks.streak_gaps(events.participation_days(t.log, CAMPAIGN))
+    return streaks.streak_gaps(events.participation_days(t.log, t.campaign))
 
 
 @query
 def rebuild_flags(t):
-    return _flags(t)
+    return _flags(t, t.campaign)
 
 
 @query
 def rebuild_segments(t):
-    return streaks.rebuild_segments(_flags(t))
+    return streaks.rebuild_segments(_flags(t, t.campaign))
 
 
 @query
 def rebuild_summary(t):
-    return streaks.rebuild_summary(_flags(t))
+    return streaks.rebuild_summary(_flags(t, t.campaign))
 
 
 @query
 def rebuild_flags_first_days(t):
-    return _flags(t, FIRST_DAYS)
+    return _flags(t, t.first_days)
 
 
 @query
 def rebuild_segments_first_days(t):
-    return streaks.rebuild_segments(_flags(t, FIRST_DAYS))
+    return streaks.rebuild_segments(_flags(t, t.first_days))
 
 
 @query
 def rebuild_summary_first_days(t):
-    return streaks.rebuild_summary(_flags(t, FIRST_DAYS))
+    return streaks.rebuild_summary(_flags(t, t.first_days))
 
 
 # --- streak audit and leakage --------------------------------------------
 
 
-def _gaps(t):
-    return audit.streak_gap_analysis(audit.streak_audit(t.log, CAMPAIGN))
-
-
 @query
 def streak_audit(t):
-    return audit.streak_audit(t.log, CAMPAIGN)
+    return audit.streak_audit(t.log, t.campaign)
 
 
 @query
 def streak_gap_analysis(t):
-    return _gaps(t)
+    return t.gaps
 
 
 @query
 def streak_inconsistency(t):
-    return audit.streak_inconsistency(_gaps(t))
+    return audit.streak_inconsistency(t.gaps)
 
 
 @query
 def streak_inconsistent_users(t):
-    return audit.customer_inconsistency(_gaps(t))
+    return audit.customer_inconsistency(t.gaps)
 
 
 @query
 def streak_inconsistent_share(t):
-    return audit.inconsistent_customer_share(_gaps(t))
+    return audit.inconsistent_customer_share(t.gaps)
 
 
 @query
 def streak_extra_levels(t):
-    return audit.streak_extra_levels(_gaps(t))
-
-
-def _affected(t):
-    return audit.affected_selections(t.log, _gaps(t), CAMPAIGN)
+    return audit.streak_extra_levels(t.gaps)
 
 
 @query
 def reward_leakage(t):
-    return audit.reward_leakage(_affected(t), t.orders_live)
+    return audit.reward_leakage(t.affected, t.orders_live)
 
 
 @query
 def potential_loss(t):
-    return audit.potential_loss(_affected(t), t.tiers)
+    return audit.potential_loss(t.affected, t.tiers)
 
 
 @query
 def bug_discount_share(t):
-    in_campaign = in_window(t.orders_live, "order_local_timestamp", CAMPAIGN.start, CAMPAIGN.end)
+    in_campaign = in_window(t.orders_live, "order_local_timestamp", t.campaign.start, t.campaign.end)
     return audit.bug_discount_share(
-        audit.reward_leakage(_affected(t), t.orders_live), in_campaign
+        audit.reward_leakage(t.affected, t.orders_live), in_campaign
     )

@@ -13,6 +13,7 @@ from streakline.sources.cleaning import (
     normalize_headers,
     null_scrub,
     sanitize_streak,
+    string_columns,
     strip_id_prefix,
     typed_customers,
 )
@@ -48,10 +49,24 @@ def read_table(spark: SparkSession, path: str, ddl: str, fmt: str = "csv") -> Da
 def read_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """App event log, scrubbed and with a numeric streak.
 
-    ``event_id`` orders events with equal timestamps; a log without it leaves
-    such ties to the remaining columns.
+    ``event_id`` orders events with equal timestamps. A log without it leaves
+    the order of such events open.
     """
-    return sanitize_streak(null_scrub(read_table(spark, path, schemas.LOG, fmt)))
+    return clean_log(read_raw_log(spark, path, fmt))
+
+
+def read_raw_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """App event log as exported."""
+    return read_table(spark, path, schemas.LOG, fmt)
+
+
+def clean_log(raw: DataFrame) -> DataFrame:
+    """Missing markers as NULL and the streak as a number.
+
+    ``event`` stays as it is: every event has a kind, and a bare column is what
+    lets parquet skip row groups by it.
+    """
+    return sanitize_streak(null_scrub(raw, [c for c in string_columns(raw) if c != "event"]))
 
 
 def read_coupons(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -66,9 +81,12 @@ def read_customers(
     spark: SparkSession, path: str, fmt: str = "csv", id_prefix: str = ""
 ) -> DataFrame:
     """Customer attributes with the tenant prefix taken off the id."""
-    return typed_customers(
-        strip_id_prefix(read_table(spark, path, schemas.CUSTOMERS, fmt), id_prefix)
-    )
+    return typed_customers(strip_id_prefix(read_raw_customers(spark, path, fmt), id_prefix))
+
+
+def read_raw_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Customer attributes as exported, numbers still as text."""
+    return read_table(spark, path, schemas.CUSTOMERS, fmt)
 
 
 def tier_table(spark: SparkSession, tiers: Sequence[RewardTier]) -> DataFrame:

@@ -65,6 +65,7 @@ def test_csv_log(spark, tmp_path):
     assert (got[0]["current_streak_value"], got[1]["current_streak_value"]) == (3, 0)
     assert got[1]["timestamp"] is None and got[1]["collectable_type"] is None
     assert got[0]["event_id"] is None and got[0]["collectable_value"] is None
+    assert got[0]["event"] == "participate"
 
 
 def test_csv_coupons_and_transactions(spark, tmp_path):

@@ -5,8 +5,9 @@ from datetime import date, datetime, timedelta
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
-from streakline.operators import audit, daily, events, profile, retention, rewards, streaks
+from streakline.operators import audit, daily, events, profile, quality, retention, rewards, streaks
 from streakline.sources.readers import tier_table
 from streakline.spec import ID, CampaignSpec, numbered_tiers
 
@@ -138,3 +139,31 @@ def test_leakage_with_a_hot_customer(spark, log, data):
     cents = [round(o[4] * 100) for o in orders]
     assert all(c == o[4] * 100 for c, o in zip(cents, orders))
     assert got["leakage"] == pytest.approx(once) and got["leakage_raw"] == pytest.approx(raw)
+
+
+def test_timeline_spreads_a_hot_customer(spark, log, data):
+    ids = spark.createDataFrame([("hot",), ("u1",), ("absent",)], f"{ID} STRING")
+    coupons = spark.createDataFrame(
+        [("hot", "issued", "R1", datetime(2024, 3, 22)), ("u2", "issued", "R1", datetime(2024, 3, 22))],
+        f"{ID} STRING, event_type STRING, code STRING, timestamp TIMESTAMP_NTZ",
+    )
+    txn = spark.createDataFrame(
+        [("u1", "o1", datetime(2024, 3, 23), 1.5)],
+        f"{ID} STRING, order_id STRING, order_local_timestamp TIMESTAMP_NTZ, demand DOUBLE",
+    )
+    got = quality.customer_timeline(ids, log, coupons, txn)
+    want = Counter((r[1], "log", r[3], r[4], r[2]) for r in data if r[1] in ("hot", "u1"))
+    want["hot", "coupons", "issued", "R1", datetime(2024, 3, 22)] += 1
+    want["u1", "transactions", "o1", "1.50", datetime(2024, 3, 23)] += 1
+    assert Counter(map(tuple, got.collect())) == want
+
+    # without broadcasts, the hot customer's records meet the ids in several partitions
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = quality.customer_timeline(ids, log, coupons, txn).filter(f"{ID} = 'hot'")
+        assert spread.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
