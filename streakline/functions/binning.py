@@ -7,17 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels and bounds of the report segments.
-AGE_LEVELS = ("15-24", "25-34", "35-44", "45-54", "55-64", "65+")
-AGE_UPPER = (24, 34, 44, 54, 64)
+# Codes, bounds and labels of the report segments. Bounds are the
+# highest value of each bin; the last label is open-ended.
 FEMALE = ("V", "v", "Vrouw")
 MALE = ("M", "m", "Man")
-NIGHT, MORNING, AFTERNOON, EVENING = (
-    "Night (00-05)",
-    "Morning (06-11)",
-    "Afternoon (12-17)",
-    "Evening (18-23)",
+AGE_RANGE = (15, 99)
+AGE_BOUNDS = (24, 34, 44, 54, 64)
+AGE_LEVELS = ("15-24", "25-34", "35-44", "45-54", "55-64", "65+")
+URBAN_BOUNDS = (2, 3)
+URBAN_LEVELS = ("Low (rural/suburban)", "Medium", "High (urban)")
+TENURE_BOUNDS = (2015, 2022)
+TENURE_LEVELS = ("Legacy Loyalists (≤2015)", "Established (2016-2022)", "New (2023-2024)")
+ORDER_BOUNDS = (1, 5)
+ORDER_LEVELS = ("Low (0-1)", "Medium (2-5)", "High (6+)")
+STREAK_BOUNDS = (1, 5)
+STREAK_LEVELS = ("Low (1 day)", "Medium (2-5 days)", "High (6+ days)")
+GROUP_BOUNDS = (5, 15)
+GROUP_LEVELS = ("Low engagement", "Medium engagement", "High engagement")
+SEGMENT_BOUNDS = (1, 5, 14)
+SEGMENT_LEVELS = (
+    "One-day users",
+    "Low engagement",
+    "Medium engagement",
+    "High engagement (loyal core)",
 )
+HOUR_BOUNDS = (5, 11, 17)
+HOUR_LEVELS = ("Night (00-05)", "Morning (06-11)", "Afternoon (12-17)", "Evening (18-23)")
 
 
 def upper_bins(value: Column, bounds: Sequence[int], labels: Sequence[str]) -> Column:
@@ -41,9 +56,9 @@ def age_lower(band: Column) -> Column:
 
 
 def age_group(band: Column, unknown: str = "Unknown") -> Column:
-    """Report age group; bands outside 15-99 and unreadable ones are ``unknown``."""
+    """Report age group; bands out of range and unreadable ones are ``unknown``."""
     low = age_lower(band)
-    return F.when(low.between(15, 99), upper_bins(low, AGE_UPPER, AGE_LEVELS)).otherwise(unknown)
+    return F.when(low.between(*AGE_RANGE), upper_bins(low, AGE_BOUNDS, AGE_LEVELS)).otherwise(unknown)
 
 
 def age_audit(band: Column) -> Column:
@@ -56,50 +71,37 @@ def age_audit(band: Column) -> Column:
 
 
 def urban_level(urbanisation: Column) -> Column:
-    return F.coalesce(
-        upper_bins(urbanisation, (2, 3), ("Low (rural/suburban)", "Medium", "High (urban)")),
-        F.lit("Unknown"),
-    )
+    return F.coalesce(upper_bins(urbanisation, URBAN_BOUNDS, URBAN_LEVELS), F.lit("Unknown"))
 
 
 def tenure(first_order_year: Column) -> Column:
-    return F.coalesce(
-        upper_bins(
-            first_order_year,
-            (2015, 2022),
-            ("Legacy Loyalists (≤2015)", "Established (2016-2022)", "New (2023-2024)"),
-        ),
-        F.lit("Unknown"),
-    )
+    return F.coalesce(upper_bins(first_order_year, TENURE_BOUNDS, TENURE_LEVELS), F.lit("Unknown"))
 
 
 def order_level(n_orders: Column) -> Column:
-    return upper_bins(n_orders, (1, 5), ("Low (0-1)", "Medium (2-5)", "High (6+)"))
+    return upper_bins(n_orders, ORDER_BOUNDS, ORDER_LEVELS)
 
 
 def streak_level(max_streak: Column) -> Column:
-    return upper_bins(max_streak, (1, 5), ("Low (1 day)", "Medium (2-5 days)", "High (6+ days)"))
+    return upper_bins(max_streak, STREAK_BOUNDS, STREAK_LEVELS)
 
 
 def streak_group(max_streak: Column) -> Column:
     """Engagement group of any customer; a streak of 0 counts as low engagement."""
     return F.when(max_streak == 1, "One-day users").otherwise(
-        upper_bins(max_streak, (5, 15), ("Low engagement", "Medium engagement", "High engagement"))
+        upper_bins(max_streak, GROUP_BOUNDS, GROUP_LEVELS)
     )
 
 
 def engagement_segment(is_participant: Column, max_streak: Column) -> Column:
     """Engagement segment; NULL for a participant whose logged streak never reached 1."""
-    banded = upper_bins(
-        max_streak,
-        (1, 5, 14),
-        ("One-day users", "Low engagement", "Medium engagement", "High engagement (loyal core)"),
+    return F.when(~is_participant, "Non-participants").when(
+        max_streak >= 1, upper_bins(max_streak, SEGMENT_BOUNDS, SEGMENT_LEVELS)
     )
-    return F.when(~is_participant, "Non-participants").when(max_streak >= 1, banded)
 
 
 def day_part(hour: Column) -> Column:
-    return upper_bins(hour, (5, 11, 17), (NIGHT, MORNING, AFTERNOON, EVENING))
+    return upper_bins(hour, HOUR_BOUNDS, HOUR_LEVELS)
 
 
 def bin_centre(value: Column, width: int) -> Column:
@@ -108,11 +110,7 @@ def bin_centre(value: Column, width: int) -> Column:
     A value on an edge belongs to the lower bin, as histogram bins are closed
     on the right.
     """
-    return F.ceil(ratio_to_width(value, width) - 0.5) * width
-
-
-def ratio_to_width(value: Column, width: int) -> Column:
-    return value.cast("double") / F.lit(float(width))
+    return F.ceil(value.cast("double") / F.lit(float(width)) - 0.5) * width
 
 
 def level_rank(label: Column, levels: Sequence[str]) -> Column:

@@ -14,6 +14,7 @@ from streakline.functions.nulls import flag, pct, ratio
 from streakline.operators.events import is_participation
 from streakline.spec import ID, CampaignSpec
 
+# Names of the rebuild behaviours.
 ONE_DAY = "One-Day Users (No Streak)"
 CONTINUOUS = "Continuous Users (No Breaks)"
 REBUILT = "Tried to Rebuild Streak"
