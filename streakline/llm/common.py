@@ -46,3 +46,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def aliased(keep: list[str]) -> list[Column]:
+    """Columns to carry along, under names that clash with nothing an operator adds."""
+    return [F.col(f"`{name}`").alias(f"kept_{i}") for i, name in enumerate(keep)]
+
+
+def restored(keep: list[str]) -> list[Column]:
+    """The columns of ``aliased`` under their own names again."""
+    return [F.col(f"kept_{i}").alias(name) for i, name in enumerate(keep)]
+
+
+def aliased_schema(df: DataFrame, keep: list[str]) -> str:
+    """DDL of the columns of ``aliased``."""
+    return ", ".join(
+        f"kept_{i} {df.schema[name].dataType.simpleString()}" for i, name in enumerate(keep)
+    )

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakline.llm.common import let, lower_ascii, stage, table
+from streakline.llm.common import aliased, let, lower_ascii, restored, stage, table
 
 WINDOW = 10
 RAREST = 2
@@ -40,7 +40,7 @@ def words_of(text: Column) -> Column:
 
 @dataclass
 class Index:
-    #: uid, doc_id, words
+    #: uid, words, and columns carried along
     documents: DataFrame
     #: uid, pos, term
     postings: DataFrame
@@ -53,13 +53,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame) -> Index:
-    """Index ``docs`` (doc_id, text) for the terms of ``vocabulary`` (term)."""
+def build_index(docs: DataFrame, vocabulary: DataFrame, keep: list[str]) -> Index:
+    """Index ``docs`` (text, and the columns ``keep``) for the terms of ``vocabulary`` (term)."""
     documents = stage(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
-            "doc_id",
             words_of(F.col("text")).alias("words"),
+            *aliased(keep),
         ),
         "words",
     )
@@ -154,10 +154,13 @@ def proximity_matches(index: Index, phrases: DataFrame, slop: int) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(uid, doc_id, n_words, n_hit, items) for every row of ``docs``."""
+def decontaminate(
+    docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW
+) -> DataFrame:
+    """(n_words, n_hit, items) and the columns ``keep`` for every row of ``docs``; they come
+    under the names of ``common.aliased``."""
     phrases = stage(phrases_of(items, window), "windows")
-    index = build_index(docs, phrases.select(F.explode("terms").alias("term")))
+    index = build_index(docs, phrases.select(F.explode("terms").alias("term")), keep)
     found = stage(exact_matches(index, phrases), "matches")
     spans = found.select("uid", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
     before = (
@@ -179,12 +182,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     return (
-        index.documents.select("uid", "doc_id", F.size("words").cast("long").alias("n_words"))
+        index.documents.withColumn("n_words", F.size("words").cast("long"))
+        .drop("words")
         .join(covered, "uid", "left")
         .join(listed, "uid", "left")
         .select(
-            "uid",
-            "doc_id",
+            *[f"kept_{i}" for i in range(len(keep))],
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -194,9 +197,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(
-        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"]
     ).select(
-        "doc_id",
+        *restored(["doc_id"]),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

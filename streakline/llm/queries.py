@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
-from streakline.llm import chat, host_rules, url_cascade
+from streakline.llm import (
+    chat,
+    decontamination,
+    host_rules,
+    packing,
+    setsketch,
+    substring_dedup,
+    token_orc,
+    toxicity,
+    url_cascade,
+    warc,
+)
 
-MODULES = (host_rules, chat, url_cascade)
+MODULES = (
+    substring_dedup,
+    host_rules,
+    decontamination,
+    token_orc,
+    warc,
+    setsketch,
+    packing,
+    toxicity,
+    chat,
+    url_cascade,
+)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

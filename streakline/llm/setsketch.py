@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import ASCII_LOWER, stage, table
+from streakline.llm.common import ASCII_LOWER, aliased, aliased_schema, restored, stage, table
 from streakline.llm.components import components
 from streakline.llm.words import Sequences, Words
 
@@ -119,13 +119,13 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high, low = found.identities()
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c) for c in ("uid", "doc_id", "text")),
+                *batch.columns,
                 pa.array(high.view(np.int64)),
                 pa.array(low.view(np.int64)),
                 pa.array(sizes, pa.int64()),
                 pa.array(sketches, pa.binary()),
             ],
-            ["uid", "doc_id", "text", "high", "low", "size", "sketch"],
+            [*batch.schema.names, "high", "low", "size", "sketch"],
         )
 
 
@@ -319,43 +319,55 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
         )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(uid, doc_id, n_shingles, component_id, kept, chosen) for every row of ``docs``
-    (doc_id, text). ``chosen`` holds for exactly one row of each component."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    (doc_id, text). ``chosen`` holds for exactly one row of each component.
+
+    With ``keep``, the chosen rows only, and of these the columns ``keep``.
+    """
+    carried = keep or []
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *aliased(carried)
+    )
     kind = docs.schema["doc_id"].dataType.simpleString()
+    extra = f", {aliased_schema(docs, carried)}" if carried else ""
     rows = stage(
         numbered.mapInArrow(
             sketch,
-            f"uid long, doc_id {kind}, text string, high long, low long, size long, sketch binary",
+            f"uid long, doc_id {kind}, text string{extra}, high long, low long, size long, sketch binary",
         ),
         "sketches",
     )
     full = rows.where("size > 0")
-    classes = full.groupBy("high", "low").agg(F.min("uid").alias("node"))
-    classes = stage(classes, "classes")
-    nodes = rows.join(classes.select(F.col("node")), F.col("uid") == F.col("node"), "left_semi").select(
+    classes = stage(full.groupBy("high", "low").agg(F.min("uid").alias("node")), "classes")
+    nodes = rows.join(classes.select("node"), F.col("uid") == F.col("node"), "left_semi").select(
         F.col("uid").alias("node"), "size", "sketch", "text"
     )
     found = link_nodes(nodes)
     of_node = classes.join(found, "node", "left").select(
         "high", "low", F.coalesce("component", "node").alias("component")
     )
-    placed = (
+    # a text without words is alone under its own number
+    own = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("uid"))
+    placed = stage(
         rows.select("uid", "doc_id", "high", "low", "size")
         .join(of_node, ["high", "low"], "left")
-        .withColumn("component", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("uid")))
+        .select("uid", "doc_id", F.col("size").alias("n_shingles"), own.alias("component")),
+        "placed",
     )
-    placed = stage(placed.select("uid", "doc_id", "size", "component"), "placed")
     firsts = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = placed.join(firsts, "component").withColumn(
+    judged = placed.join(firsts, "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    chosen = joined.where("kept").groupBy("component").agg(F.min("uid").alias("chosen_uid"))
-    return joined.join(chosen, "component").select(
+    chosen = judged.where("kept").groupBy("component").agg(F.min("uid").alias("chosen_uid"))
+    if keep:
+        return rows.join(
+            chosen, F.col("uid") == F.col("chosen_uid"), "left_semi"
+        ).select(*restored(keep))
+    return judged.join(chosen, "component").select(
         "uid",
         "doc_id",
-        F.col("size").alias("n_shingles"),
+        "n_shingles",
         "component_id",
         "kept",
         (F.col("uid") == F.col("chosen_uid")).alias("chosen"),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import stage, table
+from streakline.llm.common import aliased, aliased_schema, restored, stage, table
 from streakline.llm.words import Sequences, Words
 
 WINDOW = 35
@@ -252,9 +252,9 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = chars // BLOCK_CHARS + 1
     dealt = docs.select(
-        F.pmod(F.xxhash64(*keep, "text"), F.lit(n_blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keep], "text"), F.lit(n_blocks)).cast("int").alias("block"),
         F.col("text"),
-        *[F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep)],
+        *aliased(keep),
     )
     anchors = stage(
         dealt.select("block", "text").mapInArrow(count_anchors, "block int, anchor long, n long"),
@@ -276,18 +276,17 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         confirm(stretches), ["anchor", "stretch"]
     )
     names = [f"kept_{i}" for i in range(len(keep))]
-    kinds = ", ".join(f"{n} {docs.schema[k].dataType.simpleString()}" for n, k in zip(names, keep, strict=True))
     cleaned = (
         dealt.groupBy("block")
         .cogroup(confirmed.groupBy("block"))
         .applyInArrow(
             lambda left, right: remove_passages(left, right, names),
-            f"{kinds}, kept_text string, n_words long, n_removed long, "
+            f"{aliased_schema(docs, keep)}, kept_text string, n_words long, n_removed long, "
             "removed array<struct<first:long,last:long>>",
         )
     )
     return cleaned.select(
-        *[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)],
+        *restored(keep),
         "kept_text",
         "n_words",
         "n_removed",

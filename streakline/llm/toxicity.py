@@ -34,7 +34,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import stage, table
+from streakline.llm.common import aliased, aliased_schema, restored, stage, table
 
 MIN_SHARE = 0.01
 MIN_DOCS = 5
@@ -227,11 +227,23 @@ def _score(batches, model: ToxicityModel, keep: list[str]):
 
 def raw_scores(docs: DataFrame, keep: list[str], model: ToxicityModel) -> DataFrame:
     """The columns ``keep`` with ``total`` and ``n_words`` of each text."""
-    source = docs.select("text", *keep)
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    return source.mapInArrow(
-        lambda b: _score(b, model, keep), f"{kept}, total double, n_words long"
+    names = [f"kept_{i}" for i in range(len(keep))]
+    scored = docs.select("text", *aliased(keep)).mapInArrow(
+        lambda b: _score(b, model, names), f"{aliased_schema(docs, keep)}, total double, n_words long"
     )
+    return scored.select(*restored(keep), "total", "n_words")
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic."""
+    model = fit(training_rows(docs, labels))
+    names = [f"kept_{i}" for i in range(len(docs.columns))]
+    scored = docs.select("text", *aliased(docs.columns)).mapInArrow(
+        lambda b: _score(b, model, names),
+        f"{aliased_schema(docs, docs.columns)}, total double, n_words long",
+    )
+    score = model.probability(F.col("total"), F.col("n_words"))
+    return scored.where(score < 0.5).select(*restored(docs.columns))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
