@@ -205,8 +205,8 @@ with turns as (
   from turns
 ), joined as (
   select conv_id, count(*) as n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as all_text,
-    coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '') as loss_text,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as all_text,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss_text,
     sum(length(text) + marks + escapes) as formatted_chars
   from marked group by conv_id
 )
