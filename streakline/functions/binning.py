@@ -61,6 +61,12 @@ def age_group(band: Column, unknown: str = "Unknown") -> Column:
     return F.when(low.between(*AGE_RANGE), upper_bins(low, AGE_BOUNDS, AGE_LEVELS)).otherwise(unknown)
 
 
+def listed_age_group(band: Column) -> Column:
+    """Report age group of a five-year band, 15-19 to 95-99; NULL for any other text."""
+    bands = [f"{low}-{low + 4}" for low in range(AGE_RANGE[0], AGE_RANGE[1], 5)]
+    return F.when(band.isin(bands), upper_bins(age_lower(band), AGE_BOUNDS, AGE_LEVELS))
+
+
 def age_audit(band: Column) -> Column:
     """Why a band does or does not fall in an age group."""
     return (

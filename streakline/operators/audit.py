@@ -17,7 +17,7 @@ def streak_audit(log: DataFrame, spec: CampaignSpec) -> DataFrame:
         .filter(is_participation(spec))
         .groupBy(ID, F.to_date("timestamp").alias("activity_date"))
         .agg(
-            F.max_by("current_streak_value", F.struct("timestamp", "event_id")).alias(
+            F.max_by("current_streak_value", F.struct("timestamp", "event_id", "current_streak_value")).alias(
                 "current_streak_value"
             )
         )
@@ -98,6 +98,8 @@ def affected_selections(log: DataFrame, gaps: DataFrame, spec: CampaignSpec) ->
 
     ``n_selected`` keeps how often the code was selected.
     """
+    if not spec.code_marker:
+        raise ValueError("without a code_marker every code would count as a streak reward")
     affected = gaps.filter("inconsistent_streak").select(ID).distinct()
     return (
         log.filter(

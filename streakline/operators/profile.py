@@ -40,7 +40,7 @@ def engagement_summary(events: DataFrame, spec: CampaignSpec) -> DataFrame:
     """
     participated = is_participation(spec)
     opened = is_action(spec, spec.opened)
-    latest = F.struct("timestamp", "event_id")
+    latest = F.struct("timestamp", "event_id", "current_streak_value")
     return (
         events.groupBy(ID)
         .agg(

@@ -10,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streakline.functions.binning import AGE_LEVELS, age_group, gender_label
+from streakline.functions.binning import listed_age_group
 from streakline.functions.nulls import pct
 from streakline.operators.events import campaign_window, is_participation
 from streakline.spec import ID, CampaignSpec
 
-HORIZON = 14
-
-
 def cohort_table(log: DataFrame, spec: CampaignSpec) -> DataFrame:
     """Each participant's cohort: the day of the first participation."""
     return (
@@ -59,24 +56,25 @@ def retention_lifecycle(log: DataFrame, spec: CampaignSpec) -> DataFrame:
     )
 
 
-def _curve(lifecycle: DataFrame, keys: list[str], horizon: int, size: str) -> DataFrame:
+def _curve(lifecycle: DataFrame, keys: list[str], horizon: int | None, size: str) -> DataFrame:
     """Active customers per key and day offset, against those active at offset 0.
 
     A participant is active on the cohort day by definition, so the count at
     offset 0 is the cohort size and no second table is needed. Lifecycle rows
     are distinct per customer and day: a plain count is a count of customers.
+    ``horizon`` is the last offset, by default the last there is.
     """
     active = lifecycle.groupBy(*keys, "days_since_cohort").agg(F.count(F.lit(1)).alias("active_users"))
     at_start = F.max(F.when(F.col("days_since_cohort") == 0, F.col("active_users")))
-    return (
-        active.withColumn(size, at_start.over(Window.partitionBy(*keys)))
-        .filter(F.col("days_since_cohort") <= horizon)
-        .withColumn("retention_rate", pct(F.col("active_users"), F.col(size)))
-        .orderBy(*keys, "days_since_cohort")
+    curve = active.withColumn(size, at_start.over(Window.partitionBy(*keys)))
+    if horizon is not None:
+        curve = curve.filter(F.col("days_since_cohort") <= horizon)
+    return curve.withColumn("retention_rate", pct(F.col("active_users"), F.col(size))).orderBy(
+        *keys, "days_since_cohort"
     )
 
 
-def retention_overall(lifecycle: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def retention_overall(lifecycle: DataFrame, horizon: int | None = None) -> DataFrame:
     """Share of all participants active per day offset.
 
     The offset is counted per customer from the own cohort day, so offset 0
@@ -85,24 +83,22 @@ def retention_overall(lifecycle: DataFrame, horizon: int = HORIZON) -> DataFrame
     return _curve(lifecycle, [], horizon, "total_users")
 
 
-def cohort_retention(lifecycle: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def cohort_retention(lifecycle: DataFrame, horizon: int | None = None) -> DataFrame:
     """Share of each cohort active per day offset."""
     return _curve(lifecycle, ["cohort_date"], horizon, "cohort_size")
 
 
 def demographics(customers: DataFrame) -> DataFrame:
-    """Customers with a known gender and age group."""
+    """Customers with a known gender and age group, by the exact codes and bands."""
     return customers.select(
         ID,
-        gender_label(F.col("gender"), "Other").alias("gender_clean"),
-        age_group(F.col("age")).alias("age_group_clean"),
-    ).filter(
-        F.col("gender_clean").isin("Male", "Female") & F.col("age_group_clean").isin(*AGE_LEVELS)
-    )
+        F.when(F.col("gender") == "V", "Female").when(F.col("gender") == "M", "Male").alias("gender_clean"),
+        listed_age_group(F.col("age")).alias("age_group_clean"),
+    ).dropna(subset=["gender_clean", "age_group_clean"])
 
 
 def retention_by_segment(
-    lifecycle: DataFrame, customers: DataFrame, horizon: int = HORIZON
+    lifecycle: DataFrame, customers: DataFrame, horizon: int | None = None
 ) -> DataFrame:
     """Retention per gender and age group, over customers with both known."""
     known = lifecycle.join(demographics(customers), ID, "inner")

@@ -9,7 +9,7 @@ and prefixed ids.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
@@ -31,10 +31,6 @@ CAMPAIGN = CampaignSpec(
     tiers=numbered_tiers("TIER"),
     code_marker="TIER",
 )
-# Over the whole campaign every user reaches every stage and breaks a streak;
-# these shorter campaigns tell the stages and the behaviours apart.
-LAUNCH = replace(CAMPAIGN, end=date(2024, 1, 6))
-FIRST_DAYS = replace(CAMPAIGN, end=date(2024, 1, 10))
 PERIODS = PeriodSpec(
     pre_start=date(1995, 1, 1),
     start=date(1998, 1, 1),
@@ -56,8 +52,6 @@ class Tables(CampaignTables):
     folder: str
 
     campaign = CAMPAIGN
-    launch = LAUNCH
-    first_days = FIRST_DAYS
     periods = PERIODS
     id_prefix = ID_PREFIX
     event_names = EVENTS
@@ -173,8 +167,11 @@ class Tables(CampaignTables):
             .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
             .selectExpr(
                 f"c_name AS {ID}",
-                "CASE c_custkey % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'M' END AS gender",
+                """CASE WHEN c_custkey % 37 = 0 THEN 'Vrouw' WHEN c_custkey % 41 = 0 THEN 'm'
+                        WHEN c_custkey % 3 = 0 THEN 'V' WHEN c_custkey % 3 = 1 THEN 'M'
+                        END AS gender""",
                 """CASE WHEN c_custkey % 19 = 0 THEN 'null' WHEN c_custkey % 23 = 0 THEN '110-114'
+                        WHEN c_custkey % 43 = 0 THEN '18-20' WHEN c_custkey % 47 = 0 THEN '20-29'
                         ELSE concat(15 + 5 * (c_custkey % 18), '-', 19 + 5 * (c_custkey % 18))
                         END AS age""",
                 "n_name AS province",

@@ -33,7 +33,7 @@ from streakline.operators import (
 from streakline.plans import customer360 as c360
 from streakline.plans.bindings import Tables
 from streakline.plans.tables import CampaignTables
-from streakline.sources import cleaning
+from streakline.sources import cleaning, readers
 from streakline.spec import ID
 
 Analysis = Callable[[CampaignTables], DataFrame]
@@ -344,16 +344,6 @@ def customer_journey(t):
     return funnel.customer_journey(t.camp, t.campaign)
 
 
-@query
-def funnel_independent_launch(t):
-    return funnel.funnel_independent(events.campaign_window(t.log, t.launch), t.launch)
-
-
-@query
-def funnel_conversion_launch(t):
-    return funnel.funnel_conversion(events.campaign_window(t.log, t.launch), t.launch)
-
-
 # --- customer 360 ---------------------------------------------------------
 
 
@@ -815,14 +805,22 @@ def cohort_sizes(t):
     return retention.cohort_sizes(retention.cohort_table(t.log, t.campaign))
 
 
+@query
+def source_rejects(t):
+    """Values of the exports' numeric texts that are no numbers."""
+    log = readers.source_rejects(t.raw_log, "current_streak_value INT", "log")
+    numbers = "orders INT, urbanisation INT, first_order_year INT"
+    return log.union(readers.source_rejects(t.raw_customers, numbers, "customers"))
+
+
 @query
 def cohort_retention(t):
-    return retention.cohort_retention(t.lifecycle)
+    return retention.cohort_retention(t.lifecycle, horizon=14)
 
 
 @query
 def cohort_retention_full(t):
-    return retention.cohort_retention(t.lifecycle, horizon=t.campaign.days)
+    return retention.cohort_retention(t.lifecycle)
 
 
 @query
@@ -895,21 +893,6 @@ def rebuild_summary(t):
     return streaks.rebuild_summary(_flags(t, t.campaign))
 
 
-@query
-def rebuild_flags_first_days(t):
-    return _flags(t, t.first_days)
-
-
-@query
-def rebuild_segments_first_days(t):
-    return streaks.rebuild_segments(_flags(t, t.first_days))
-
-
-@query
-def rebuild_summary_first_days(t):
-    return streaks.rebuild_summary(_flags(t, t.first_days))
-
-
 # --- streak audit and leakage --------------------------------------------
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 
 CAMPAIGN = "DATE '2024-01-05' AND DATE '2024-01-26'"
-LAUNCH = "DATE '2024-01-05' AND DATE '2024-01-06'"
-FIRST_DAYS = "DATE '2024-01-05' AND DATE '2024-01-10'"
 
 _PARTS: dict[str, str] = {}
 _SQL: dict[str, str] = {}
@@ -85,7 +83,6 @@ _part(
     FROM raw_log""",
 )
 _part("camp", f"SELECT * FROM log WHERE day BETWEEN {CAMPAIGN}")
-_part("launch", f"SELECT * FROM log WHERE day BETWEEN {LAUNCH}")
 _part(
     "coupons",
     """SELECT id, kind AS event_type, 'TIER' || (k % 5 + 1) AS code, ts, val,
@@ -123,8 +120,10 @@ _part(
 _part(
     "raw_cust",
     """SELECT c_custkey AS id, c_name AS name,
-    CASE c_custkey % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'M' END AS gender,
+    CASE WHEN c_custkey % 37 = 0 THEN 'Vrouw' WHEN c_custkey % 41 = 0 THEN 'm'
+         WHEN c_custkey % 3 = 0 THEN 'V' WHEN c_custkey % 3 = 1 THEN 'M' END AS gender,
     CASE WHEN c_custkey % 19 = 0 THEN 'null' WHEN c_custkey % 23 = 0 THEN '110-114'
+         WHEN c_custkey % 43 = 0 THEN '18-20' WHEN c_custkey % 47 = 0 THEN '20-29'
          ELSE (15 + 5 * (c_custkey % 18)) || '-' || (19 + 5 * (c_custkey % 18)) END AS age,
     n_name AS province,
     CASE WHEN c_custkey % 17 = 0 THEN 'null' ELSE CAST(c_custkey % 12 AS VARCHAR) END AS orders,
@@ -515,8 +514,6 @@ _sql(
     participated, {_r(_d('participated', 'onboarded') + ' * 100', 1)} AS participated_pct
     FROM ({_independent('camp')})""",
 )
-_sql("funnel_independent_launch", _independent("launch"))
-_sql("funnel_conversion_launch", _conversion("launch"))
 
 # --- customer 360 ---------------------------------------------------------
 
@@ -1077,6 +1074,26 @@ _sql(
         ON c.a = ra.a AND c.b = rb.b)""",
 )
 
+# --- ingest ---------------------------------------------------------------
+
+
+def _rejects(table: str, source: str, column: str, name: str) -> str:
+    given = f"{column} IS NOT NULL AND trim({column}) NOT IN ('', 'null')"
+    return f"""SELECT '{table}' AS "table", '{name}' AS "column", count(*) FILTER ({given}) AS n_values,
+    count(*) FILTER ({given} AND TRY_CAST({column} AS INTEGER) IS NULL) AS n_rejected FROM {source}"""
+
+
+_sql(
+    "source_rejects",
+    " UNION ALL ".join(
+        [_rejects("log", "raw_log", "streak_text", "current_streak_value")]
+        + [
+            _rejects("customers", "raw_cust", name, name)
+            for name in ("orders", "urbanisation", "first_order_year")
+        ]
+    ),
+)
+
 # --- retention ------------------------------------------------------------
 
 _sql(
@@ -1118,7 +1135,7 @@ _sql(
     {_r(_d('active_users', 'total_users') + ' * 100')} AS retention_rate
     FROM (SELECT days_since_cohort, count(DISTINCT id) AS active_users,
       (SELECT count(*) FROM cohorts) AS total_users FROM lifecycle
-      WHERE days_since_cohort <= 14 GROUP BY days_since_cohort)""",
+      GROUP BY days_since_cohort)""",
 )
 _part(
     "demo",
@@ -1140,8 +1157,7 @@ _sql(
     f"""SELECT l.*, z.active_users AS cohort_size,
     {_r(_d('l.active_users', 'z.active_users') + ' * 100')} AS retention_rate
     FROM lifecycle_demo l JOIN lifecycle_demo z ON z.days_since_cohort = 0
-      AND z.gender_clean = l.gender_clean AND z.age_group_clean = l.age_group_clean
-    WHERE l.days_since_cohort <= 14""",
+      AND z.gender_clean = l.gender_clean AND z.age_group_clean = l.age_group_clean""",
 )
 
 # --- time of day ----------------------------------------------------------
@@ -1192,10 +1208,6 @@ _sql(
 
 # --- streak rebuilding ----------------------------------------------------
 
-_part(
-    "first_click_days",
-    f"SELECT DISTINCT id, day FROM log WHERE event = 'click' AND day BETWEEN {FIRST_DAYS}",
-)
 
 
 def _gaps(src: str) -> str:
@@ -1224,28 +1236,26 @@ def _rebuild(src: str) -> str:
 
 
 _part("rebuilt", _rebuild("click_days"))
-_part("rebuilt_first", _rebuild("first_click_days"))
-for _suffix, _src in (("", "rebuilt"), ("_first_days", "rebuilt_first")):
-    _sql(
-        f"rebuild_flags{_suffix}",
-        f"""SELECT id AS unique_customer_id, total_active_days, n_breaks, first_break_position,
-        had_streak_break, tried_to_rebuild FROM {_src}""",
-    )
-    _sql(
-        f"rebuild_segments{_suffix}",
-        f"""SELECT rebuild_segment, count(*) AS n, {_share_of('', 1)} AS pct FROM {_src}
-        GROUP BY rebuild_segment""",
-    )
-    _sql(
-        f"rebuild_summary{_suffix}",
-        f"""SELECT count(*) AS total_participants,
-        count(*) FILTER (total_active_days = 1) AS one_day_users,
-        count(*) FILTER (total_active_days > 1 AND n_breaks = 0) AS continuous_users,
-        count(*) FILTER (n_breaks > 0) AS users_broke_streak,
-        count(*) FILTER (tried_to_rebuild) AS users_tried_rebuild,
-        {_r(_d('count(*) FILTER (tried_to_rebuild)', 'count(*)') + ' * 100', 2)} AS pct_tried_rebuild
-        FROM {_src}""",
-    )
+_sql(
+    "rebuild_flags",
+    """SELECT id AS unique_customer_id, total_active_days, n_breaks, first_break_position,
+    had_streak_break, tried_to_rebuild FROM rebuilt""",
+)
+_sql(
+    "rebuild_segments",
+    f"""SELECT rebuild_segment, count(*) AS n, {_share_of('', 1)} AS pct FROM rebuilt
+    GROUP BY rebuild_segment""",
+)
+_sql(
+    "rebuild_summary",
+    f"""SELECT count(*) AS total_participants,
+    count(*) FILTER (total_active_days = 1) AS one_day_users,
+    count(*) FILTER (total_active_days > 1 AND n_breaks = 0) AS continuous_users,
+    count(*) FILTER (n_breaks > 0) AS users_broke_streak,
+    count(*) FILTER (tried_to_rebuild) AS users_tried_rebuild,
+    {_r(_d('count(*) FILTER (tried_to_rebuild)', 'count(*)') + ' * 100', 2)} AS pct_tried_rebuild
+    FROM rebuilt""",
+)
 
 # --- streak audit and leakage --------------------------------------------
 

@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}", type=day, required=True)
     parser.add_argument("--format", default="csv")
     parser.add_argument("--id-prefix", default="")
-    parser.add_argument("--reward-code", default="", help="text before the tier number in codes")
+    parser.add_argument("--reward-code", required=True, help="text before the tier number in codes")
     parser.add_argument("--timezone", default="Europe/Amsterdam")
     parser.add_argument("--only", nargs="*", default=[])
     args = parser.parse_args(argv)

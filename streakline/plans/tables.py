@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import cached_property
 from uuid import uuid4
@@ -19,8 +19,7 @@ from streakline.spec import CampaignSpec, PeriodSpec, RewardDay, scheduled_rewar
 class CampaignTables:
     """Lazy shared tables over inputs that a subclass provides.
 
-    A subclass gives ``spark``, ``campaign`` with its shorter ``launch`` and
-    ``first_days``, ``periods``, ``id_prefix``, ``event_names``, ``order_days``,
+    A subclass gives ``spark``, ``campaign``, ``periods``, ``id_prefix``, ``event_names``, ``order_days``,
     ``check_days`` and ``reward_plan``, and the
     frames ``raw_log``, ``log``, ``coupons``, ``orders_live``,
     ``orders_history``, ``orders_history_discounts``, ``raw_customers`` and
@@ -168,8 +167,6 @@ class ExportTables(CampaignTables):
         self.reward_plan = self.reward_plan or scheduled_rewards(c.start)
         self.event_names = self.event_names or (c.enter, c.onboard, c.participate, *c.interaction)
         self.check_days = self.check_days or (c.start, c.end)
-        self.launch = replace(c, end=c.start + timedelta(days=1))
-        self.first_days = replace(c, end=c.start + timedelta(days=5))
         self.order_days = (
             c.start - timedelta(days=self.margin_days),
             c.end + timedelta(days=self.margin_days),

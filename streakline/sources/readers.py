@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StringType, StructType, TimestampNTZType
 
 from streakline.sources import schemas
 from streakline.sources.cleaning import (
@@ -17,40 +17,103 @@ from streakline.sources.cleaning import (
     strip_id_prefix,
     typed_customers,
 )
-from streakline.spec import RewardDay, RewardTier
+from streakline.spec import ID, RewardDay, RewardTier
 
 
 def _ddl(ddl: str) -> StructType:
     return StructType.fromDDL(" ".join(ddl.split()))
 
 
-def read_table(spark: SparkSession, path: str, ddl: str, fmt: str = "csv") -> DataFrame:
-    """The declared columns of a table, under clean names and with declared types.
+#: Columns that every report of their table stands on.
+REQUIRED = {ID, "timestamp", "event", "order_id", "order_local_timestamp", "demand"}
+_ZONE = r"\d{1,2}:\d{2}.*(Z|[+-]\d{2}:?\d{2}| ?UTC| ?GMT)$"
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def utc_timestamp(text: Column) -> Column:
+    """Text as UTC wall time: a zone offset is converted, a time without one is UTC."""
+    instant = F.call_function("unix_micros", text.try_cast("timestamp"))
+    moved = F.timestamp_add("MICROSECOND", instant, F.expr(_EPOCH))
+    return F.when(text.rlike(_ZONE), moved).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def typed(col: Column, source: DataType, wanted: DataType) -> Column:
+    """``col`` in the wanted type; NULL where it does not fit."""
+    if isinstance(source, StringType) and isinstance(wanted, TimestampNTZType):
+        return utc_timestamp(F.trim(col))
+    return col.try_cast(wanted)
 
-    CSV columns are matched by cleaned header, so their order and spelling in
-    the file do not matter; declared columns the file lacks come back as NULL.
-    Values that do not fit their type become NULL instead of failing the scan.
+
+def read_source(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """A table as it is, under clean names.
+
+    CSV quotes inside a quoted value are doubled. ``multi_line`` allows line breaks
+    inside quoted values; a file is then read by one task, so leave it off otherwise.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
-    named = normalize_headers(raw)
+        options = {"header": True, "inferSchema": False, "escape": '"', "multiLine": multi_line}
+        return normalize_headers(spark.read.options(**options).csv(path))
+    return normalize_headers(spark.read.format(fmt).load(path))
+
+
+def read_table(
+    spark: SparkSession, path: str, ddl: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    """The declared columns of a table, under clean names and with declared types.
+
+    Columns are matched by cleaned header, so their order and spelling in the file
+    do not matter. A missing column that reports stand on is an error; other declared
+    columns the file lacks come back as NULL. Values that do not fit their type become
+    NULL; ``source_rejects`` counts them.
+    """
+    named = read_source(spark, path, fmt, multi_line)
+    fields = _ddl(ddl).fields
+    missing = [f.name for f in fields if f.name in REQUIRED and f.name not in named.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
     return named.select(
         *[
-            F.col(f.name).try_cast(f.dataType).alias(f.name)
+            typed(F.col(f.name), named.schema[f.name].dataType, f.dataType).alias(f.name)
             if f.name in named.columns
             else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in _ddl(ddl).fields
+            for f in fields
         ]
     )
 
 
+def source_rejects(raw: DataFrame, ddl: str, table: str, missing: str = "null") -> DataFrame:
+    """(table, column, n_values, n_rejected) of each declared column that is not text:
+    values other than the missing marker, and those of them that do not fit the type."""
+    fields = [
+        f
+        for f in _ddl(ddl).fields
+        if f.name in raw.columns and not isinstance(f.dataType, StringType)
+    ]
+    counts = []
+    for f in fields:
+        col = F.col(f.name)
+        kind = raw.schema[f.name].dataType
+        given = col.isNotNull()
+        if isinstance(kind, StringType):
+            given = given & ~F.trim(col).isin("", missing)
+        bad = given & typed(col, kind, f.dataType).isNull()
+        counts.append(
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.count_if(given).alias("n_values"),
+                F.count_if(bad).alias("n_rejected"),
+            )
+        )
+    return raw.agg(F.array(*counts).alias("counts")).select(
+        F.lit(table).alias("table"), F.inline("counts")
+    )
+
+
 def read_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """App event log, scrubbed and with a numeric streak.
 
-    ``event_id`` orders events with equal timestamps. A log without it leaves
-    the order of such events open.
+    ``event_id`` orders events with equal timestamps; among those equal in both, and
+    in a log without it, the higher streak counts as the later one.
     """
     return clean_log(read_raw_log(spark, path, fmt))
 

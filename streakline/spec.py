@@ -102,12 +102,17 @@ class CampaignSpec:
     selected: str = "selected"
     tiers: tuple[RewardTier, ...] = ()
     code_marker: str = ""
-    ultimate_streak: int = 22
+    full_streak: int | None = None
 
     @property
     def days(self) -> int:
         return (self.end - self.start).days + 1
 
+    @property
+    def ultimate_streak(self) -> int:
+        """The streak of a customer who took part every day, unless ``full_streak`` is given."""
+        return self.days if self.full_streak is None else self.full_streak
+
 
 @dataclass(frozen=True)
 class PeriodSpec:

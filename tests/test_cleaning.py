@@ -3,11 +3,12 @@
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
 from fixture import rows
 from hypothesis import given
 from hypothesis import strategies as st
 
-from streakline.sources import cleaning, readers
+from streakline.sources import cleaning, readers, schemas
 from streakline.spec import ID
 
 
@@ -84,6 +85,41 @@ def test_csv_coupons_and_transactions(spark, tmp_path):
     assert (t["demand"], t["coupon_discount"], t["coupon_code"]) == (Decimal("12.34"), None, None)
 
 
+ORDERS = "unique_customer_id,order_id,order_local_timestamp,demand,coupon_discount,coupon_code\n"
+
+
+def test_csv_quotes_newlines_and_zones(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        ORDERS
+        + 'u1,"A ""x"", y",2024-12-03T23:30:00+02:00,1.00,,"c,d"\n'
+        + 'u2,"two\nlines",2024-12-03 23:30:00,2.00,,\n'
+        + "u3,o3,2024-12-03T23:30:00Z,3.00,,\n"
+        + "u4,o4,03/12/2024 10:00,x,,\n"
+    )
+    got = readers.read_table(spark, str(path), schemas.TRANSACTIONS, multi_line=True)
+    found = {r[ID]: r for r in got.collect()}
+    assert [found[k]["order_id"] for k in ("u1", "u2")] == ['A "x", y', "two\nlines"]
+    assert found["u1"]["coupon_code"] == "c,d"
+    assert found["u1"]["order_local_timestamp"] == datetime(2024, 12, 3, 21, 30)
+    assert found["u2"]["order_local_timestamp"] == datetime(2024, 12, 3, 23, 30)
+    assert found["u3"]["order_local_timestamp"] == datetime(2024, 12, 3, 23, 30)
+    raw = readers.read_source(spark, str(path), multi_line=True)
+    rejects = readers.source_rejects(raw, schemas.TRANSACTIONS, "orders")
+    assert rows(rejects.orderBy("column")) == [
+        ("orders", "coupon_discount", 0, 0),
+        ("orders", "demand", 4, 1),
+        ("orders", "order_local_timestamp", 4, 1),
+    ]
+
+
+def test_missing_required_column_is_an_error(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(ORDERS.replace("unique_customer_id", "customer") + "u1,o1,2024-12-03,1,,\n")
+    with pytest.raises(ValueError, match="unique_customer_id"):
+        readers.read_transactions(spark, str(path))
+
+
 def test_csv_customers(spark, tmp_path):
     path = tmp_path / "customers.csv"
     path.write_text(

@@ -1,14 +1,19 @@
 """Relations that hold between results, whatever the data."""
 
+from dataclasses import replace
+from datetime import date
+
 import pytest
 from fixture import rows
 from pyspark.sql import functions as F
 
 from streakline.operators import audit, events, profile, quality, retention, streaks
 from streakline.plans import customer360 as c360
-from streakline.plans.bindings import CAMPAIGN, FIRST_DAYS, PERIODS, Tables
+from streakline.plans.bindings import CAMPAIGN, PERIODS, Tables
 from streakline.plans.catalog import catalog
 
+#: Over the whole campaign every user breaks a streak; this shorter one tells them apart.
+FIRST_DAYS = replace(CAMPAIGN, end=date(2024, 1, 10))
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -56,9 +61,8 @@ def test_periods_add_up(master):
 
 
 def test_funnel_does_not_widen(run):
-    for name in ("funnel_conversion", "funnel_conversion_launch"):
-        n = [r["unique_customers"] for r in run(name).collect()]
-        assert n == sorted(n, reverse=True)
+    n = [r["unique_customers"] for r in run("funnel_conversion").collect()]
+    assert n == sorted(n, reverse=True)
 
 
 def test_offset_zero_is_everyone(t):
@@ -81,7 +85,7 @@ def test_offset_zero_is_everyone(t):
         ("opens_distribution", "percentage"),
         ("hourly_distribution", "pct_opens"),
         ("time_buckets", "pct_opens"),
-        ("rebuild_segments_first_days", "pct"),
+        ("rebuild_segments", "pct"),
     ],
 )
 def test_shares_sum_to_one_hundred(run, name, column):
