@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.llm.common import aliased, aliased_schema, restored, stage, table
-from streakline.llm.words import Sequences, Words
+from streakline.llm.words import Sequences, Words, slices
 
 WINDOW = 35
 ANCHOR = 12
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 POSITION_BITS = np.uint64(28)
 
 
@@ -96,7 +96,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, anchor, n) counted by batch."""
-    for batch in batches:
+    for batch in slices(batches):
         blocks = batch.column("block").to_numpy()
         found = Stretches(batch.column("text").to_pylist())
         pair = np.empty(len(found.first), [("block", np.int32), ("anchor", np.uint64)])

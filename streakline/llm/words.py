@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+SLICE_BYTES = 1 << 20
 _CHAR = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -12,6 +17,20 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts hold about SLICE_BYTES, at least a row each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        begin, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > SLICE_BYTES:
+                yield batch.slice(begin, i - begin)
+                begin, size = i, 0
+            size += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2**64."""
     key = int(base)
@@ -66,7 +85,15 @@ class Words:
         begins = np.cumsum(sizes) - sizes
         self.first = np.append(np.searchsorted(self.starts, begins), len(self.starts))
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hashes = Sequences(_TABLE[byte], _CHAR).hash(self.starts, self.ends)
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        low = 0
+        while low < len(self.starts):
+            begin = self.starts[low]
+            high = max(low + 1, int(np.searchsorted(self.ends, begin + SLICE_BYTES, "right")))
+            letters = Sequences(_TABLE[byte[begin : self.ends[high - 1]]], _CHAR)
+            own = slice(low, high)
+            self.hashes[own] = letters.hash(self.starts[own] - begin, self.ends[own] - begin)
+            low = high
 
     def sequences(self) -> Sequences:
         return Sequences(self.hashes, _WORD)
