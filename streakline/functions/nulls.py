@@ -41,18 +41,27 @@ def mean_of_ratios(col: Column) -> Column:
     return mean(col.cast("decimal(28,6)"))
 
 
-def cents(col: Column) -> Column:
-    """An amount of money as whole cents, so that adding it up is exact and cheap."""
-    return F.rint(col * 100).cast("bigint")
+#: Sums of money are exact to one of this many parts of a unit.
+MONEY_PARTS = 1_000_000
+
+
+def money_parts(col: Column) -> Column:
+    """An amount as whole millionths, so that adding it up is exact and cheap."""
+    return F.rint(col * MONEY_PARTS).cast("bigint")
+
+
+def money(parts: Column) -> Column:
+    """Whole millionths as an amount."""
+    return parts / F.lit(float(MONEY_PARTS))
 
 
 def sum_money(col: Column) -> Column:
-    """Aggregate: exact sum of an amount in whole cents; 0 over nothing."""
-    return sum0(cents(col)) / F.lit(100.0)
+    """Aggregate: exact sum of an amount; 0 over nothing."""
+    return money(sum0(money_parts(col)))
 
 
 def mean_money(col: Column) -> Column:
-    """Aggregate: mean of an amount in whole cents, exact up to the last division."""
+    """Aggregate: mean of an amount, exact up to the last division."""
     return ratio(sum_money(col), F.count(col))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streakline.functions.nulls import cents, flag, mean, pct, ratio, sum0, sum_money
+from streakline.functions.nulls import flag, mean, money, money_parts, pct, ratio, sum0, sum_money
 from streakline.operators.events import campaign_window, is_action, is_participation
 from streakline.spec import ID, CampaignSpec
 
@@ -122,26 +122,26 @@ def reward_leakage(selections: DataFrame, transactions: DataFrame) -> DataFrame:
     redeemed = (
         transactions.filter((F.col("coupon_discount") > 0) & F.col("coupon_code").isNotNull())
         .groupBy(ID, F.col("coupon_code").alias("code"))
-        .agg(F.sum(cents(F.col("coupon_discount"))).alias("discount_cents"))
+        .agg(F.sum(money_parts(F.col("coupon_discount"))).alias("discount_parts"))
     )
     used = selections.join(redeemed, [ID, "code"], "left")
     per_customer = used.groupBy(ID).agg(
-        F.bool_or(F.col("discount_cents").isNotNull()).alias("redeemed"),
-        F.sum("discount_cents").alias("once"),
-        F.sum(F.col("discount_cents") * F.col("n_selected")).alias("per_selection"),
+        F.bool_or(F.col("discount_parts").isNotNull()).alias("redeemed"),
+        F.sum("discount_parts").alias("once"),
+        F.sum(F.col("discount_parts") * F.col("n_selected")).alias("per_selection"),
     )
     return per_customer.agg(
         F.count(F.lit(1)).alias("customers_selected"),
         F.count_if("redeemed").alias("customers_used"),
-        (sum0(F.col("once")) / F.lit(100.0)).alias("leakage"),
-        (sum0(F.col("per_selection")) / F.lit(100.0)).alias("leakage_raw"),
+        money(sum0(F.col("once"))).alias("leakage"),
+        money(sum0(F.col("per_selection"))).alias("leakage_raw"),
     )
 
 
 def potential_loss(selections: DataFrame, tiers: DataFrame) -> DataFrame:
     """Value of all rewards affected customers selected; codes without a value are ignored."""
     values = tiers.select("code", "value")
-    valued = selections.join(F.broadcast(values), "code", "left")
+    valued = selections.join(values, "code", "left")
     return valued.agg(
         sum0(F.col("value")).alias("potential_loss"),
         sum0(F.col("value") * F.col("n_selected")).alias("potential_loss_raw"),

@@ -30,7 +30,7 @@ def daily_open_rate(events: DataFrame, spec: CampaignSpec) -> DataFrame:
         F.countDistinct(ID).alias("unique_opens"),
     )
     days = calendar(events.sparkSession, spec.start, spec.end, "open_date")
-    full = days.join(F.broadcast(per_day), "open_date", "left").fillna(
+    full = days.join(per_day, "open_date", "left").fillna(
         0, ["total_opens", "unique_opens"]
     )
 
@@ -190,14 +190,13 @@ def reward_response(rewards: DataFrame, activity: DataFrame) -> DataFrame:
 def daily_full(orders: DataFrame, activity: DataFrame, rewards: DataFrame) -> DataFrame:
     """Days with orders, their participation and their reward.
 
-    All three inputs hold one row per day of a bounded range, so the joins
-    broadcast. ``is_high_value`` is NULL on days without a reward.
+    All three inputs hold one row per day of a bounded range. ``is_high_value`` is NULL on days without a reward.
     """
     days = activity.withColumnRenamed("day", "order_date")
     gifts = label_rewards(rewards).withColumnRenamed("date", "order_date")
     return (
-        orders.join(F.broadcast(days), "order_date", "left")
-        .join(F.broadcast(gifts), "order_date", "left")
+        orders.join(days, "order_date", "left")
+        .join(gifts, "order_date", "left")
         .fillna(0, ["participate_count", "unique_active_users"])
         .fillna("No reward", ["reward_label"])
         .withColumn(

@@ -16,7 +16,6 @@ from streakline.operators.events import campaign_window, is_action, is_participa
 from streakline.spec import ID, CampaignSpec
 
 Tables = Mapping[str, DataFrame]
-SALTS = 16
 
 
 def _stack(rows: Sequence[DataFrame]) -> DataFrame:
@@ -184,13 +183,17 @@ def common_customers(presence: DataFrame, first: int | None = None) -> DataFrame
 
 
 def customer_timeline(
-    ids: DataFrame, log: DataFrame, coupons: DataFrame, transactions: DataFrame
+    ids: DataFrame,
+    log: DataFrame,
+    coupons: DataFrame,
+    transactions: DataFrame,
+    salts: int | None = None,
 ) -> DataFrame:
     """What the given customers did, from all three tables, one row per record.
 
     This is the one join that meets raw records. Each customer's records are
-    spread over ``SALTS`` join keys, and the ids repeated for each, so a
-    customer with a third of all records does not end up in one task. The
+    spread over ``salts`` join keys, by default one for each shuffle partition,
+    and the ids repeated for each, so a customer with a third of all records does not end up in one task. The
     salted key also gives both sides a shuffle of their own, which adaptive
     execution needs to split what is still too large.
     """
@@ -217,10 +220,11 @@ def customer_timeline(
             ),
         ]
     )
+    salts = salts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = records.withColumn(
-        "_salt", F.pmod(F.xxhash64("timestamp", "source", "what"), F.lit(SALTS)).cast("int")
+        "_salt", F.pmod(F.xxhash64("timestamp", "source", "what"), F.lit(salts)).cast("int")
     )
-    wanted = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    wanted = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     return salted.join(wanted, [ID, "_salt"], "left_semi").drop("_salt")
 
 

@@ -35,7 +35,7 @@ def reward_selection(log: DataFrame, tiers: DataFrame, spec: CampaignSpec) -> Da
         .select(ID, "first.collectable_value", "first.timestamp")
     )
     codes = tiers.select(F.col("code").alias("collectable_value"), F.col("tier").alias("selected_tier"))
-    return chosen.join(F.broadcast(codes), "collectable_value", "left").select(
+    return chosen.join(codes, "collectable_value", "left").select(
         ID, "collectable_value", "timestamp", "selected_tier"
     )
 

@@ -7,6 +7,7 @@ from fixture import LOG_SCHEMA, PERIODS, SPEC, TXN_SCHEMA, rows
 from pyspark.sql import functions as F
 
 from streakline.functions import binning
+from streakline.functions.nulls import sum_money
 from streakline.operators import audit, daily, events, funnel, impact, profile, quality, retention
 from streakline.operators import rewards, segments, statistics, streaks, timeofday
 from streakline.plans import customer360 as c360
@@ -188,3 +189,8 @@ def test_reward_labels(spark):
 
 def test_period_lengths():
     assert (PERIODS.pre_days, PERIODS.during_days, PERIODS.post_days) == (368, 22, 372)
+
+
+def test_amounts_under_a_cent_are_summed(spark):
+    df = spark.createDataFrame([(0.004,)] * 3, "v DOUBLE")
+    assert df.agg(sum_money(F.col("v"))).first()[0] == 0.012

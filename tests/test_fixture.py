@@ -112,9 +112,12 @@ def test_cohorts(all_events):
 
 
 def test_overall_retention(all_events):
-    curve = retention.retention_overall(retention.retention_lifecycle(all_events, SPEC))
+    lifecycle = retention.retention_lifecycle(all_events, SPEC)
+    curve = retention.retention_overall(lifecycle, horizon=14)
     got = {r["days_since_cohort"]: r["retention_rate"] for r in curve.collect()}
     assert got == {0: 100.0, 1: 20.0, 2: 20.0, 3: 20.0, 4: 20.0, 6: 20.0}
+    full = retention.retention_overall(lifecycle).collect()
+    assert len(full) > len(got) and {r["days_since_cohort"] for r in full} > set(got)
 
 
 def test_local_time(camp):

@@ -5,7 +5,9 @@ import os
 import pytest
 from harness import differences, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from streakline.plans.catalog import catalog as queries
+from streakline.plans.oracle import oracle as oracle_sql
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 ROWS_ONLY = {"ols_streak_orders_p_values", "ols_streak_demand_p_values"}

@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from streakline.operators import audit, events, retention, streaks
 from streakline.plans.bindings import CAMPAIGN, Tables
+from streakline.plans.catalog import catalog as queries
 
 FOLDER = "/root/testdata/sf0.001"
 FITS_WHEN_CALLED = {"ols_streak_orders_p_values", "ols_streak_demand_p_values"}
