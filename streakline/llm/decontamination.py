@@ -28,7 +28,7 @@ from streakline.llm.common import aliased, let, lower_ascii, restored, stage, ta
 
 WINDOW = 10
 RAREST = 2
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,7 +40,7 @@ def words_of(text: Column) -> Column:
 
 @dataclass
 class Index:
-    #: uid, words, and columns carried along
+    #: uid, line (the words joined by a space), n_words, and columns carried along
     documents: DataFrame
     #: uid, pos, term
     postings: DataFrame
@@ -48,24 +48,34 @@ class Index:
     counts: DataFrame
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has been counted to have at most BROADCAST_ROWS rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, keep: list[str]) -> Index:
     """Index ``docs`` (text, and the columns ``keep``) for the terms of ``vocabulary`` (term)."""
+    line = let(
+        words_of(F.col("text")),
+        lambda w: F.struct(F.array_join(w, " ").alias("line"), F.size(w).cast("long").alias("n")),
+    )
     documents = stage(
         docs.select(
-            F.monotonically_increasing_id().alias("uid"),
-            words_of(F.col("text")).alias("words"),
-            *aliased(keep),
-        ),
+            F.monotonically_increasing_id().alias("uid"), line.alias("words"), *aliased(keep)
+        )
+        .withColumn("line", F.col("words.line"))
+        .withColumn("n_words", F.col("words.n"))
+        .drop("words"),
         "words",
     )
     known = bounded(vocabulary.select("term").distinct())
     postings = stage(
-        documents.select("uid", F.posexplode("words").alias("pos", "term")).join(
+        documents.select("uid", F.posexplode(F.split("line", " ")).alias("pos", "term")).join(
             known, "term", "left_semi"
         ),
         "postings",
@@ -88,10 +98,12 @@ def phrases_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
             )
         ),
     )
-    exploded = items.select("item_id", F.explode(windows).alias("terms"))
-    # the joined words are the identity of a phrase; its digest is shorter
-    digest = F.sha2(F.array_join("terms", " ").cast("binary"), 256)
-    return exploded.select(digest.alias("phrase_id"), "terms", "item_id")
+    exploded = stage(items.select("item_id", F.explode(windows).alias("terms")), "windows")
+    numbers = stage(
+        exploded.select("terms").distinct().withColumn("phrase_id", F.monotonically_increasing_id()),
+        "phrases",
+    )
+    return exploded.join(numbers, "terms").select("phrase_id", "terms", "item_id")
 
 
 def ranked_terms(index: Index, phrases: DataFrame) -> DataFrame:
@@ -124,9 +136,21 @@ def exact_matches(index: Index, phrases: DataFrame) -> DataFrame:
         .where(F.col("lists") == F.least("size", F.lit(RAREST)))
         .drop("lists")
     )
-    compared = lists.join(bounded(phrases), "phrase_id").join(index.documents, "uid")
-    same = F.slice("words", F.col("start") + 1, F.col("size")) == F.col("terms")
-    return compared.where(same).select("phrase_id", "uid", "start", "size")
+    candidates = stage(lists, "candidates")
+    asked = (
+        candidates.join(bounded(phrases), "phrase_id")
+        .groupBy("uid")
+        .agg(F.collect_list(F.struct("phrase_id", "start", "size", "terms")).alias("asked"))
+    )
+    asked = F.broadcast(asked) if is_small(candidates) else asked
+    compared = index.documents.select("uid", "line").join(asked, "uid")
+    same = let(
+        F.split("line", " "),
+        lambda w: F.filter("asked", lambda c: F.slice(w, c["start"] + 1, c["size"]) == c["terms"]),
+    )
+    return compared.select("uid", F.explode(same).alias("c")).select(
+        "c.phrase_id", "uid", "c.start", "c.size"
+    )
 
 
 def proximity_matches(index: Index, phrases: DataFrame, slop: int) -> DataFrame:
@@ -182,8 +206,7 @@ def decontaminate(
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     return (
-        index.documents.withColumn("n_words", F.size("words").cast("long"))
-        .drop("words")
+        index.documents.drop("line")
         .join(covered, "uid", "left")
         .join(listed, "uid", "left")
         .select(
