@@ -157,8 +157,8 @@ class _Block:
         self.docs = {k: v for k, v in self.docs.items() if k in waits}
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end: int):
-    encoder, block = Encoder(path), _Block(TaskContext.get().partitionId())
+def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end: int, lower: bool):
+    encoder, block = Encoder(path, lower), _Block(TaskContext.get().partitionId())
     for batch in batches:
         for part in text_groups(batch.column("chars").to_pylist()):
             rows = batch.slice(part.start, part.stop - part.start)
@@ -179,15 +179,18 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end: int):
     yield from block.emit(block.packer.rest())
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with their window, tier, step group and ids."""
+def pack(docs: DataFrame, tokenizer: str, end: int = END, lower: bool = False) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with their window, tier, step group and ids.
+
+    ``lower`` tells that the tokenizer reads letters of both cases alike.
+    """
     return docs.select(
         "doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")
-    ).mapInArrow(lambda b: pack_batches(b, tokenizer, end), SCHEMA)
+    ).mapInArrow(lambda b: pack_batches(b, tokenizer, end, lower), SCHEMA)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), lower=True).drop("ids")
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Encoding of whole texts with a public tokenizer, many documents at a time.
 
-Both byte-level and word-level pre-tokenizers end a token before a space that stands
-between two characters that are not white space. Texts are cut there, equal pieces
-of a batch are encoded once, and a bounded memo keeps pieces between batches; the
-ids are those of the tokenizer on the whole text. Texts with Unicode white space,
-around which that rule is less plain, are not cut.
+Both byte-level and word-level pre-tokenizers end a token where ASCII letters meet
+ASCII punctuation (but not after an apostrophe, which may begin a contraction), around
+a single line break, and before a space that stands between two characters that are
+not white space. Texts are cut there, equal pieces of a batch are encoded once, and a
+bounded memo keeps pieces between batches; the ids are those of the tokenizer on the
+whole text. Texts with Unicode white space or with the beginning of a special token,
+around which those rules are less plain, are not cut.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 20
-MEMO_PIECES = 400_000
-UNCUT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MEMO_PIECES = 450_000
+UNCUT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
 CUT = re.compile(rb"(?<=[^ \t\n\r\x0b\x0c])(?= [^ \t\n\r\x0b\x0c])")
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -39,12 +45,16 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``lower`` tells that the tokenizer reads letters of both cases alike."""
+
+    def __init__(self, path: str, lower: bool = False):
+        self.lower = lower
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.powers = self.inverse = np.zeros(0, np.uint64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +64,10 @@ class Encoder:
         size = 0
         for i, text in enumerate(texts):
             cut = not UNCUT.search(text)
-            for piece in _bounded(text.encode()) if cut else [text.encode()]:
+            data = text.encode()
+            if cut and self.lower:
+                data = data.lower()
+            for piece in _bounded(data) if cut else [data]:
                 if size and size + len(piece) > BATCH_BYTES:
                     parts.append(self._group(group, counts))
                     group, size = [], 0
@@ -77,7 +90,12 @@ class Encoder:
         begins = np.cumsum(lengths) - lengths
         space = _SPACES[byte]
         cut = np.zeros(len(byte), bool)
-        cut[1:-1] = (byte[1:-1] == 32) & ~space[:-2] & ~space[2:]
+        alone = space[1:-1] & ~space[:-2] & ~space[2:]
+        cut[1:-1] = alone & ((byte[1:-1] == 32) | (byte[1:-1] == 10))
+        cut[2:] |= alone & (byte[1:-1] == 10)
+        letter, mark = _LETTERS[byte], _MARKS[byte]
+        cut[1:] |= letter[:-1] & mark[1:]
+        cut[1:] |= mark[:-1] & letter[1:] & (byte[:-1] != 39)
         for (_, _, wanted), at, n in zip(group, begins, lengths, strict=True):
             if not wanted:
                 cut[at : at + n] = False
@@ -98,12 +116,10 @@ class Encoder:
         return flat[ragged((np.cumsum(n_ids) - n_ids)[which], each)]
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        memo = self.memo
+        memo, older = self.memo, self.older
         missing = [p for p in pieces if p not in memo]
-        if len(memo) + len(missing) > MEMO_PIECES:
-            wanted = {p: memo[p] for p in pieces if p in memo}
-            memo.clear()
-            memo.update(wanted)
+        memo.update((p, older[p]) for p in missing if p in older)
+        missing = [p for p in missing if p not in memo]
         for i in range(0, len(missing), 4096):
             some = missing[i : i + 4096]
             done = self.tokenizer.encode_batch_fast(
@@ -111,7 +127,10 @@ class Encoder:
             )
             for piece, one in zip(some, done, strict=True):
                 memo[piece] = array("I", one.ids).tobytes()
-        return [memo[p] for p in pieces]
+        found = [memo[p] for p in pieces]
+        if len(memo) > MEMO_PIECES:  # what is still in use moves on when it is next seen
+            self.memo, self.older = {}, memo
+        return found
 
 
 def _bounded(data: bytes) -> Iterator[bytes]:
