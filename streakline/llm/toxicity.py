@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.llm.common import aliased, aliased_schema, restored, stage, table
+from streakline.llm.words import slices
 
 MIN_SHARE = 0.01
 MIN_DOCS = 5
@@ -42,7 +43,10 @@ MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6)
 EXCEPTION_DOCS = 3
 WORD = re.compile(r"[^\W_]+")
-MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$!]+[^\W\d_]|[0134578@$]+[^\W\d_]{2})[^\W_]*")
+#: Signs that stand for letters, next to letters.
+MIXED = re.compile(r"[^\W\d_][0134578@$!]+[^\W\d_]|[0134578@$][^\W\d_]{2}")
+SIGN = re.compile("[0134578@$!]")
+TOKEN = re.compile(r"\S+")
 #: Letters that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнαορνικτυε", "aeopcyxijsdhkmtbhaopviktue", strict=True))
 SIGNS = str.maketrans("0134578@$!", "oieastbasi")
@@ -55,11 +59,14 @@ def fold(text: str | None) -> list[str]:
     """The folded words of a text."""
     text = text or ""
     if not text.isascii():
-        text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = HIDDEN.sub("", text)
     text = text.lower()
     if not text.isascii() and FOREIGN.search(text):
         text = text.translate(LETTERS)
-    text = MIXED.sub(lambda m: m[0].translate(SIGNS), text.replace("@", "a").replace("$", "s") if "@" in text or "$" in text else text)
+    if SIGN.search(text) and MIXED.search(text):
+        text = TOKEN.sub(lambda t: t[0].translate(SIGNS) if MIXED.search(t[0]) else t[0], text)
     return WORD.findall(text)
 
 
@@ -128,7 +135,7 @@ class Matcher:
 
 def _count(batches, emit):
     """Rows (entry, n) counted by batch; ``emit`` gives the entries of a row."""
-    for batch in batches:
+    for batch in slices(batches):
         counts: Counter[str] = Counter()
         for text in batch.column("text"):
             counts.update(emit(text.as_py()))
@@ -143,13 +150,13 @@ def _totals(docs: DataFrame, emit) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> ToxicityModel:
-    """A model from ``labelled`` (text, toxic); all its rows are used."""
-    labelled = stage(labelled.select("text", "toxic").where("toxic in (0, 1)"), "labelled")
+    """A model from all distinct rows of ``labelled`` (text, toxic)."""
+    labelled = stage(labelled.select("text", "toxic").where("toxic in (0, 1)").distinct(), "labelled")
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(intercept=math.inf if 1 in sizes else -math.inf)
-    toxic, clean = labelled.where("toxic = 1").distinct(), labelled.where("toxic = 0").distinct()
-    n_toxic, n_clean = toxic.count(), clean.count()
+    toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
+    n_toxic, n_clean = sizes[1], sizes[0]
     least = max(MIN_DOCS if n_toxic >= 4 * MIN_DOCS else 1, MIN_SHARE * n_toxic)
     # at most 1 / MIN_SHARE times the entries of a text reach the driver
     common = _totals(toxic, lambda t: {e for w in set(fold(t)) for e in entries(w)}).where(F.col("n") >= least)
