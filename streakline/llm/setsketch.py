@@ -15,7 +15,8 @@ probability 1 - (1 - 0.75 ** 3) ** 24, all but two in a million.
    with the known sizes, discards pairs far below the threshold; the rest are
    verified on their full sets. Components are found, and buckets that still hold
    several get their next leader. Once the members outside each bucket's largest
-   component make no more pairs than there are nodes, these pairs are all checked.
+   component make no more than 200 pairs a node, these pairs are all checked: by their
+   registers within the join, which names a pair once, in the first bucket it shares.
    Every pair that shares a bucket is thus compared, or already connected.
 
 Verification streams members past their leader's set; leaders with many members are
@@ -29,17 +30,18 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.llm.common import ASCII_LOWER, aliased, aliased_schema, restored, stage, table
 from streakline.llm.components import components
-from streakline.llm.words import Sequences, Words
+from streakline.llm.words import Sequences, Words, slices
 
 SHINGLE = 5
 #: similar if 100 * intersection >= PERCENT * union
@@ -51,6 +53,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65535
 MEMBERS = 256
 #: Standard errors below the threshold at which an estimate discards a pair.
 ERRORS = 5
+#: Similarity so many standard errors below the threshold, as sketches show it.
+LEAST = PERCENT / 100 - ERRORS * math.sqrt(PERCENT * (100 - PERCENT) / REGISTERS) / 100
 _OTHER = np.uint64(0xA24BAED4963EE407)
 _random = np.random.Generator(np.random.PCG64(5))
 _XOR = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
@@ -91,7 +95,7 @@ def registers(least: np.ndarray) -> np.ndarray:
     """SetSketch registers from the least uniform hash of each register."""
     uniform = (least.astype(np.float64) + 1) / 2.0**64
     exponential = -np.log1p(-np.minimum(uniform, 1 - 2.0**-53)) / RATE
-    return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, LIMIT).astype("<u2")
+    return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, LIMIT).astype(np.int32)
 
 
 def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
@@ -109,13 +113,13 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = Shingles(batch.column("text").to_pylist())
         sizes, sketches = [], []
         for i in range(batch.num_rows):
             own = found.set_of(i)
             sizes.append(len(own))
-            sketches.append(registers(least_hashes(own)).tobytes() if len(own) else None)
+            sketches.append(registers(least_hashes(own)) if len(own) else None)
         high, low = found.identities()
         yield pa.RecordBatch.from_arrays(
             [
@@ -123,47 +127,44 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(high.view(np.int64)),
                 pa.array(low.view(np.int64)),
                 pa.array(sizes, pa.int64()),
-                pa.array(sketches, pa.binary()),
+                pa.array(sketches, pa.list_(pa.int32())),
             ],
             [*batch.schema.names, "high", "low", "size", "sketch"],
         )
 
 
 def explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         nodes = batch.column("node").to_numpy()
         found = Shingles(batch.column("text").to_pylist())
-        for begin in range(0, len(nodes), 200):
-            sets = [found.set_of(i) for i in range(begin, min(begin + 200, len(nodes)))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(nodes[begin : begin + 200], [len(s) for s in sets])),
-                    pa.array(np.concatenate(sets).view(np.int64)),
-                ],
-                ["node", "shingle"],
-            )
+        sets = [found.set_of(i) for i in range(len(nodes))]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(nodes, [len(s) for s in sets])),
+                pa.array(np.concatenate(sets).view(np.int64)),
+            ],
+            ["node", "shingle"],
+        )
 
 
 def discard_unlikely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose estimated similarity does not speak against a link."""
-    least = PERCENT / 100
-    least -= ERRORS * math.sqrt(least * (1 - least) / REGISTERS)
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            batch.column(c).flatten().to_numpy().reshape(-1, REGISTERS)
             for c in ("sketch_a", "sketch_b")
         )
         size_a, size_b = (batch.column(c).to_numpy().astype(float) for c in ("size_a", "size_b"))
-        likely = joint_similarity(a, b, size_a, size_b) >= least
+        likely = joint_similarity(a, b, size_a, size_b) > LEAST
         yield batch.select(["a", "b"]).filter(pa.array(likely))
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows in which each leader's text comes before its members'."""
     leader, own = None, np.zeros(0, np.uint64)
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         found, links = Shingles(batch.column("text").to_pylist()), []
         for i in range(len(a)):
@@ -178,11 +179,21 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(links, pa.int64()))
 
 
+def alike(size_a: Column, size_b: Column, a: Column, b: Column) -> Column:
+    """Whether sizes and equal registers allow a link: what the likelihood would say at its
+    most generous, as an expression for joins."""
+    equal = F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
+    )
+    sizes = 100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)
+    return sizes & (equal >= math.floor(REGISTERS * LEAST))
+
+
 class Linker:
-    """Compares nodes: ``nodes`` has node, size, sketch and text."""
+    """Compares nodes: ``nodes`` has node, size and sketch, ``texts`` node and text."""
 
-    def __init__(self, nodes: DataFrame):
-        self.nodes = nodes
+    def __init__(self, nodes: DataFrame, texts: DataFrame):
+        self.nodes, self.texts = nodes, texts
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct ``pairs`` (a, b); a is the side that many share."""
@@ -199,7 +210,7 @@ class Linker:
         members = likely.join(salts, "a").select(
             "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b"
         )
-        texts = self.nodes.select("node", "text")
+        texts = self.texts
         leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         rows = leaders.join(texts, F.col("a") == F.col("node")).select(
             "a", "salt", F.lit(None).cast("long").alias("b"), "text"
@@ -210,12 +221,20 @@ class Linker:
         return stage(ordered.select("a", "b", "text").mapInArrow(verify, "a long, b long"), "links")
 
 
+def band(sketch: Column, i: Column) -> Column:
+    return F.slice(sketch, 1 + i * ROWS, ROWS)
+
+
+def first_bucket(a: Column, b: Column) -> Column:
+    """The bucket of the first band in which two sketches agree."""
+    bands = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    first = F.get(F.filter(bands, lambda i: band(a, i) == band(b, i)), 0)
+    return F.xxhash64(first, band(a, first))
+
+
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node) of buckets with at least two nodes."""
-    width = 2 * ROWS
-    keys = [
-        F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * width, width)) for i in range(BANDS)
-    ]
+    keys = [F.xxhash64(F.lit(i), band(F.col("sketch"), F.lit(i))) for i in range(BANDS)]
     rows = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
     return several(rows)
 
@@ -225,13 +244,9 @@ def several(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket", "left_semi").select("bucket", "node")
 
 
-def linkable(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Nodes of ``members`` of whose shingles PERCENT or more occur in another such node."""
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    shingles = stage(
-        chosen.select("node", "text").mapInArrow(explode_shingles, "node long, shingle long"),
-        "shingles",
-    )
+def linkable(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Nodes of ``texts`` of whose shingles PERCENT or more occur in another such node."""
+    shingles = stage(texts.mapInArrow(explode_shingles, "node long, shingle long"), "shingles")
     shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = (
         shingles.join(shared.select("shingle"), "shingle", "left_semi")
@@ -243,11 +258,24 @@ def linkable(nodes: DataFrame, members: DataFrame) -> DataFrame:
     ).select("node")
 
 
-def link_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that are linked to a smaller one."""
-    linker = Linker(nodes)
+def at_once(n_nodes: int) -> int:
+    """How many remaining pairs are checked without a further round of leaders."""
+    return max(200 * n_nodes, 10_000)
+
+
+def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that are linked to a smaller one. ``nodes`` has node,
+    size and sketch; ``texts`` has node and text, of other rows as well."""
     shared = stage(shared_buckets(nodes), "buckets")
-    left = several(shared.join(linkable(nodes, shared), "node", "left_semi"))
+    candidates = shared.select("node").distinct()
+    texts = stage(texts.join(candidates, "node", "left_semi"), "candidates")
+    able = stage(linkable(nodes, texts), "linkable")
+    linker = Linker(
+        stage(nodes.join(able, "node", "left_semi"), "nodes"),
+        stage(texts.join(able, "node", "left_semi"), "texts"),
+    )
+    shared = shared.join(able, "node", "left_semi")
+    left = several(shared)
     sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     degrees = left.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("degree"))
     open_rows = stage(
@@ -255,8 +283,8 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
         "open",
     )
     n_nodes = nodes.count()
-    found = components(open_rows.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
-    while True:
+    found = nodes.sparkSession.createDataFrame([], "node long, component long")
+    for turn in itertools.count():
         rows = open_rows.join(found, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
@@ -281,17 +309,23 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
         ).first()
         if not work["buckets"]:
             return found
-        last = work["pairs"] <= max(n_nodes, 10_000)
+        last = turn > 0 and work["pairs"] <= at_once(n_nodes)
         unresolved = rows.join(buckets.select("bucket", "largest"), "bucket")
         if last:
-            minor = unresolved.where("component <> largest.component").select(
-                "bucket", F.col("node").alias("x"), F.col("component").alias("x_component")
+            sketched = unresolved.join(linker.nodes.select("node", "size", "sketch"), "node")
+            minor = sketched.where("component <> largest.component").select(
+                "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "sketch")]
             )
-            both = minor.join(unresolved.select("bucket", "node", "component"), "bucket").where(
-                "component <> x_component"
+            both = minor.join(
+                sketched,
+                (minor.bucket == sketched.bucket)
+                & (F.col("component") != F.col("x_component"))
+                & ((F.col("component") == F.col("largest.component")) | (F.col("x_node") < F.col("node")))
+                & alike(F.col("size"), F.col("x_size"), F.col("sketch"), F.col("x_sketch"))
+                & (first_bucket(F.col("sketch"), F.col("x_sketch")) == minor.bucket),
             )
             pairs = both.select(
-                F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")
+                F.greatest("x_node", "node").alias("a"), F.least("x_node", "node").alias("b")
             ).distinct()
         else:
             leaders = (
@@ -308,7 +342,7 @@ def link_nodes(nodes: DataFrame) -> DataFrame:
             )
         links = linker.links(pairs)
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(known.union(links))
+        found = found if links.isEmpty() else components(known.union(links))
         if last:
             return found
         open_rows = stage(
@@ -334,16 +368,15 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     rows = stage(
         numbered.mapInArrow(
             sketch,
-            f"uid long, doc_id {kind}, text string{extra}, high long, low long, size long, sketch binary",
+            f"uid long, doc_id {kind}, text string{extra}, high long, low long, size long, sketch array<int>",
         ),
         "sketches",
     )
     full = rows.where("size > 0")
     classes = stage(full.groupBy("high", "low").agg(F.min("uid").alias("node")), "classes")
-    nodes = rows.join(classes.select("node"), F.col("uid") == F.col("node"), "left_semi").select(
-        F.col("uid").alias("node"), "size", "sketch", "text"
-    )
-    found = link_nodes(nodes)
+    by_node = rows.withColumnRenamed("uid", "node")
+    nodes = by_node.select("node", "size", "sketch").join(classes.select("node"), "node", "left_semi")
+    found = link_nodes(stage(nodes, "nodes"), by_node.select("node", "text"))
     of_node = classes.join(found, "node", "left").select(
         "high", "low", F.coalesce("component", "node").alias("component")
     )
