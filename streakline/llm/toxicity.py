@@ -3,11 +3,13 @@
 Folding lower-cases, applies NFKC, drops zero-width characters, maps look-alike
 letters of other scripts to Latin, and reads digits and signs inside words as the
 letters they stand for. Lexicon entries are whole words and word beginnings of 4 to
-6 letters. They are learned from labelled rows: candidates occur in at least
-``MIN_SHARE`` of the distinct toxic texts, so there are at most 1 / MIN_SHARE times
-the entries of one text, whatever the corpus; their weight is the log odds of
-occurring in toxic against clean texts. Phrases of two words that hold an entry and
-speak for a clean text are exceptions: an entry inside one does not count.
+6 letters. They are learned from all distinct labelled rows by evidence alone, with the
+same three tests at every size: an entry occurs in ``MIN_DOCS`` toxic texts, its weight,
+the log odds of occurring in toxic against clean texts, is ``MIN_WEIGHT`` or more, and
+its counts have a probability under ``CHANCE`` if it occurred in both alike. Counts and
+weights are joined in Spark; tasks read the lexicon from the shared folder. Phrases of
+two words that hold an entry and speak for a clean text are exceptions: an entry inside
+one does not count.
 
 A text's raw sum takes the largest weight for each matched word; the score is a
 logistic model of that sum and of the sum over the text's length.
@@ -26,20 +28,25 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import aliased, aliased_schema, restored, stage, table
+from streakline.llm.common import aliased, aliased_schema, restored, shared_folder, stage, table
 from streakline.llm.words import slices
 
-MIN_SHARE = 0.01
-MIN_DOCS = 5
+MIN_DOCS = 3
 MIN_WEIGHT = 3.0
+CHANCE = 1e-4
+#: Different entries that a task counts before it hands them on.
+COUNTED = 200_000
 PREFIXES = (4, 5, 6)
 EXCEPTION_DOCS = 3
 WORD = re.compile(r"[^\W_]+")
@@ -100,6 +107,8 @@ def matches(found: ahocorasick.Automaton | None, words: list[str]) -> list[tuple
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
+    #: A table (entry, weight) in the shared folder, beside ``weights``.
+    lexicon: str | None = None
     intercept: float = -math.inf
     per_sum: float = 0.0
     per_density: float = 0.0
@@ -115,10 +124,23 @@ def density(total: Column, n_words: Column) -> Column:
     return F.log1p(100 * total / F.greatest(n_words, F.lit(1)))
 
 
+def _rows(folder: str, schema: pa.Schema) -> pa.Table:
+    store, root = fs.FileSystem.from_uri(folder)
+    return ds.dataset(root, schema=schema, format="parquet", filesystem=store).to_table()
+
+
+@lru_cache(maxsize=2)
+def _lexicon(folder: str | None) -> dict[str, float]:
+    if folder is None:
+        return {}
+    read = _rows(folder, pa.schema([("entry", pa.string()), ("weight", pa.float64())]))
+    return dict(zip(read["entry"].to_pylist(), read["weight"].to_pylist(), strict=True))
+
+
 class Matcher:
     def __init__(self, model: ToxicityModel):
-        self.weights = model.weights
-        self.found = automaton(model.weights)
+        self.weights = model.weights | _lexicon(model.lexicon)
+        self.found = automaton(self.weights)
         self.excepted = automaton(model.exceptions)
 
     def hits(self, words: list[str]) -> dict[int, float]:
@@ -134,41 +156,73 @@ class Matcher:
 
 
 def _count(batches, emit):
-    """Rows (entry, n) counted by batch; ``emit`` gives the entries of a row."""
-    for batch in slices(batches):
-        counts: Counter[str] = Counter()
-        for text in batch.column("text"):
-            counts.update(emit(text.as_py()))
-        yield pa.RecordBatch.from_pydict(
-            {"entry": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
+    """Rows (entry, n_toxic, n_clean); ``emit`` gives the different entries of a text."""
+    counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+    def counted():
+        clean, toxic = counts
+        both = list(clean | toxic)
+        return pa.RecordBatch.from_pydict(
+            {
+                "entry": pa.array(both, pa.string()),
+                "n_toxic": pa.array([toxic[e] for e in both], pa.int64()),
+                "n_clean": pa.array([clean[e] for e in both], pa.int64()),
+            }
         )
 
+    for batch in slices(batches):
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic].update(emit(text.as_py()))
+        if sum(map(len, counts)) > COUNTED:
+            yield counted()
+            counts = Counter(), Counter()
+    yield counted()
+
+
+def _totals(labelled: DataFrame, emit) -> DataFrame:
+    """(entry, n_toxic, n_clean): in how many toxic and clean texts an entry occurs."""
+    rows = labelled.select("text", "toxic").mapInArrow(
+        lambda b: _count(b, emit), "entry string, n_toxic long, n_clean long"
+    )
+    return rows.groupBy("entry").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
-def _totals(docs: DataFrame, emit) -> DataFrame:
-    rows = docs.select("text").mapInArrow(lambda b: _count(b, emit), "entry string, n long")
-    return rows.groupBy("entry").agg(F.sum("n").alias("n"))
+
+def log_odds(n: Column, rows: int, other: Column, other_rows: int) -> Column:
+    """Of occurring in texts of one label, ``n`` of ``rows``, against those of the other."""
+    return F.log((n + 0.5) / (rows + 1)) - F.log((other + 0.5) / (other_rows + 1))
+
+
+def by_chance(n: Column, rows: int, other: Column, other_rows: int) -> Column:
+    """The Chernoff bound of the probability that ``n`` or more of the texts with an entry
+    have the one label, if the entry occurs in texts of both labels alike."""
+    share = rows / (rows + other_rows)
+    part = lambda k, s: F.when(k > 0, k * F.log(k / ((n + other) * s))).otherwise(0.0)
+    return F.exp(-part(n, share) - part(other, 1 - share))
+
+
+def _entries_of(text: str | None) -> set[str]:
+    return {e for w in set(fold(text)) for e in entries(w)}
 
 
 def fit(labelled: DataFrame) -> ToxicityModel:
     """A model from all distinct rows of ``labelled`` (text, toxic)."""
-    labelled = stage(labelled.select("text", "toxic").where("toxic in (0, 1)").distinct(), "labelled")
+    labelled = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    labelled = stage(labelled.where("toxic in (0, 1)").distinct(), "labelled")
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(intercept=math.inf if 1 in sizes else -math.inf)
-    toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
-    n_toxic, n_clean = sizes[1], sizes[0]
-    least = max(MIN_DOCS if n_toxic >= 4 * MIN_DOCS else 1, MIN_SHARE * n_toxic)
-    # at most 1 / MIN_SHARE times the entries of a text reach the driver
-    common = _totals(toxic, lambda t: {e for w in set(fold(t)) for e in entries(w)}).where(F.col("n") >= least)
-    in_toxic = {r["entry"]: r["n"] for r in common.collect()}
-
-    seen = lambda t: {e for w in set(fold(t)) for e in entries(w) if e in in_toxic}
-    in_clean = {r["entry"]: r["n"] for r in _totals(clean, seen).collect()}
-    odds = lambda a, b: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-    weights = {e: odds(n, in_clean.get(e, 0)) for e, n in in_toxic.items()}
-    model = ToxicityModel({e: w for e, w in weights.items() if w >= MIN_WEIGHT})
-
-    model.exceptions = _exceptions(toxic, clean, model)
+    counts = F.col("n_toxic"), sizes[1], F.col("n_clean"), sizes[0]
+    lexicon = (
+        _totals(labelled, _entries_of)
+        .where(F.col("n_toxic") >= MIN_DOCS)
+        .withColumn("weight", log_odds(*counts))
+        .where((F.col("weight") >= MIN_WEIGHT) & (by_chance(*counts) <= CHANCE))
+    )
+    path = shared_folder(labelled.sparkSession, "lexicon")
+    lexicon.select("entry", "weight").write.parquet(path)
+    model = ToxicityModel(lexicon=path)
+
+    model.exceptions = _exceptions(labelled, model)
     _calibrate(model, labelled)
     return model
 
@@ -195,14 +249,10 @@ def _with_matcher(model: ToxicityModel, emit):
     return run
 
 
-def _exceptions(toxic: DataFrame, clean: DataFrame, model: ToxicityModel) -> list[str]:
-    emit = lambda: _with_matcher(model, _phrases)
-    in_clean = _totals(clean, emit()).where(F.col("n") >= EXCEPTION_DOCS)
-    in_toxic = _totals(toxic, emit()).withColumnRenamed("n", "n_toxic")
-    both = in_clean.join(in_toxic, "entry", "left")
-    share = F.coalesce(F.col("n_toxic"), F.lit(0)) / F.col("n")
+def _exceptions(labelled: DataFrame, model: ToxicityModel) -> list[str]:
+    both = _totals(labelled, _with_matcher(model, _phrases)).where(F.col("n_clean") >= EXCEPTION_DOCS)
     # as many entries as match in 1 / EXCEPTION_DOCS of the clean hits at most
-    return [r["entry"] for r in both.where(share < 0.1).select("entry").collect()]
+    return [r["entry"] for r in both.where("n_toxic / n_clean < 0.1").select("entry").collect()]
 
 
 def _calibrate(model: ToxicityModel, labelled: DataFrame) -> None:

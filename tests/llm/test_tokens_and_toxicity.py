@@ -97,6 +97,30 @@ def test_exceptions_cancel_a_hit():
     assert matcher.hits(["clown", "clown", "fish"]) == {0: 5.0}
 
 
+def labelled(spark, *kinds):
+    """Rows (text, toxic): ``n`` different texts of ten words, each with ``has``."""
+    rows = []
+    for n, has, toxic in kinds:
+        rows += [(f"{has} " + " ".join(f"c{len(rows) + i}x{k % 9}" for k in range(9)), toxic) for i in range(n)]
+    return spark.createDataFrame(rows, "text STRING, toxic INT")
+
+
+def totals(spark, model, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    rows = toxicity.raw_scores(docs, ["doc_id"], model).collect()
+    return [r.total for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_rare_words_with_clear_evidence_are_entries(spark):
+    """A word of 15 in 2,000 toxic texts and no clean one is learned; one of 3 is not."""
+    rows = labelled(
+        spark, (15, "zounds", 1), (3, "seldom", 1), (1982, "insult", 1), (2000, "plain", 0)
+    )
+    found = totals(spark, toxicity.fit(rows), ["a zounds b", "a seldom b", "an insult", "plain", None])
+    assert found[0] > 3 and found[2] > 3
+    assert found[1] == found[3] == found[4] == 0
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     scores = toxicity.op8_toxicity(spark, folder)
