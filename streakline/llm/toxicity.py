@@ -7,9 +7,10 @@ letters they stand for. Lexicon entries are whole words and word beginnings of 4
 same three tests at every size: an entry occurs in ``MIN_DOCS`` toxic texts, its weight,
 the log odds of occurring in toxic against clean texts, is ``MIN_WEIGHT`` or more, and
 its counts have a probability under ``CHANCE`` if it occurred in both alike. Counts and
-weights are joined in Spark; tasks read the lexicon from the shared folder. Phrases of
-two words that hold an entry and speak for a clean text are exceptions: an entry inside
-one does not count.
+weights are joined in Spark. Phrases of two words that hold an entry and speak for a
+clean text, by the same tests with the labels exchanged and log odds of
+``EXCEPTION_WEIGHT``, are exceptions: an entry inside one does not count. Tasks read
+lexicon and exceptions from the shared folder.
 
 A text's raw sum takes the largest weight for each matched word; the score is a
 logistic model of that sum and of the sum over the text's length.
@@ -28,7 +29,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -48,7 +48,7 @@ CHANCE = 1e-4
 #: Different entries that a task counts before it hands them on.
 COUNTED = 200_000
 PREFIXES = (4, 5, 6)
-EXCEPTION_DOCS = 3
+EXCEPTION_WEIGHT = math.log(10)
 WORD = re.compile(r"[^\W_]+")
 #: Signs that stand for letters, next to letters.
 MIXED = re.compile(r"[^\W\d_][0134578@$!]+[^\W\d_]|[0134578@$][^\W\d_]{2}")
@@ -107,8 +107,9 @@ def matches(found: ahocorasick.Automaton | None, words: list[str]) -> list[tuple
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
-    #: A table (entry, weight) in the shared folder, beside ``weights``.
+    #: Tables (entry, weight) in the shared folder, beside ``weights`` and ``exceptions``.
     lexicon: str | None = None
+    excepted: str | None = None
     intercept: float = -math.inf
     per_sum: float = 0.0
     per_density: float = 0.0
@@ -124,24 +125,21 @@ def density(total: Column, n_words: Column) -> Column:
     return F.log1p(100 * total / F.greatest(n_words, F.lit(1)))
 
 
-def _rows(folder: str, schema: pa.Schema) -> pa.Table:
-    store, root = fs.FileSystem.from_uri(folder)
-    return ds.dataset(root, schema=schema, format="parquet", filesystem=store).to_table()
-
-
-@lru_cache(maxsize=2)
-def _lexicon(folder: str | None) -> dict[str, float]:
+def _read(folder: str | None) -> dict[str, float]:
+    """The entries of a table in the shared folder with their weights."""
     if folder is None:
         return {}
-    read = _rows(folder, pa.schema([("entry", pa.string()), ("weight", pa.float64())]))
-    return dict(zip(read["entry"].to_pylist(), read["weight"].to_pylist(), strict=True))
+    store, root = fs.FileSystem.from_uri(folder)
+    schema = pa.schema([("entry", pa.string()), ("weight", pa.float64())])
+    rows = ds.dataset(root, schema=schema, format="parquet", filesystem=store).to_table()
+    return dict(zip(rows["entry"].to_pylist(), rows["weight"].to_pylist(), strict=True))
 
 
 class Matcher:
     def __init__(self, model: ToxicityModel):
-        self.weights = model.weights | _lexicon(model.lexicon)
+        self.weights = model.weights | _read(model.lexicon)
         self.found = automaton(self.weights)
-        self.excepted = automaton(model.exceptions)
+        self.excepted = automaton([*model.exceptions, *_read(model.excepted)])
 
     def hits(self, words: list[str]) -> dict[int, float]:
         """Weight of each matched word by its position in the folded line."""
@@ -155,6 +153,20 @@ class Matcher:
         return best
 
 
+_made: dict[tuple[str | None, str | None], Matcher] = {}
+
+
+def _matcher(model: ToxicityModel) -> Matcher:
+    """The model's matcher; a worker process keeps the last one it made from tables."""
+    if model.weights or model.exceptions:
+        return Matcher(model)
+    key = model.lexicon, model.excepted
+    if key not in _made:
+        _made.clear()
+        _made[key] = Matcher(model)
+    return _made[key]
+
+
 def _count(batches, emit):
     """Rows (entry, n_toxic, n_clean); ``emit`` gives the different entries of a text."""
     counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
@@ -211,22 +223,25 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(intercept=math.inf if 1 in sizes else -math.inf)
-    counts = F.col("n_toxic"), sizes[1], F.col("n_clean"), sizes[0]
-    lexicon = (
-        _totals(labelled, _entries_of)
-        .where(F.col("n_toxic") >= MIN_DOCS)
-        .withColumn("weight", log_odds(*counts))
-        .where((F.col("weight") >= MIN_WEIGHT) & (by_chance(*counts) <= CHANCE))
-    )
-    path = shared_folder(labelled.sparkSession, "lexicon")
-    lexicon.select("entry", "weight").write.parquet(path)
-    model = ToxicityModel(lexicon=path)
-
-    model.exceptions = _exceptions(labelled, model)
+    toxic, clean = (F.col("n_toxic"), sizes[1]), (F.col("n_clean"), sizes[0])
+    model = ToxicityModel()
+    model.lexicon = _speaking(_totals(labelled, _entries_of), toxic, clean, MIN_WEIGHT, "lexicon")
+    phrases = _totals(labelled, _with_matcher(model, _phrases))
+    model.excepted = _speaking(phrases, clean, toxic, EXCEPTION_WEIGHT, "exceptions")
     _calibrate(model, labelled)
     return model
 
 
+def _speaking(totals: DataFrame, own: tuple[Column, int], other: tuple[Column, int], least: float, name: str) -> str:
+    """The path of a table (entry, weight) of the entries of ``totals`` that speak for the
+    label of which ``own`` has the number of texts with the entry, and of all texts."""
+    weighed = totals.where(own[0] >= MIN_DOCS).withColumn("weight", log_odds(*own, *other))
+    found = weighed.where((F.col("weight") >= least) & (by_chance(*own, *other) <= CHANCE))
+    path = shared_folder(totals.sparkSession, name)
+    found.select("entry", "weight").write.parquet(path)
+    return path
+
+
 def _phrases(text: str | None, matcher: Matcher) -> set[str]:
     """Two-word phrases around the matched words of a text."""
     words, found, at = fold(text), set(), 0
@@ -243,18 +258,12 @@ def _with_matcher(model: ToxicityModel, emit):
 
     def run(text):
         if not cache:
-            cache.append(Matcher(model))
+            cache.append(_matcher(model))
         return emit(text, cache[0])
 
     return run
 
 
-def _exceptions(labelled: DataFrame, model: ToxicityModel) -> list[str]:
-    both = _totals(labelled, _with_matcher(model, _phrases)).where(F.col("n_clean") >= EXCEPTION_DOCS)
-    # as many entries as match in 1 / EXCEPTION_DOCS of the clean hits at most
-    return [r["entry"] for r in both.where("n_toxic / n_clean < 0.1").select("entry").collect()]
-
-
 def _calibrate(model: ToxicityModel, labelled: DataFrame) -> None:
     scored = raw_scores(labelled, ["toxic"], model)
     points = scored.groupBy(
@@ -269,7 +278,7 @@ def _calibrate(model: ToxicityModel, labelled: DataFrame) -> None:
 
 
 def _score(batches, model: ToxicityModel, keep: list[str]):
-    matcher = Matcher(model)
+    matcher = _matcher(model)
     for batch in batches:
         totals, sizes = [], []
         for text in batch.column("text"):

@@ -121,6 +121,22 @@ def test_rare_words_with_clear_evidence_are_entries(spark):
     assert found[1] == found[3] == found[4] == 0
 
 
+def test_exceptions_are_judged_by_shares_of_their_label(spark):
+    """Where 20 of 4,020 texts are toxic, a phrase in 6 of these and in 100 clean texts
+    is 12 times likelier in toxic ones."""
+    rows = labelled(
+        spark, (6, "clown here", 1), (14, "clown", 1), (100, "clown here", 0), (3900, "plain", 0)
+    )
+    found = totals(spark, toxicity.fit(rows), ["a clown here", "a clown", "plain"])
+    assert found[0] > 3 and found[1] > 3 and found[2] == 0
+
+
+def test_phrases_of_clean_texts_are_exceptions(spark):
+    rows = labelled(spark, (400, "clown", 1), (15, "clown fish", 0), (385, "plain", 0))
+    found = totals(spark, toxicity.fit(rows), ["a clown fish", "a clown", "plain"])
+    assert found[0] == found[2] == 0 and found[1] > 3
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     scores = toxicity.op8_toxicity(spark, folder)
