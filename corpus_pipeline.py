@@ -28,12 +28,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the words of passages that recur; texts that lose no word
     stay as they are."""
-    cut = substring_dedup.remove_repeats(docs, docs.columns)
+    cut = substring_dedup.cut_passages(docs, docs.columns)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    replaced = {"text": text, "n_chars": n_chars}
-    return cut.select(*[replaced.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    left = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    kept = {c: F.col(f"kept_{i}") for i, c in enumerate(docs.columns)}
+    return cut.select(
+        *[(F.when(changed, left[c]).otherwise(k) if c in left else k).alias(c) for c, k in kept.items()]
+    )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -249,6 +249,18 @@ def confirm(stretches: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with kept_text, n_words, n_removed and the removed
     word spans of column ``text``."""
+    return cut_passages(docs, keep).select(
+        *restored(keep),
+        "kept_text",
+        "n_words",
+        "n_removed",
+        "removed",
+    )
+
+
+def cut_passages(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``remove_repeats`` with the columns ``keep`` under the names of ``aliased``, which
+    clash with none of the others."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = chars // BLOCK_CHARS + 1
     dealt = docs.select(
@@ -276,7 +288,7 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         confirm(stretches), ["anchor", "stretch"]
     )
     names = [f"kept_{i}" for i in range(len(keep))]
-    cleaned = (
+    return (
         dealt.groupBy("block")
         .cogroup(confirmed.groupBy("block"))
         .applyInArrow(
@@ -285,13 +297,6 @@ def remove_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
             "removed array<struct<first:long,last:long>>",
         )
     )
-    return cleaned.select(
-        *restored(keep),
-        "kept_text",
-        "n_words",
-        "n_removed",
-        "removed",
-    )
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

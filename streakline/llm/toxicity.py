@@ -315,7 +315,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the documents that labels are learned from."""
     train = labels.where(remainder() != 0).select(F.col("doc_id").alias("label_id"), "toxic")
-    return docs.join(train, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    return docs.select("doc_id", "text").join(train, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
 
 
 def remainder() -> Column:

@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from llm_tables import duck, odd_rows, plain, write
+from llm_tables import CLASHING, duck, odd_rows, plain, write
 from pyspark.sql import functions as F
 
 from streakline.llm import chat, decontamination, setsketch, substring_dedup, url_cascade, warc
@@ -116,6 +118,45 @@ def test_escape_is_reversible_and_hides_control_strings(spark, text):
     assert not any(mark in found["e"] for mark in ("</s>", "<s>", "[INST]", "[/INST]", "[ROLE:"))
 
 
+#: Names of columns that the stages make or join.
+STAGE_NAMES = ("toxic", "label_id", "kept_text", "n_removed", "removed")
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    """The toxicity stage is compared with plain Python: only texts with the insult go."""
+    import corpus_pipeline
+
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [f"{'insult' if i < 40 else 'plain'} " + " ".join(f"t{i}x{k}" for k in range(9)) for i in range(80)]
+    own = [" ".join(f"{c}{k}" for k in range(60)) for c in "uv"]
+    texts += [f"one two {shared} {own[0]}", f"{shared} {own[1]}", None, "", "other"]
+    documents = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    documents += [documents[1], documents[50], (None, "insult alone", None, None, None), (None, None, None, None, None)]
+    labels = [(i, 1, int(i < 40)) for i in range(80)]
+    folder = write(tmp_path, {"documents": documents, "labels": labels}, CLASHING)
+    given = pq.read_table(f"{folder}/documents.parquet")
+    for name in STAGE_NAMES:
+        given = given.append_column(name, pa.array([f"{name}{i}" for i in range(len(given))]))
+    pq.write_table(given, f"{folder}/documents.parquet")
+    docs = table(spark, folder, "documents")
+    seen = {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        function(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == given.column_names
+        seen[name] = docs.collect()
+    clean = [tuple(r.values()) for r in given.to_pylist() if "insult" not in (r["text"] or "").split()]
+    assert plain(seen["toxicity"]) == plain(clean)
+    before, after = ({r.doc_id: r for r in seen[name]} for name in ("near_dedup", "substring_dedup"))
+    assert before.keys() == after.keys()
+    assert (after[80].text, after[81].text) == (f"one two {own[0]}", own[1])
+    assert after[80].n_chars == len(after[80].text)
+    extra = (*CLASHING, *STAGE_NAMES)
+    assert all([after[i][c] for c in extra] == [before[i][c] for c in extra] for i in after)
+    assert all(after[i] == before[i] for i in after if i not in (80, 81))
+
+
 def test_pipeline_stages_against_sql(spark, tmp_path):
     import corpus_pipeline
 
