@@ -6,7 +6,9 @@ a single line break, and before a space that stands between two characters that
 not white space. Texts are cut there, equal pieces of a batch are encoded once, and a
 bounded memo keeps pieces between batches; the ids are those of the tokenizer on the
 whole text. Texts with Unicode white space or with the beginning of a special token,
-around which those rules are less plain, are not cut.
+around which those rules are less plain, are not cut. Texts are lower-cased early, to
+share pieces, unless they hold combining marks: some of these compose with the small
+letter only, and tokenizers compose before they lower-case.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 BATCH_BYTES = 1 << 20
 MEMO_PIECES = 450_000
 UNCUT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
+MARKED = re.compile("[\u0300-\u036f]")
 CUT = re.compile(rb"(?<=[^ \t\n\r\x0b\x0c])(?= [^ \t\n\r\x0b\x0c])")
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64)
@@ -65,7 +68,7 @@ class Encoder:
         for i, text in enumerate(texts):
             cut = not UNCUT.search(text)
             data = text.encode()
-            if cut and self.lower:
+            if cut and self.lower and (text.isascii() or not MARKED.search(text)):
                 data = data.lower()
             for piece in _bounded(data) if cut else [data]:
                 if size and size + len(piece) > BATCH_BYTES:

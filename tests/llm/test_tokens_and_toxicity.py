@@ -9,7 +9,7 @@ import pytest
 from llm_tables import CLASHING, odd_rows, write
 from tokenizers import Tokenizer
 
-from streakline.llm import packing, token_orc, toxicity
+from streakline.llm import packing, token_orc, tokens, toxicity
 from streakline.llm.common import shared_folder, table
 
 
@@ -85,6 +85,16 @@ def test_packed_pieces_hold_each_id_once(spark, odd):
         assert ids == expected[doc_id]
 
 
+@pytest.mark.parametrize("pair", ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "E\u0301"])
+def test_ids_of_capitals_with_combining_marks(pair):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = f"A {pair}at and {pair} {pair.lower()}at"
+    ids, counts = tokens.Encoder(path, lower=True).encode([text, "Plain H"])
+    wanted = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in (text, "Plain H")]
+    assert counts.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == wanted[0] + wanted[1]
+
+
 def test_folding():
     assert toxicity.fold("Ｉd​iot, 1d10t р4тнетіс 2024") == ["idiot", "idiot", "pathetic", "2024"]
     assert toxicity.fold(None) == []
