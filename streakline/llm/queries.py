@@ -5,6 +5,7 @@ from __future__ import annotations
 from streakline.llm import (
     chat,
     decontamination,
+    fill_middle,
     host_rules,
     packing,
     setsketch,
@@ -13,6 +14,7 @@ from streakline.llm import (
     toxicity,
     url_cascade,
     warc,
+    whitening,
 )
 
 MODULES = (
@@ -26,6 +28,8 @@ MODULES = (
     toxicity,
     chat,
     url_cascade,
+    fill_middle,
+    whitening,
 )
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
