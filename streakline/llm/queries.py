@@ -7,6 +7,7 @@ from streakline.llm import (
     decontamination,
     fill_middle,
     host_rules,
+    language_id,
     packing,
     setsketch,
     substring_dedup,
@@ -28,6 +29,7 @@ MODULES = (
     toxicity,
     chat,
     url_cascade,
+    language_id,
     fill_middle,
     whitening,
 )

@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-NAMES = ("documents", "pages", "benchmark", "labels", "conversations")
+NAMES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 SCHEMAS = {
     "documents": [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()),
                   ("source", pa.string()), ("n_chars", pa.int64())],
@@ -15,6 +15,7 @@ SCHEMAS = {
     "labels": [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())],
     "conversations": [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()),
                       ("text", pa.string())],
+    "embeddings": [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())],
 }
 #: Names that operators use inside.
 CLASHING = ("uid", "text_", "block", "words", "node", "total", "n_words", "kept", "digest", "rule")
