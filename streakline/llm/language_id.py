@@ -10,9 +10,10 @@ white space, where n-grams end too.
 
 The classifier is fitted on a bounded sample: ``SAMPLE`` documents of each language, expected,
 taken by a hash of doc_id, the same way at every size. A fifth of it, by another part of the
-hash, is kept for the calibration. The rest is dealt over ``SHARDS`` tasks by the hash. In each epoch
-every task runs the per-coordinate update with L1 and L2 penalties over its documents, from
-the state that all tasks share; the states are summed by feature in Spark and averaged.
+hash, is kept for the calibration. The rest is dealt into ``SHARDS`` shards, the same ones
+whatever the number of tasks. In each epoch a shard runs the per-coordinate update with L1
+and L2 penalties over its documents, from the state that all shards share; the states are
+summed by feature in Spark and averaged.
 The state has at most languages x buckets entries, whatever the number of documents. The
 L1 penalty leaves the weights sparse.
 
@@ -243,21 +244,28 @@ class State:
         self.n[rows] = n + g * g
 
 
+def _slots(state: State) -> pa.RecordBatch:
+    """The entries that a shard has changed; the slot after the last counts the shards."""
+    found = np.flatnonzero(state.n.reshape(-1))
+    values = [pa.array(np.append(one.reshape(-1)[found], 1.0)) for one in (state.z, state.n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.append(found, state.n.size)), *values], ["slot", "z", "n"])
+
+
 def _epoch(batches, shared: Broadcast):
+    """The states of the shards in these rows, each learned from the shared state."""
     idf, z, n = shared.value
-    state, some = State(z.copy(), n.copy()), False
+    now, state = None, None
     for batch, texts in _texts(batches):
-        labels = batch.column("label").to_pylist()
+        labels, shards = batch.column("label").to_pylist(), batch.column("shard").to_pylist()
         for i, rows, counts in texts.counted():
+            if shards[i] != now:
+                if state:
+                    yield _slots(state)
+                now, state = shards[i], State(z.copy(), n.copy())
             x = 100 * counts / counts.sum() * idf[rows]
             state.learn(np.append(rows, BUCKETS), np.append(x, 1.0), labels[i])
-            some = True
-    if some:
-        found = np.flatnonzero(state.n.reshape(-1))
-        # the slot after the last counts the tasks that had documents
-        slots, ones = np.append(found, state.n.size), (state.z.reshape(-1), state.n.reshape(-1))
-        values = [pa.array(np.append(one[found], 1.0)) for one in ones]
-        yield pa.RecordBatch.from_arrays([pa.array(slots), *values], ["slot", "z", "n"])
+    if state:
+        yield _slots(state)
 
 
 def _train(sample: DataFrame, idf: np.ndarray, classes: int) -> np.ndarray:
@@ -265,15 +273,16 @@ def _train(sample: DataFrame, idf: np.ndarray, classes: int) -> np.ndarray:
     context = sample.sparkSession.sparkContext
     shape = (BUCKETS + 1, classes)
     state = State(np.zeros(shape), np.zeros(shape))
-    dealt = sample.repartition(SHARDS, "order").sortWithinPartitions("order")
+    dealt = sample.withColumn("shard", F.pmod("order", F.lit(SHARDS)))
+    dealt = dealt.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "order")
     for _ in range(EPOCHS):
         shared = context.broadcast((idf, state.z, state.n))
         states = dealt.mapInArrow(lambda b, s=shared: _epoch(b, s), "slot long, z double, n double")
         rows = states.groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
         z, n = np.zeros((2, state.z.size + 1))
         z[rows["slot"]], n[rows["slot"]] = rows["z"], rows["n"]
-        tasks = max(1.0, z[-1])
-        state = State(z[:-1].reshape(shape) / tasks, n[:-1].reshape(shape) / tasks)
+        shards = max(1.0, z[-1])
+        state = State(z[:-1].reshape(shape) / shards, n[:-1].reshape(shape) / shards)
         shared.unpersist()
     return state.weights()
 
