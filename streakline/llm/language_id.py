@@ -337,14 +337,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         return None
     languages, counts = [r["lang"] for r in sizes], np.array([r["n"] for r in sizes], float)
     spark = labelled.sparkSession
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     rates = np.minimum(1.0, sample / counts)
-    known = spark.createDataFrame(
-        [(name, i, float(rates[i])) for i, name in enumerate(languages)], "lang string, label int, rate double"
-    )
+    # looked up in a literal of a row a language, so that no text is moved for it
+    entries = [(F.lit(name), F.struct(F.lit(k).alias("label"), F.lit(float(rates[k])).alias("rate")))
+               for k, name in enumerate(languages)]
+    known = F.create_map(*(c for entry in entries for c in entry))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)).alias("part")
-    chosen = labelled.join(known, "lang").where(drawn < F.col("rate") * 1_000_003)
-    chosen = stage(chosen.select("label", "text", part, F.xxhash64("text", "doc_id").alias("order")), "sample")
+    chosen = labelled.withColumn("known", known[F.col("lang")]).where(drawn < F.col("known.rate") * 1_000_003)
+    chosen = chosen.select("known.label", "text", part, F.xxhash64("text", "doc_id").alias("order"))
+    chosen = stage(chosen, "sample")
     idf = inverse_document_frequencies(labelled, int(counts.sum()))
     weights = _train(chosen.where("part <> 0"), idf, len(languages))
     taken = np.ones(len(languages))
