@@ -1,8 +1,7 @@
 """Cohort retention after the first participation.
 
-The log is first reduced to one row per customer and day. A customer then has
-at most as many rows as the campaign has days, so windows by customer are safe
-for the heaviest user.
+The log is first reduced to one row a customer, with the days as bits. Cohort and offsets
+come from that row, so the heaviest user costs no more than any other.
 """
 
 from __future__ import annotations
@@ -10,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streakline.functions import bits
 from streakline.functions.binning import listed_age_group
 from streakline.functions.nulls import pct
-from streakline.operators.events import campaign_window, is_participation
+from streakline.operators.activity import activity_bitmaps, date_of, participants
 from streakline.spec import ID, CampaignSpec
 
+
 def cohort_table(log: DataFrame, spec: CampaignSpec) -> DataFrame:
     """Each participant's cohort: the day of the first participation."""
-    return (
-        campaign_window(log, spec)
-        .filter(is_participation(spec))
-        .groupBy(ID)
-        .agg(F.to_date(F.min("timestamp")).alias("cohort_date"))
-    )
+    return cohorts_of(activity_bitmaps(log, spec), spec)
+
+
+def cohorts_of(activity: DataFrame, spec: CampaignSpec) -> DataFrame:
+    """``cohort_table`` from the customers' days."""
+    first = bits.first(bits.words(F.col("participated"), spec.days))
+    return participants(activity, spec).select(ID, date_of(first, spec).alias("cohort_date"))
 
 
 def cohort_sizes(cohorts: DataFrame) -> DataFrame:
@@ -37,22 +39,21 @@ def retention_lifecycle(log: DataFrame, spec: CampaignSpec) -> DataFrame:
     """Engaged days of participants, as days since the first participation.
 
     Days before the first participation and customers who never participated
-    are left out. The cohort comes from the same daily rows by a window, so the
-    log is read and shuffled once and joined with nothing.
+    are left out.
     """
-    engaged = F.col("event").isin(spec.participate, *spec.interaction)
-    daily = (
-        campaign_window(log, spec)
-        .filter(engaged)
-        .groupBy(ID, F.to_date("timestamp").alias("activity_date"))
-        .agg(F.bool_or(is_participation(spec)).alias("_participated"))
-    )
-    first_day = F.min(F.when(F.col("_participated"), F.col("activity_date")))
-    return (
-        daily.withColumn("cohort_date", first_day.over(Window.partitionBy(ID)))
-        .withColumn("days_since_cohort", F.datediff("activity_date", "cohort_date"))
-        .filter(F.col("days_since_cohort") >= 0)
-        .select(ID, "activity_date", "cohort_date", "days_since_cohort")
+    return lifecycle_of(activity_bitmaps(log, spec), spec)
+
+
+def lifecycle_of(activity: DataFrame, spec: CampaignSpec) -> DataFrame:
+    """``retention_lifecycle`` from the customers' days."""
+    first = bits.first(bits.words(F.col("participated"), spec.days))
+    engaged = F.explode(bits.members(F.col("engaged"), spec.days)).alias("_day")
+    rows = participants(activity, spec).select(ID, first.alias("_first"), engaged)
+    return rows.filter("_day >= _first").select(
+        ID,
+        date_of(F.col("_day"), spec).alias("activity_date"),
+        date_of(F.col("_first"), spec).alias("cohort_date"),
+        (F.col("_day") - F.col("_first")).alias("days_since_cohort"),
     )
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streakline.functions import bits
 from streakline.functions.binning import bin_centre
 from streakline.functions.nulls import flag, pct, ratio
+from streakline.operators.activity import date_of, participants
 from streakline.operators.events import is_participation
 from streakline.spec import ID, CampaignSpec
 
@@ -102,36 +104,40 @@ def histogram(df: DataFrame, column: str, width: int) -> DataFrame:
     )
 
 
-def streak_gaps(days: DataFrame) -> DataFrame:
-    """Gap in days to the customer's previous participation day.
+def streak_gaps(activity: DataFrame, spec: CampaignSpec) -> DataFrame:
+    """Participation days with the gap in days to the customer's previous one.
 
-    ``days`` holds one row per customer and day, so a customer's window has at
-    most as many rows as the campaign has days.
+    ``activity`` holds the customers' days as bits; the day before is the entry before in
+    the customer's own array, so there is no window.
     """
-    previous = F.lag("activity_date").over(Window.partitionBy(ID).orderBy("activity_date"))
-    return days.withColumn("prev_date", previous).withColumn(
-        "gap_days", F.datediff("activity_date", "prev_date")
+    days = bits.members(F.col("participated"), spec.days)
+    pairs = F.transform("_days", lambda d, i: F.struct(d.alias("day"), F.get("_days", i - 1).alias("previous")))
+    return (
+        activity.select(ID, days.alias("_days"))
+        .select(ID, F.inline(pairs))
+        .select(
+            ID,
+            date_of(F.col("day"), spec).alias("activity_date"),
+            date_of(F.col("previous"), spec).alias("prev_date"),
+            (F.col("day") - F.col("previous")).alias("gap_days"),
+        )
     )
 
 
-def rebuild_flags(days: DataFrame) -> DataFrame:
+def rebuild_flags(activity: DataFrame, spec: CampaignSpec) -> DataFrame:
     """Active days, breaks and whether a customer came back after the first break.
 
     ``first_break_position`` is the place, among the active days, of the day
     after the first gap. Only a customer with further days after that one
-    counts as rebuilding.
+    counts as rebuilding. A break is a run of days after the first one.
     """
-    position = F.row_number().over(Window.partitionBy(ID).orderBy("activity_date"))
-    broke = F.col("gap_days") > 1
-    per_customer = (
-        streak_gaps(days)
-        .withColumn("_position", position)
-        .groupBy(ID)
-        .agg(
-            F.count(F.lit(1)).alias("total_active_days"),
-            F.count_if(broke).alias("n_breaks"),
-            F.min(F.when(broke, F.col("_position"))).alias("first_break_position"),
-        )
+    days = bits.words(F.col("participated"), spec.days)
+    starts = bits.run_starts(days)
+    per_customer = participants(activity, spec).select(
+        ID,
+        bits.size(days).cast("bigint").alias("total_active_days"),
+        (bits.size(starts) - 1).cast("bigint").alias("n_breaks"),
+        (bits.size_below(days, bits.without_first(starts)) + 1).cast("int").alias("first_break_position"),
     )
     return per_customer.withColumns(
         {

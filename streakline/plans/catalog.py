@@ -16,6 +16,7 @@ from pyspark.sql.types import DecimalType, DoubleType
 from streakline.functions import binning
 from streakline.functions.dates import in_window
 from streakline.operators import (
+    activity,
     audit,
     daily,
     events,
@@ -787,7 +788,7 @@ def engagement_events(t):
 
 @query
 def cohort_table(t):
-    return retention.cohort_table(t.log, t.campaign)
+    return retention.cohorts_of(t.activity, t.campaign)
 
 
 @query
@@ -802,7 +803,7 @@ def retention_lifecycle(t):
 
 @query
 def cohort_sizes(t):
-    return retention.cohort_sizes(retention.cohort_table(t.log, t.campaign))
+    return retention.cohort_sizes(retention.cohorts_of(t.activity, t.campaign))
 
 
 @query
@@ -869,28 +870,33 @@ def opens_day_hour(t):
 # --- streak rebuilding ----------------------------------------------------
 
 
-def _flags(t, spec):
-    return streaks.rebuild_flags(events.participation_days(t.log, spec))
+def _flags(t):
+    return streaks.rebuild_flags(t.activity, t.campaign)
 
 
 @query
 def streak_gaps(t):
-    return streaks.streak_gaps(events.participation_days(t.log, t.campaign))
+    return streaks.streak_gaps(t.activity, t.campaign)
 
 
 @query
 def rebuild_flags(t):
-    return _flags(t, t.campaign)
+    return _flags(t)
 
 
 @query
 def rebuild_segments(t):
-    return streaks.rebuild_segments(_flags(t, t.campaign))
+    return streaks.rebuild_segments(_flags(t))
 
 
 @query
 def rebuild_summary(t):
-    return streaks.rebuild_summary(_flags(t, t.campaign))
+    return streaks.rebuild_summary(_flags(t))
+
+
+@query
+def activity_runs(t):
+    return activity.activity_runs(t.activity, t.campaign)
 
 
 # --- streak audit and leakage --------------------------------------------

@@ -1257,6 +1257,17 @@ _sql(
     FROM rebuilt""",
 )
 
+_sql(
+    "activity_runs",
+    f"""SELECT id AS unique_customer_id, CAST(sum(n) AS BIGINT) AS active_days, count(*) AS n_runs,
+    CAST(max(n) AS BIGINT) AS longest_run,
+    CAST(coalesce(sum(n) FILTER (last_day = DATE '2024-01-26'), 0) AS BIGINT) AS final_run,
+    min(first_day) AS first_day, max(last_day) AS last_day
+    FROM (SELECT id, island, count(*) AS n, min(day) AS first_day, max(day) AS last_day
+      FROM (SELECT id, day, day - CAST(pos AS INTEGER) AS island FROM ({_gaps('click_days')}))
+      GROUP BY id, island) GROUP BY id""",
+)
+
 # --- streak audit and leakage --------------------------------------------
 
 _part(

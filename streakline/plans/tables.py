@@ -9,7 +9,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streakline.operators import audit, events, profile, retention, rewards, streaks, timeofday
+from streakline.operators import activity, audit, events, profile, retention, rewards, streaks, timeofday
 from streakline.plans import customer360 as c360
 from streakline.sources.cleaning import strip_id_prefix, typed_customers
 from streakline.sources.readers import reward_days, tier_table
@@ -117,9 +117,14 @@ class CampaignTables:
         """Reward selectors with their streaks."""
         return rewards.selectors(self.selection, self.engagement)
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        """The campaign days of each engaged customer, as bits."""
+        return activity.activity_bitmaps(self.log, self.campaign)
+
     @cached_property
     def lifecycle(self) -> DataFrame:
-        return retention.retention_lifecycle(self.log, self.campaign)
+        return retention.lifecycle_of(self.activity, self.campaign)
 
     @cached_property
     def local(self) -> DataFrame:

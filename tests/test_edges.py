@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from streakline.functions import binning
 from streakline.functions.nulls import sum_money
-from streakline.operators import audit, daily, events, funnel, impact, profile, quality, retention
+from streakline.operators import activity, audit, daily, events, funnel, impact, profile, quality
+from streakline.operators import retention
 from streakline.operators import rewards, segments, statistics, streaks, timeofday
 from streakline.plans import customer360 as c360
 from streakline.sources import schemas
@@ -42,8 +43,8 @@ def test_reports_on_nothing_have_no_rows_or_one_of_nulls(empty):
     lifecycle = retention.retention_lifecycle(e["log"], SPEC)
     local = timeofday.local_time_events(camp, SPEC)
     gaps = audit.streak_gap_analysis(audit.streak_audit(e["log"], SPEC))
-    days = events.participation_days(e["log"], SPEC)
-    flags = streaks.rebuild_flags(days)
+    days = activity.activity_bitmaps(e["log"], SPEC)
+    flags = streaks.rebuild_flags(days, SPEC)
     opens = daily.daily_open_rate(camp, SPEC)
     orders = daily.daily_orders(e["txn"], SPEC, SPEC.start, SPEC.end)
     no_rows = [

@@ -6,7 +6,7 @@ import pytest
 from fixture import PERIODS, SPEC, log, raw_log, rows, transactions
 from pyspark.sql import functions as F
 
-from streakline.operators import audit, daily, events, funnel, profile, retention, rewards, streaks
+from streakline.operators import activity, audit, daily, events, funnel, profile, retention, rewards, streaks
 from streakline.operators import timeofday
 from streakline.sources.cleaning import sanitize_streak
 from streakline.sources.readers import tier_table
@@ -128,7 +128,7 @@ def test_local_time(camp):
 
 
 def test_rebuild(all_events):
-    flags = streaks.rebuild_flags(events.participation_days(all_events, SPEC))
+    flags = streaks.rebuild_flags(activity.activity_bitmaps(all_events, SPEC), SPEC)
     got = by_id(flags.withColumn("segment", streaks.rebuild_segment()))
     assert got["u1"]["segment"] == streaks.CONTINUOUS
     assert got["u2"]["segment"] == streaks.REBUILT and got["u2"]["first_break_position"] == 2

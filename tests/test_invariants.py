@@ -7,7 +7,7 @@ import pytest
 from fixture import rows
 from pyspark.sql import functions as F
 
-from streakline.operators import audit, events, profile, quality, retention, streaks
+from streakline.operators import activity, audit, events, profile, quality, retention, streaks
 from streakline.plans import customer360 as c360
 from streakline.plans.bindings import CAMPAIGN, PERIODS, Tables
 from streakline.plans.catalog import catalog
@@ -122,7 +122,7 @@ def test_leakage_once_is_at_most_raw(run):
 
 
 def test_rebuild_behaviours_cover_everyone(t):
-    flags = streaks.rebuild_flags(events.participation_days(t.log, FIRST_DAYS))
+    flags = streaks.rebuild_flags(activity.activity_bitmaps(t.log, FIRST_DAYS), FIRST_DAYS)
     segments = {r["rebuild_segment"]: r["n"] for r in streaks.rebuild_segments(flags).collect()}
     assert set(segments) <= {streaks.ONE_DAY, streaks.CONTINUOUS, streaks.REBUILT, streaks.DROPPED}
     assert sum(segments.values()) == flags.count()

@@ -7,7 +7,8 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from streakline.operators import audit, daily, events, profile, quality, retention, rewards, streaks
+from streakline.operators import activity, audit, daily, events, profile, quality, retention
+from streakline.operators import rewards, streaks
 from streakline.sources.readers import tier_table
 from streakline.spec import ID, CampaignSpec, numbered_tiers
 
@@ -100,7 +101,7 @@ def test_audit_and_rebuild(log, camp):
         (r[ID], r["activity_date"]) for r in gaps.filter("inconsistent_streak").collect()
     } == inconsistent
 
-    flags = {r[ID]: r for r in streaks.rebuild_flags(events.participation_days(log, SPEC)).collect()}
+    flags = {r[ID]: r for r in streaks.rebuild_flags(activity.activity_bitmaps(log, SPEC), SPEC).collect()}
     for who, ds in days.items():
         breaks = [i for i in range(1, len(ds)) if (ds[i] - ds[i - 1]).days > 1]
         assert flags[who]["n_breaks"] == len(breaks)
