@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streakline.functions.dates import midnight
 from streakline.functions.nulls import flag, mean, mean_money, mean_of_ratios, pct, sum_money
+from streakline.operators import activity
 from streakline.operators.events import is_action, is_participation
 from streakline.spec import ID, CampaignSpec, PeriodSpec
 
@@ -38,30 +40,48 @@ def engagement_summary(events: DataFrame, spec: CampaignSpec) -> DataFrame:
     ``final_streak`` is the streak at the customer's latest event. Opens are
     participations plus opened cards.
     """
-    participated = is_participation(spec)
-    opened = is_action(spec, spec.opened)
+    return _with_reached(events.groupBy(ID).agg(*_engagement_aggs(spec, F.lit(True))), spec)
+
+
+def engagement_of_log(log: DataFrame, spec: CampaignSpec) -> DataFrame:
+    """``engagement_summary`` and the campaign days as bits, of every customer of the log.
+
+    One pass over the whole log; a customer without events in the campaign has counts of 0,
+    no times and no days.
+    """
+    ts = F.col("timestamp")
+    inside = (ts >= midnight(spec.start)) & (ts < midnight(spec.end + timedelta(days=1)))
+    found = log.groupBy(ID).agg(*_engagement_aggs(spec, inside), *activity.day_sets(spec, inside))
+    return _with_reached(found, spec)
+
+
+def _engagement_aggs(spec: CampaignSpec, inside: Column) -> list[Column]:
+    participated = inside & is_participation(spec)
+    opened = inside & is_action(spec, spec.opened)
+    streak, ts = F.col("current_streak_value"), F.col("timestamp")
+    within = lambda col: F.when(inside, col)
     latest = F.struct("timestamp", "event_id", "current_streak_value")
-    return (
-        events.groupBy(ID)
-        .agg(
-            F.count_if(F.col("event") == spec.enter).alias("n_enter"),
-            F.count_if(F.col("event") == spec.onboard).alias("n_onboarded"),
-            F.count_if(participated).alias("n_participate"),
-            F.count_if(participated | opened).alias("n_opens"),
-            F.count_if(is_action(spec, spec.claimed)).alias("n_claims"),
-            F.count(F.lit(1)).alias("n_interactions"),
-            F.max("current_streak_value").alias("max_streak"),
-            F.max_by("current_streak_value", latest).alias("final_streak"),
-            F.min("timestamp").alias("first_engagement"),
-            F.max("timestamp").alias("last_engagement"),
-            F.min(F.when(participated, F.col("timestamp"))).alias("first_participate"),
-        )
-        .withColumns(
-            {
-                "is_participant": F.col("n_participate") > 0,
-                "reached_ultimate_streak": F.col("max_streak") == spec.ultimate_streak,
-            }
-        )
+    return [
+        F.count_if(inside & (F.col("event") == spec.enter)).alias("n_enter"),
+        F.count_if(inside & (F.col("event") == spec.onboard)).alias("n_onboarded"),
+        F.count_if(participated).alias("n_participate"),
+        F.count_if(participated | opened).alias("n_opens"),
+        F.count_if(inside & is_action(spec, spec.claimed)).alias("n_claims"),
+        F.count_if(inside).alias("n_interactions"),
+        F.max(within(streak)).alias("max_streak"),
+        F.max_by(streak, within(latest)).alias("final_streak"),
+        F.min(within(ts)).alias("first_engagement"),
+        F.max(within(ts)).alias("last_engagement"),
+        F.min(F.when(participated, ts)).alias("first_participate"),
+    ]
+
+
+def _with_reached(engagement: DataFrame, spec: CampaignSpec) -> DataFrame:
+    return engagement.withColumns(
+        {
+            "is_participant": F.col("n_participate") > 0,
+            "reached_ultimate_streak": F.col("max_streak") == spec.ultimate_streak,
+        }
     )
 
 
@@ -110,9 +130,20 @@ def order_totals(transactions: DataFrame, periods: PeriodSpec) -> DataFrame:
     return with_uplift(order_counts(transactions, periods))
 
 
+def orders_by_customer(transactions: DataFrame, periods: PeriodSpec) -> DataFrame:
+    """``order_periods``, or ``order_totals`` without discounts, of every customer of the
+    transactions; orders without a time count in no period."""
+    used = "coupon_discount" in transactions.columns
+    aggs = (lambda p, c: _order_aggs(p, c) + _coupon_aggs(p, c)) if used else _order_aggs
+    return with_uplift(_summed(transactions, periods, aggs))
+
+
 def _by_period(transactions: DataFrame, periods: PeriodSpec, aggs) -> DataFrame:
-    dated = transactions.filter(F.col("order_local_timestamp").isNotNull())
-    return dated.groupBy(ID).agg(
+    return _summed(transactions.filter(F.col("order_local_timestamp").isNotNull()), periods, aggs)
+
+
+def _summed(transactions: DataFrame, periods: PeriodSpec, aggs) -> DataFrame:
+    return transactions.groupBy(ID).agg(
         *[a for name, inside in _period(periods).items() for a in aggs(name, inside)]
     )
 

@@ -373,6 +373,18 @@ def customer360(t):
     return t.master
 
 
+@query
+def customer360_bucketed(t):
+    """The same table from per-customer buckets that are written first."""
+    return t.store.master
+
+
+@query
+def retention_overall_bucketed(t):
+    """Retention from the days in the same buckets."""
+    return retention.retention_overall(retention.lifecycle_of(t.store.activity, t.campaign))
+
+
 @query
 def customer_info_match(t):
     base = t.ids

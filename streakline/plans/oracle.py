@@ -33,8 +33,12 @@ def _sql(name: str, body: str) -> None:
     _SQL[name] = _with(body)
 
 
+#: Analyses that give the same rows as another one by other tables.
+_SAME_AS = {"customer360_bucketed": "customer360", "retention_overall_bucketed": "retention_overall"}
+
+
 def oracle() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {name: _SQL[other] for name, other in _SAME_AS.items()}
 
 
 def _r(expr: str, digits: int = 6) -> str:

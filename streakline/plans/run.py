@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Iterable
 from datetime import date
+from hashlib import sha256
 
 from pyspark.sql import SparkSession
 
 from streakline.plans.catalog import analyses
 from streakline.plans.tables import CampaignTables, ExportTables
+from streakline.plans.workspace import Workspace, shared_root
 from streakline.sources import readers
 from streakline.spec import CampaignSpec, PeriodSpec, numbered_tiers
 
@@ -21,29 +24,63 @@ def read_exports(
     periods: PeriodSpec,
     id_prefix: str = "",
     fmt: str = "csv",
-    folder: str | None = None,
+    multi_line: bool = False,
+    space: Workspace | None = None,
 ) -> ExportTables:
-    """Tables over the exports ``log``, ``coupons``, ``transactions`` and ``customers``."""
-    raw_log = readers.read_raw_log(spark, paths["log"], fmt)
+    """Tables over the exports ``log``, ``coupons``, ``transactions`` and ``customers``.
+
+    With a workspace, each export is parsed once and kept there with its types, the dated
+    ones by day; without one, each report parses what it reads.
+    """
+    dated = {"log": "timestamp", "coupons": "timestamp", "transactions": "order_local_timestamp"}
+    read = {
+        "log": readers.read_raw_log,
+        "coupons": readers.read_coupons,
+        "transactions": readers.read_transactions,
+        "customers": readers.read_raw_customers,
+    }
+    frames = {}
+    for name, reader in read.items():
+        key = f"{name}_export" if name != "log" else name
+        frame = reader(spark, paths[name], fmt, multi_line) if space is None or key not in space.done else None
+        if space is None:
+            frames[name] = frame
+        elif name in dated:
+            frames[name] = space.by_day(key, frame, dated[name])
+        else:
+            frames[name] = space.once(key, frame)
     return ExportTables(
         spark=spark,
-        log=readers.clean_log(raw_log),
-        raw_log=raw_log,
-        coupons=readers.read_coupons(spark, paths["coupons"], fmt),
-        transactions=readers.read_transactions(spark, paths["transactions"], fmt),
-        raw_customers=readers.read_raw_customers(spark, paths["customers"], fmt),
+        log=readers.clean_log(frames["log"]),
+        raw_log=frames["log"],
+        coupons=frames["coupons"],
+        transactions=frames["transactions"],
+        raw_customers=frames["customers"],
         campaign=campaign,
         periods=periods,
         id_prefix=id_prefix,
-        folder=folder,
+        space=space,
     )
 
 
-def write_reports(tables: CampaignTables, out: str, names: Iterable[str] = ()) -> None:
-    """Runs the named analyses, by default all, and writes each under its name."""
+def write_reports(
+    tables: CampaignTables, out: str, names: Iterable[str] = (), space: Workspace | None = None
+) -> None:
+    """Runs the named analyses, by default all, and writes each under its name.
+
+    Reports that the workspace has as finished are not run again.
+    """
     every = analyses()
     for name in names or every:
-        every[name](tables).write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
+        if space is None or f"report_{name}" not in space.done:
+            every[name](tables).write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
+            if space is not None:
+                space.record(f"report_{name}")
+
+
+def run_name(argv: Iterable[str]) -> str:
+    """The name of a run: the same arguments go on with what a failed run has finished."""
+    return sha256("\0".join(sorted(argv)).encode()).hexdigest()[:16]
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -58,6 +95,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--reward-code", required=True, help="text before the tier number in codes")
     parser.add_argument("--timezone", default="Europe/Amsterdam")
     parser.add_argument("--only", nargs="*", default=[])
+    parser.add_argument("--multi-line", action="store_true", help="quoted values hold line breaks")
+    parser.add_argument("--fresh", action="store_true", help="start over after a failed run")
+    argv = sys.argv[1:] if argv is None else argv
     args = parser.parse_args(argv)
 
     campaign = CampaignSpec(
@@ -70,11 +110,16 @@ def main(argv: list[str] | None = None) -> None:
     periods = PeriodSpec(args.pre_start, args.start, args.end, args.post_end)
     paths = {name: getattr(args, name) for name in ("log", "coupons", "transactions", "customers")}
     spark = SparkSession.builder.appName("streakline").getOrCreate()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{args.out.rstrip('/')}/_shared"
+    root = shared_root(spark, f"{args.out.rstrip('/')}/_shared")
+    run = run_name(a for a in argv if a != "--fresh")
+    if args.fresh:
+        Workspace(spark, root, run).close()
+    space = Workspace(spark, root, run)
     tables = read_exports(
-        spark, paths, campaign, periods, args.id_prefix, args.format, folder=shared
+        spark, paths, campaign, periods, args.id_prefix, args.format, args.multi_line, space
     )
-    write_reports(tables, args.out, args.only)
+    write_reports(tables, args.out, args.only, space)
+    space.close()
 
 
 if __name__ == "__main__":

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import cached_property
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from streakline.operators import activity, audit, events, profile, retention, rewards, streaks, timeofday
 from streakline.plans import customer360 as c360
+from streakline.plans.customer_store import CustomerStore
+from streakline.plans.workspace import Workspace, shared_root
 from streakline.sources.cleaning import strip_id_prefix, typed_customers
-from streakline.sources.readers import reward_days, tier_table
+from streakline.sources.readers import clean_log, reward_days, tier_table
 from streakline.spec import CampaignSpec, PeriodSpec, RewardDay, scheduled_rewards
 
 
@@ -122,6 +123,11 @@ class CampaignTables:
         """The campaign days of each engaged customer, as bits."""
         return activity.activity_bitmaps(self.log, self.campaign)
 
+    @cached_property
+    def store(self) -> CustomerStore:
+        """Per-customer tables in buckets, written when first used."""
+        return CustomerStore(self, Workspace(self.spark, shared_root(self.spark)))
+
     @cached_property
     def lifecycle(self) -> DataFrame:
         return retention.lifecycle_of(self.activity, self.campaign)
@@ -145,11 +151,10 @@ class CampaignTables:
 class ExportTables(CampaignTables):
     """A campaign's own exports, as read by ``streakline.sources.readers``.
 
-    ``transactions`` serves both the campaign and the history. The customer
-    table is the input of some thirty reports, so it is computed once and
-    written under ``folder``, by default the cluster's checkpoint folder. The
-    reports read it back: no report repeats the joins, and a lost executor
-    costs a file scan.
+    ``transactions`` serves both the campaign and the history. Some forty reports stand on
+    per-customer rows, so these are written once, in buckets by customer, to ``space``, by
+    default a workspace of their own in the cluster's checkpoint folder. The reports join
+    them without a shuffle, and a lost executor costs a file scan.
     """
 
     spark: SparkSession
@@ -164,7 +169,7 @@ class ExportTables(CampaignTables):
     check_days: tuple[date, ...] = ()
     reward_plan: tuple[RewardDay, ...] = ()
     margin_days: int = 13
-    folder: str | None = None
+    space: Workspace | None = None
     event_names: tuple[str, ...] = field(default=())
 
     def __post_init__(self) -> None:
@@ -183,35 +188,54 @@ class ExportTables(CampaignTables):
         return typed_customers(strip_id_prefix(self.raw_customers, self.id_prefix))
 
     @cached_property
-    def master(self) -> DataFrame:
-        """The full customer table, written once."""
-        folder = self.folder or self.spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("no folder for the customer table: set spark.checkpoint.dir or folder")
-        path = f"{folder.rstrip('/')}/customer360-{uuid4().hex}"
-        super().master.write.parquet(path)
-        return self.spark.read.parquet(path)
+    def store(self) -> CustomerStore:
+        space = self.space or Workspace(self.spark, shared_root(self.spark))
+        return CustomerStore(self, space)
 
     @cached_property
+    def camp(self) -> DataFrame:
+        """The events of the campaign; of a log that is kept by day only its days are read."""
+        if self.space is None or "log" not in self.space.done:
+            return super().camp
+        c = self.campaign
+        return events.campaign_window(clean_log(self.space.days("log", c.start, c.end)), c)
+
+    @property
+    def ids(self) -> DataFrame:
+        return self.store.ids
+
+    @property
+    def engagement(self) -> DataFrame:
+        return self.store.engagement
+
+    @property
+    def activity(self) -> DataFrame:
+        return self.store.activity
+
+    @property
+    def master(self) -> DataFrame:
+        return self.store.master
+
+    @property
     def master_without_coupon_use(self) -> DataFrame:
-        return self.master
+        return self.store.master
 
-    @cached_property
+    @property
     def everyone_engaged(self) -> DataFrame:
-        return self.master
+        return self.store.everyone_engaged
 
-    @cached_property
+    @property
     def everyone(self) -> DataFrame:
-        return self.master
+        return self.store.everyone
 
-    @cached_property
+    @property
     def participants(self) -> DataFrame:
-        return self.master.filter("is_participant")
+        return self.store.participants
 
-    @cached_property
+    @property
     def profiles(self) -> DataFrame:
-        return self.participants
+        return self.store.profiles
 
-    @cached_property
+    @property
     def participant_orders(self) -> DataFrame:
-        return self.participants
+        return self.store.participant_orders

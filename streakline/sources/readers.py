@@ -109,18 +109,22 @@ def source_rejects(raw: DataFrame, ddl: str, table: str, missing: str = "null")
     )
 
 
-def read_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_log(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """App event log, scrubbed and with a numeric streak.
 
     ``event_id`` orders events with equal timestamps; among those equal in both, and
     in a log without it, the higher streak counts as the later one.
     """
-    return clean_log(read_raw_log(spark, path, fmt))
+    return clean_log(read_raw_log(spark, path, fmt, multi_line))
 
 
-def read_raw_log(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_raw_log(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """App event log as exported."""
-    return read_table(spark, path, schemas.LOG, fmt)
+    return read_table(spark, path, schemas.LOG, fmt, multi_line)
 
 
 def clean_log(raw: DataFrame) -> DataFrame:
@@ -132,24 +136,30 @@ def clean_log(raw: DataFrame) -> DataFrame:
     return sanitize_streak(null_scrub(raw, [c for c in string_columns(raw) if c != "event"]))
 
 
-def read_coupons(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return null_scrub(read_table(spark, path, schemas.COUPONS, fmt))
+def read_coupons(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    return null_scrub(read_table(spark, path, schemas.COUPONS, fmt, multi_line))
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return read_table(spark, path, schemas.TRANSACTIONS, fmt)
+def read_transactions(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    return read_table(spark, path, schemas.TRANSACTIONS, fmt, multi_line)
 
 
 def read_customers(
-    spark: SparkSession, path: str, fmt: str = "csv", id_prefix: str = ""
+    spark: SparkSession, path: str, fmt: str = "csv", id_prefix: str = "", multi_line: bool = False
 ) -> DataFrame:
     """Customer attributes with the tenant prefix taken off the id."""
-    return typed_customers(strip_id_prefix(read_raw_customers(spark, path, fmt), id_prefix))
+    return typed_customers(strip_id_prefix(read_raw_customers(spark, path, fmt, multi_line), id_prefix))
 
 
-def read_raw_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_raw_customers(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """Customer attributes as exported, numbers still as text."""
-    return read_table(spark, path, schemas.CUSTOMERS, fmt)
+    return read_table(spark, path, schemas.CUSTOMERS, fmt, multi_line)
 
 
 def tier_table(spark: SparkSession, tiers: Sequence[RewardTier]) -> DataFrame:
