@@ -51,13 +51,25 @@ def money_parts(col: Column) -> Column:
 
 
 def money(parts: Column) -> Column:
-    """Whole millionths as an amount."""
-    return parts / F.lit(float(MONEY_PARTS))
+    """Aggregate: whole millionths, added up to an amount; NULL over nothing.
+
+    High and low halves are summed apart, so the sum is exact and cannot overflow before
+    it has two billion rows, however large the amounts, and stays a sum of plain numbers.
+    """
+    high = F.sum(F.shiftright(parts, 32))
+    low = F.sum(parts.bitwiseAND(F.lit(0xFFFFFFFF)))
+    whole, rest = divmod(2**32, MONEY_PARTS)
+    # past the whole numbers that a double holds, units and the fraction are added up last
+    left = high * rest + low
+    fraction = F.pmod(left, F.lit(MONEY_PARTS))
+    units = high * whole + F.call_function("div", left - fraction, F.lit(MONEY_PARTS))
+    exact = (high * 2**32 + low) / F.lit(float(MONEY_PARTS))
+    return F.when(F.abs(high) < 2**20, exact).otherwise(units + fraction / F.lit(float(MONEY_PARTS)))
 
 
 def sum_money(col: Column) -> Column:
     """Aggregate: exact sum of an amount; 0 over nothing."""
-    return money(sum0(money_parts(col)))
+    return F.coalesce(money(money_parts(col)), F.lit(0.0))
 
 
 def mean_money(col: Column) -> Column:

@@ -122,19 +122,20 @@ def reward_leakage(selections: DataFrame, transactions: DataFrame) -> DataFrame:
     redeemed = (
         transactions.filter((F.col("coupon_discount") > 0) & F.col("coupon_code").isNotNull())
         .groupBy(ID, F.col("coupon_code").alias("code"))
-        .agg(F.sum(money_parts(F.col("coupon_discount"))).alias("discount_parts"))
+        .agg(sum_money(F.col("coupon_discount")).alias("discount"))
     )
     used = selections.join(redeemed, [ID, "code"], "left")
+    parts = money_parts(F.col("discount"))
     per_customer = used.groupBy(ID).agg(
-        F.bool_or(F.col("discount_parts").isNotNull()).alias("redeemed"),
-        F.sum("discount_parts").alias("once"),
-        F.sum(F.col("discount_parts") * F.col("n_selected")).alias("per_selection"),
+        F.bool_or(F.col("discount").isNotNull()).alias("redeemed"),
+        money(parts).alias("once"),
+        money(parts * F.col("n_selected")).alias("per_selection"),
     )
     return per_customer.agg(
         F.count(F.lit(1)).alias("customers_selected"),
         F.count_if("redeemed").alias("customers_used"),
-        money(sum0(F.col("once"))).alias("leakage"),
-        money(sum0(F.col("per_selection"))).alias("leakage_raw"),
+        sum_money(F.col("once")).alias("leakage"),
+        sum_money(F.col("per_selection")).alias("leakage_raw"),
     )
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions.association import safe_corr
 from streakline.functions.nulls import ratio
+from streakline.functions.tails import chi_square_tail, f_tail, t_tail
 
 
 def corr_streak_orders(master: DataFrame) -> DataFrame:
@@ -68,28 +67,20 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def ols_p_values(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Coefficient table of the same regression with p-values.
+    """Coefficient table of the same regression with two-sided p-values."""
+    fit = ols(df, y, x)
+
+    def row(term: str, of: str) -> Column:
+        t = F.col(f"{of}_t")
+        return F.struct(
+            F.lit(term).alias("term"),
+            F.col(of).alias("estimate"),
+            F.col(f"{of}_se").alias("std_error"),
+            t.alias("t_value"),
+            t_tail(t, F.col("n") - 2).alias("p_value"),
+        )
 
-    Fits when called: the normal-equation solver reduces the data to moments
-    in one distributed pass and returns the table of two coefficients.
-    """
-    points = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna()
-    features = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
-    model = LinearRegression(
-        featuresCol="features", labelCol="y", solver="normal", standardization=False
-    ).fit(features)
-    s = model.summary
-    terms = zip(
-        (x, "(Intercept)"),
-        [*map(float, model.coefficients), float(model.intercept)],
-        s.coefficientStandardErrors,
-        s.tValues,
-        s.pValues,
-    )
-    return df.sparkSession.createDataFrame(
-        [(t, float(e), float(se), float(tv), float(p)) for t, e, se, tv, p in terms],
-        "term STRING, estimate DOUBLE, std_error DOUBLE, t_value DOUBLE, p_value DOUBLE",
-    )
+    return fit.select(F.inline(F.array(row(x, "slope"), row("(Intercept)", "intercept"))))
 
 
 def anova(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -105,22 +96,24 @@ def anova(df: DataFrame, group: str, y: str) -> DataFrame:
         )
     )
     n, m = F.col("n"), F.col("mean")
-    total = levels.agg(
+    # one row a level: distances from the grand mean, not a difference of large squares
+    every = Window.partitionBy()
+    distance = m - ratio(F.sum(n * m).over(every), F.sum(n).over(every))
+    total = levels.withColumn("between", n * distance * distance).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
         F.sum("ss").alias("ss_within"),
-        (F.sum(n * m * m) - ratio(F.sum(n * m) * F.sum(n * m), F.sum(n))).alias("ss_between"),
+        F.sum("between").alias("ss_between"),
     )
     df_between, df_within = F.col("k") - 1, F.col("n") - F.col("k")
+    f = ratio(ratio(F.col("ss_between"), df_between), ratio(F.col("ss_within"), df_within))
     return total.select(
         df_between.alias("df_between"),
         df_within.alias("df_within"),
         "ss_between",
         "ss_within",
-        ratio(ratio(F.col("ss_between"), df_between), ratio(F.col("ss_within"), df_within)).alias(
-            "f_statistic"
-        ),
-    )
+        f.alias("f_statistic"),
+    ).withColumn("p_value", f_tail(F.col("f_statistic"), F.col("df_between"), F.col("df_within")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -143,4 +136,4 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         F.sum("o").cast("bigint").alias("n"),
         ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("dof"),
         (F.sum("o") * (F.sum(part) - 1)).alias("chi_square"),
-    )
+    ).withColumn("p_value", chi_square_tail(F.greatest("chi_square", F.lit(0.0)), F.col("dof")))

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.plans.tables import CampaignTables
+from streakline.sources import schemas
 from streakline.sources.cleaning import strip_id_prefix, typed_customers
-from streakline.sources.readers import clean_log
+from streakline.sources.readers import checked, clean_log
 from streakline.spec import ID, CampaignSpec, PeriodSpec, numbered_tiers, scheduled_rewards
 
 CAMPAIGN = CampaignSpec(
@@ -187,6 +188,43 @@ class Tables(CampaignTables):
             )
         )
 
+    @cached_property
+    def exports(self) -> dict[str, DataFrame]:
+        """The four exports as text with the spellings and defects of real ones, checked."""
+        utc = "cast(timestamp AS STRING)"
+        shifted = lambda hours: f"cast(timestamp + INTERVAL {hours} HOURS AS STRING)"
+        local = "cast(convert_timezone('UTC', 'Europe/Amsterdam', timestamp) AS STRING)"
+        log = self.raw_log.selectExpr(
+            f"if(event_id % 89 = 0, 'null', cast({ID} AS STRING)) AS {ID}",
+            f"""CASE WHEN event_id % 101 = 0 THEN 'soon' ELSE CASE event_id % 8
+                WHEN 0 THEN {utc} WHEN 1 THEN concat({utc}, 'Z') WHEN 2 THEN concat({utc}, 'z')
+                WHEN 3 THEN concat({shifted(2)}, '+02:00') WHEN 4 THEN concat({shifted(2)}, '+02')
+                WHEN 5 THEN concat({shifted(-5)}, '-0500') WHEN 6 THEN concat({local}, ' Europe/Amsterdam')
+                ELSE concat({local}, ' CET') END END AS timestamp""",
+            "if(event_id % 97 = 0, concat('#', event_id), cast(event_id AS STRING)) AS event_id",
+            *(c for c in self.raw_log.columns if c not in (ID, "timestamp", "event_id")),
+        )
+        coupons = self._events.filter("event_type = 'purchase'").selectExpr(
+            f"cast({ID} AS STRING) AS {ID}",
+            "event_type",
+            f"{TIER_CODE} AS code",
+            "cast(ts AS STRING) AS timestamp",
+            "if(event_id % 23 = 0, '5 euro', cast(value AS STRING)) AS value",
+            "if(k % 2 = 0, 'Percentage', 'Fixed') AS value_type",
+        )
+        transactions = self.orders_live.selectExpr(
+            f"cast({ID} AS STRING) AS {ID}",
+            "cast(order_id AS STRING) AS order_id",
+            "cast(order_local_timestamp AS STRING) AS order_local_timestamp",
+            "if(order_id % 19 = 0, '1,5', cast(demand AS STRING)) AS demand",
+            "cast(coupon_discount AS STRING) AS coupon_discount",
+            "coupon_code",
+        )
+        blank = F.substring_index(ID, "#", -1).cast("int") % 53 == 0
+        customers = self.raw_customers.withColumn(ID, F.when(blank, F.lit(" ")).otherwise(F.col(ID)))
+        raw = {"log": log, "coupons": coupons, "transactions": transactions, "customers": customers}
+        return {n: checked(df, schemas.EXPORTS[n], schemas.TYPED_LATER.get(n, "")) for n, df in raw.items()}
+
     @cached_property
     def customers(self) -> DataFrame:
         """Clean attributes under the id type of the log."""

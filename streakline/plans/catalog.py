@@ -820,10 +820,21 @@ def cohort_sizes(t):
 
 @query
 def source_rejects(t):
-    """Values of the exports' numeric texts that are no numbers."""
-    log = readers.source_rejects(t.raw_log, "current_streak_value INT", "log")
-    numbers = "orders INT, urbanisation INT, first_order_year INT"
-    return log.union(readers.source_rejects(t.raw_customers, numbers, "customers"))
+    """Values of the exports that do not fit their columns' types."""
+    return t.reject_counts
+
+
+@query
+def rejected_values(t):
+    """Those values, and the customer id of their records."""
+    customer = F.get_json_object("record", f"$.{ID}").alias(ID)
+    return t.quarantine.select("table", "column", "value", customer)
+
+
+@query
+def export_times(t):
+    """Times of the log, spelled with zones or without, as UTC."""
+    return t.exports["log"].select("event_id", "timestamp")
 
 
 @query

@@ -970,20 +970,83 @@ _sql(
 )
 
 
-def _ols(y: str) -> str:
+def _log1p(x: str) -> str:
+    return f"""CASE WHEN abs({x}) < 1e-5 THEN {x} - ({x}) * ({x}) / 2 + ({x}) * ({x}) * ({x}) / 3
+      ELSE ln(1 + ({x})) END"""
+
+
+def _tail(select: str, source: str, start: str, low: str, high: str, height: str) -> str:
+    """Rows of ``source`` with ``p_value``: the share above ``start`` of the integral of
+    ``height`` of ``y`` from ``low`` to ``high``, by Simpson's rule."""
+    return f"""SELECT {select}, {_r("""CASE WHEN z0 >= z2 THEN 0 ELSE least(1,
+      (z2 - z0) * (SELECT sum(w * h0) FROM nodes) / ((z2 - z1) * (SELECT sum(w * h1) FROM nodes))) END""")} AS p_value
+    FROM (SELECT *, greatest(z1, {start}) AS z0 FROM (SELECT *, {low} AS z1, {high} AS z2 FROM ({source})))""".replace(
+        "(SELECT sum(w * h0) FROM nodes)", _nodes("z0", height)
+    ).replace("(SELECT sum(w * h1) FROM nodes)", _nodes("z1", height))
+
+
+def _nodes(low: str, height: str) -> str:
+    at = f"({low} + (z2 - {low}) * k / 1000.0)"
+    return f"""(SELECT sum(CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+      * {height.replace('@', at)}) FROM range(0, 1001) r(k))"""
+
+
+def _f_tail(select: str, source: str, f: str, between: str, within: str) -> str:
+    """``_tail`` of the F distribution."""
+    p, q = f"({between} - 1.0)", f"({within} - 1.0)"
+    peaked = f"""SELECT *, CASE WHEN {p} + {q} > 0 THEN atan2(sqrt({p}), sqrt({q})) ELSE 0 END AS peak,
+      CASE WHEN {p} + {q} > 0 THEN 1 / sqrt(2 * ({p} + {q})) ELSE pi() / 2 END AS width FROM ({source})"""
+    moved = "sin(@ - peak) * sin(@ + peak)"
+
+    def part(power: str, x: str) -> str:
+        return f"CASE WHEN {power} = 0 THEN 0 WHEN {x} > -1 THEN {power} / 2 * ({_log1p(x)}) ELSE -700 END"
+
+    sines = part(p, f"({moved} / pow(sin(peak), 2))")
+    cosines = part(q, f"(-{moved} / pow(cos(peak), 2))")
+    return _tail(
+        select, peaked, f"atan(sqrt({between} * {f} / {within}))", "greatest(0, peak - 12 * width)",
+        "least(pi() / 2, peak + 12 * width)", f"exp(greatest(-700, {sines} + {cosines}))",
+    )
+
+
+def _chi_tail(select: str, source: str, x: str, dof: str) -> str:
+    """``_tail`` of the chi-square distribution."""
+    power = f"({dof} - 1.0)"
+    away = "((@ - peak) / peak)"
+    relative = f"{power} * ({_log1p(away)} - {away} - {away} * {away} / 2)"
+    height = f"""exp(greatest(-700, CASE WHEN {power} = 0 THEN -@ * @ WHEN {away} > -1 THEN {relative}
+      ELSE -700 END))"""
+    peaked = f"SELECT *, sqrt({power} / 2) AS peak FROM ({source})"
+    return _tail(select, peaked, f"sqrt({x} / 2)", "greatest(0, peak - 9.0)", "peak + 9.0", height)
+
+
+def _fitted(y: str) -> str:
     cy = f"CAST({y} AS DOUBLE)"
-    return f"""SELECT n, {_r('b0')} AS intercept, {_r('se0')} AS intercept_se,
-    {_r('b0 / se0')} AS intercept_t, {_r('b1')} AS slope, {_r('se1')} AS slope_se,
-    {_r('b1 / se1')} AS slope_t, {_r('r2')} AS r2,
-    {_r('1 - (1 - r2) * (n - 1) / (n - 2)')} AS adj_r2, {_r('(b1 / se1) * (b1 / se1)')} AS f_statistic
-    FROM (SELECT n, b0, b1, r2, sqrt(rss / (n - 2) / sxx) AS se1,
+    return f"""SELECT n, b0, b1, r2, sqrt(rss / (n - 2) / sxx) AS se1,
       sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se0
       FROM (SELECT regr_intercept({cy}, max_streak) AS b0, regr_slope({cy}, max_streak) AS b1,
         regr_r2({cy}, max_streak) AS r2, count(*) AS n, regr_sxx({cy}, max_streak) AS sxx,
         regr_avgx({cy}, max_streak) AS mx,
-        regr_syy({cy}, max_streak) * (1 - regr_r2({cy}, max_streak)) AS rss FROM everyone))"""
+        regr_syy({cy}, max_streak) * (1 - regr_r2({cy}, max_streak)) AS rss FROM everyone)"""
+
+
+def _ols(y: str) -> str:
+    return f"""SELECT n, {_r('b0')} AS intercept, {_r('se0')} AS intercept_se,
+    {_r('b0 / se0')} AS intercept_t, {_r('b1')} AS slope, {_r('se1')} AS slope_se,
+    {_r('b1 / se1')} AS slope_t, {_r('r2')} AS r2,
+    {_r('1 - (1 - r2) * (n - 1) / (n - 2)')} AS adj_r2, {_r('(b1 / se1) * (b1 / se1)')} AS f_statistic
+    FROM ({_fitted(y)})"""
+
+
+def _p_values(y: str) -> str:
+    terms = f"""SELECT 'max_streak' AS term, b1 AS b, se1 AS se, n FROM ({_fitted(y)})
+      UNION ALL SELECT '(Intercept)', b0, se0, n FROM ({_fitted(y)})"""
+    select = f"term, {_r('b')} AS estimate, {_r('se')} AS std_error, {_r('b / se')} AS t_value"
+    return _f_tail(select, terms, "((b / se) * (b / se))", "1", "(n - 2)")
 
 
+_sql("ols_streak_orders_p_values", _p_values("n_orders_during"))
+_sql("ols_streak_demand_p_values", _p_values("total_demand_during"))
 _sql("ols_streak_orders", _ols("n_orders_during"))
 _sql("ols_streak_demand", _ols("total_demand_during"))
 _DAYS = {
@@ -1054,22 +1117,29 @@ _sql(
     FROM everyone GROUP BY 1""",
 )
 _part("grouped", f"SELECT {_GROUP} AS g, CAST(n_orders_during AS DOUBLE) AS y FROM everyone")
-_sql(
-    "anova_streak_orders",
-    f"""SELECT k - 1 AS df_between, n - k AS df_within, {_r('ssb')} AS ss_between,
-    {_r('ssw')} AS ss_within, {_r('(ssb / (k - 1)) / (ssw / (n - k))')} AS f_statistic
+_part(
+    "varied",
+    """SELECT k - 1 AS d1, n - k AS d2, ssb, ssw, (ssb / (k - 1)) / (ssw / (n - k)) AS f
     FROM (SELECT count(DISTINCT g) AS k, count(*) AS n,
       sum((group_mean - grand_mean) * (group_mean - grand_mean)) AS ssb,
       sum((y - group_mean) * (y - group_mean)) AS ssw
       FROM (SELECT g, y, avg(y) OVER (PARTITION BY g) AS group_mean, avg(y) OVER () AS grand_mean
         FROM grouped))""",
 )
-_part("flags", "SELECT is_participant AS a, n_orders_during > 0 AS b FROM everyone")
 _sql(
-    "chi_square_participation_buying",
-    f"""SELECT CAST(sum(o) AS BIGINT) AS n,
+    "anova_streak_orders",
+    _f_tail(
+        f"""d1 AS df_between, d2 AS df_within, {_r('ssb')} AS ss_between, {_r('ssw')} AS ss_within,
+        {_r('f')} AS f_statistic""",
+        "SELECT * FROM varied", "f", "d1", "d2",
+    ),
+)
+_part("flags", "SELECT is_participant AS a, n_orders_during > 0 AS b FROM everyone")
+_part(
+    "tested",
+    """SELECT CAST(sum(o) AS BIGINT) AS n,
     (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof,
-    {_r('sum((o - e) * (o - e) / e)')} AS chi_square
+    sum((o - e) * (o - e) / e) AS chi_square
     FROM (SELECT ra.a, rb.b, coalesce(c.o, 0) AS o, ra.t * rb.t / t.t AS e
       FROM (SELECT a, CAST(count(*) AS DOUBLE) AS t FROM flags GROUP BY a) ra
       JOIN (SELECT b, CAST(count(*) AS DOUBLE) AS t FROM flags GROUP BY b) rb ON TRUE
@@ -1077,26 +1147,68 @@ _sql(
       LEFT JOIN (SELECT a, b, CAST(count(*) AS DOUBLE) AS o FROM flags GROUP BY a, b) c
         ON c.a = ra.a AND c.b = rb.b)""",
 )
+_sql(
+    "chi_square_participation_buying",
+    _chi_tail(f"n, dof, {_r('chi_square')} AS chi_square", "SELECT * FROM tested", "chi_square", "dof"),
+)
 
 # --- ingest ---------------------------------------------------------------
 
 
-def _rejects(table: str, source: str, column: str, name: str) -> str:
+def _rejects(table: str, source: str, column: str, given: str, bad: str) -> str:
+    return f"""SELECT '{table}' AS "table", '{column}' AS "column", count(*) FILTER ({given}) AS n_values,
+    count(*) FILTER ({bad}) AS n_rejected FROM {source}"""
+
+
+def _no_number(column: str) -> tuple[str, str]:
     given = f"{column} IS NOT NULL AND trim({column}) NOT IN ('', 'null')"
-    return f"""SELECT '{table}' AS "table", '{name}' AS "column", count(*) FILTER ({given}) AS n_values,
-    count(*) FILTER ({given} AND TRY_CAST({column} AS INTEGER) IS NULL) AS n_rejected FROM {source}"""
+    return given, f"{given} AND TRY_CAST({column} AS INTEGER) IS NULL"
 
 
+_part("sales", "SELECT * FROM ev WHERE kind = 'purchase'")
 _sql(
     "source_rejects",
     " UNION ALL ".join(
-        [_rejects("log", "raw_log", "streak_text", "current_streak_value")]
-        + [
-            _rejects("customers", "raw_cust", name, name)
-            for name in ("orders", "urbanisation", "first_order_year")
-        ]
+        _rejects(*r)
+        for r in (
+            ("log", "ev", "unique_customer_id", "TRUE", "event_id % 89 = 0 OR id IS NULL"),
+            ("log", "ev", "timestamp", "ts IS NOT NULL OR event_id % 101 = 0", "event_id % 101 = 0"),
+            ("log", "ev", "event_id", "event_id IS NOT NULL", "event_id % 97 = 0"),
+            ("log", "raw_log", "current_streak_value", *_no_number("streak_text")),
+            ("log", "ev", "_corrupt_record", "TRUE", "FALSE"),
+            ("coupons", "sales", "unique_customer_id", "TRUE", "id IS NULL"),
+            ("coupons", "sales", "timestamp", "ts IS NOT NULL", "FALSE"),
+            ("coupons", "sales", "value", "val IS NOT NULL OR event_id % 23 = 0", "event_id % 23 = 0"),
+            ("coupons", "sales", "_corrupt_record", "TRUE", "FALSE"),
+            ("transactions", "sales", "unique_customer_id", "TRUE", "id IS NULL"),
+            ("transactions", "sales", "order_local_timestamp", "ts IS NOT NULL", "FALSE"),
+            ("transactions", "sales", "demand", "val IS NOT NULL OR event_id % 19 = 0", "event_id % 19 = 0"),
+            ("transactions", "sales", "coupon_discount", "k % 3 <> 0 OR k IS NULL OR val IS NOT NULL", "FALSE"),
+            ("transactions", "sales", "_corrupt_record", "TRUE", "FALSE"),
+            ("customers", "raw_cust", "unique_customer_id", "TRUE", "id % 53 = 0"),
+            ("customers", "raw_cust", "orders", *_no_number("orders")),
+            ("customers", "raw_cust", "urbanisation", *_no_number("urbanisation")),
+            ("customers", "raw_cust", "first_order_year", *_no_number("first_order_year")),
+            ("customers", "raw_cust", "_corrupt_record", "TRUE", "FALSE"),
+        )
     ),
 )
+_part("logged", "SELECT *, CASE WHEN event_id % 89 = 0 THEN 'null' ELSE CAST(id AS VARCHAR) END AS who FROM ev")
+_sql(
+    "rejected_values",
+    """SELECT 'log' AS "table", 'unique_customer_id' AS "column", 'null' AS value, who AS unique_customer_id
+    FROM logged WHERE event_id % 89 = 0
+    UNION ALL SELECT 'log', 'timestamp', 'soon', who FROM logged WHERE event_id % 101 = 0
+    UNION ALL SELECT 'log', 'event_id', '#' || event_id, who FROM logged WHERE event_id % 97 = 0
+    UNION ALL SELECT 'coupons', 'value', '5 euro', CAST(id AS VARCHAR) FROM sales WHERE event_id % 23 = 0
+    UNION ALL SELECT 'transactions', 'demand', '1,5', CAST(id AS VARCHAR) FROM sales WHERE event_id % 19 = 0
+    UNION ALL SELECT 'customers', 'unique_customer_id', ' ', ' ' FROM raw_cust WHERE id % 53 = 0""",
+)
+_sql(
+    "export_times",
+    """SELECT CASE WHEN event_id % 97 <> 0 THEN event_id END AS event_id,
+    CASE WHEN event_id % 101 <> 0 THEN ts END AS timestamp FROM ev""",
+)
 
 # --- retention ------------------------------------------------------------
 

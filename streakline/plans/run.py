@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 from streakline.plans.catalog import analyses
 from streakline.plans.tables import CampaignTables, ExportTables
 from streakline.plans.workspace import Workspace, shared_root
-from streakline.sources import readers
+from streakline.sources import readers, schemas
+from streakline.sources.cleaning import null_scrub
 from streakline.spec import CampaignSpec, PeriodSpec, numbered_tiers
 
 
@@ -33,33 +34,30 @@ def read_exports(
     ones by day; without one, each report parses what it reads.
     """
     dated = {"log": "timestamp", "coupons": "timestamp", "transactions": "order_local_timestamp"}
-    read = {
-        "log": readers.read_raw_log,
-        "coupons": readers.read_coupons,
-        "transactions": readers.read_transactions,
-        "customers": readers.read_raw_customers,
-    }
-    frames = {}
-    for name, reader in read.items():
-        key = f"{name}_export" if name != "log" else name
-        frame = reader(spark, paths[name], fmt, multi_line) if space is None or key not in space.done else None
+    exports = {}
+    for name in schemas.EXPORTS:
+        kept = f"{name}_export"
+        parse = space is None or kept not in space.done
+        frame = readers.read_checked(spark, paths[name], name, fmt, multi_line) if parse else None
         if space is None:
-            frames[name] = frame
+            exports[name] = frame
         elif name in dated:
-            frames[name] = space.by_day(key, frame, dated[name])
+            exports[name] = space.by_day(kept, frame, dated[name])
         else:
-            frames[name] = space.once(key, frame)
+            exports[name] = space.once(kept, frame)
+    typed = {name: df.drop(readers.REJECTS, readers.RECORD, readers.FILE) for name, df in exports.items()}
     return ExportTables(
         spark=spark,
-        log=readers.clean_log(frames["log"]),
-        raw_log=frames["log"],
-        coupons=frames["coupons"],
-        transactions=frames["transactions"],
-        raw_customers=frames["customers"],
+        log=readers.clean_log(typed["log"]),
+        raw_log=typed["log"],
+        coupons=null_scrub(typed["coupons"]),
+        transactions=typed["transactions"],
+        raw_customers=typed["customers"],
         campaign=campaign,
         periods=periods,
         id_prefix=id_prefix,
         space=space,
+        exports=exports,
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import date, timedelta
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +12,7 @@ from streakline.operators import activity, audit, events, profile, retention, re
 from streakline.plans import customer360 as c360
 from streakline.plans.customer_store import CustomerStore
 from streakline.plans.workspace import Workspace, shared_root
+from streakline.sources import readers, schemas
 from streakline.sources.cleaning import strip_id_prefix, typed_customers
 from streakline.sources.readers import clean_log, reward_days, tier_table
 from streakline.spec import CampaignSpec, PeriodSpec, RewardDay, scheduled_rewards
@@ -21,7 +22,7 @@ class CampaignTables:
     """Lazy shared tables over inputs that a subclass provides.
 
     A subclass gives ``spark``, ``campaign``, ``periods``, ``id_prefix``, ``event_names``, ``order_days``,
-    ``check_days`` and ``reward_plan``, and the
+    ``check_days`` and ``reward_plan``, the ``checked`` ``exports``, and the
     frames ``raw_log``, ``log``, ``coupons``, ``orders_live``,
     ``orders_history``, ``orders_history_discounts``, ``raw_customers`` and
     ``customers``.
@@ -37,6 +38,22 @@ class CampaignTables:
     def rewards(self) -> DataFrame:
         return reward_days(self.spark, self.reward_plan)
 
+    # --- what the exports hold that does not fit
+
+    @property
+    def reject_counts(self) -> DataFrame:
+        """Values given and rejected, by export and column."""
+        counts = [
+            readers.reject_counts(df, schemas.EXPORTS[n], n, schemas.TYPED_LATER.get(n, ""))
+            for n, df in self.exports.items()
+        ]
+        return reduce(DataFrame.unionByName, counts)
+
+    @property
+    def quarantine(self) -> DataFrame:
+        """The rejected values with their records."""
+        return reduce(DataFrame.unionByName, [readers.quarantine(df, n) for n, df in self.exports.items()])
+
     # --- shared steps
 
     @cached_property
@@ -170,6 +187,7 @@ class ExportTables(CampaignTables):
     reward_plan: tuple[RewardDay, ...] = ()
     margin_days: int = 13
     space: Workspace | None = None
+    exports: dict[str, DataFrame] = field(default_factory=dict)
     event_names: tuple[str, ...] = field(default=())
 
     def __post_init__(self) -> None:
@@ -195,10 +213,11 @@ class ExportTables(CampaignTables):
     @cached_property
     def camp(self) -> DataFrame:
         """The events of the campaign; of a log that is kept by day only its days are read."""
-        if self.space is None or "log" not in self.space.done:
+        if self.space is None or "log_export" not in self.space.done:
             return super().camp
         c = self.campaign
-        return events.campaign_window(clean_log(self.space.days("log", c.start, c.end)), c)
+        days = self.space.days("log_export", c.start, c.end).select(*self.raw_log.columns)
+        return events.campaign_window(clean_log(days), c)
 
     @property
     def ids(self) -> DataFrame:

@@ -9,7 +9,6 @@ from streakline.plans.bindings import CAMPAIGN, Tables
 from streakline.plans.catalog import catalog as queries
 
 FOLDER = "/root/testdata/sf0.001"
-FITS_WHEN_CALLED = {"ols_streak_orders_p_values", "ols_streak_demand_p_values"}
 
 
 def plan(df):
@@ -25,7 +24,7 @@ def t(spark):
     return Tables(spark, FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - FITS_WHEN_CALLED))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_no_cross_join_and_no_python_worker(spark, name):
     text = plan(queries()[name](spark, FOLDER))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"):

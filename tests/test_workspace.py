@@ -127,13 +127,13 @@ def test_reports_read_the_kept_exports_only(spark, exports, space):  # noqa: F81
     periods = PeriodSpec(date(2023, 12, 1), campaign.start, campaign.end, date(2025, 12, 31))
     paths = {n: f"{exports}/{n}.csv" for n in ("log", "coupons", "transactions", "customers")}
     t = run.read_exports(spark, paths, campaign, periods, "shop:", space=space)
-    assert {"log", "coupons_export", "transactions_export", "customers_export"} <= space.done.keys()
+    assert {"log_export", "coupons_export", "transactions_export", "customers_export"} <= space.done.keys()
     for name in ("funnel_sequential", "engagement_summary", "customer360", "daily_orders", "key_overlap",
                  "null_scrub", "hourly_orders", "segment_gender", "reward_selection", "source_rejects"):
         text = catalog.analyses()[name](t)._jdf.queryExecution().toString()
         assert "FileScan csv" not in text and ".csv" not in text, name
     assert "export_day" in plan(t.camp).split("PartitionFilters")[1]
-    days = {d for d in os.listdir(space.path("log")) if d.startswith("export_day=")}
+    days = {d for d in os.listdir(space.path("log_export")) if d.startswith("export_day=")}
     assert "export_day=2024-12-03" in days and len(days) > 8
     assert rows(t.raw_log) == rows(run.readers.read_raw_log(spark, paths["log"]))
 
@@ -156,13 +156,13 @@ def test_a_failed_run_goes_on(spark, exports, tmp_path, monkeypatch):  # noqa: F
     monkeypatch.setattr(run, "analyses", lambda: {n: noted(n) for n in every})
     monkeypatch.setattr(run, "shared_root", lambda spark, folder: str(tmp_path))
     parsed = []
-    read = run.readers.read_raw_log
-    monkeypatch.setattr(run.readers, "read_raw_log", lambda *a: (parsed.append(1), read(*a))[1])
+    read = run.readers.read_checked
+    monkeypatch.setattr(run.readers, "read_checked", lambda *a: (parsed.append(a[2]), read(*a))[1])
     with pytest.raises(RuntimeError, match="lost"):
         run.main(argv)
     fail[0] = False
     run.main(argv)
-    assert ran == ["funnel_independent", "cohort_sizes", "id_summary"] and parsed == [1]
+    assert ran == ["funnel_independent", "cohort_sizes", "id_summary"] and parsed == ["log", "coupons", "transactions", "customers"]
     assert not [f for f in os.listdir(tmp_path) if f.startswith("streakline_")]
     assert not [d for d in spark.catalog.listDatabases() if d.name.startswith(f"streakline_{run.run_name(argv)}")]
     # nothing is left of the run, so the same arguments start anew
