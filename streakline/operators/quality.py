@@ -191,11 +191,11 @@ def customer_timeline(
 ) -> DataFrame:
     """What the given customers did, from all three tables, one row per record.
 
-    This is the one join that meets raw records. Each customer's records are
-    spread over ``salts`` join keys, by default one for each shuffle partition,
-    and the ids repeated for each, so a customer with a third of all records does not end up in one task. The
-    salted key also gives both sides a shuffle of their own, which adaptive
-    execution needs to split what is still too large.
+    This is the one join that meets raw records. Customers with more than one ``salts``-th
+    of all records, of which there are fewer than ``salts``, by default the number of shuffle
+    partitions, are found first; their records are spread over that many join keys and only
+    their ids repeated, so a customer with a third of all records does not end up in one
+    task and the ids stay about as many as they are.
     """
 
     def part(df: DataFrame, source: str, what: Column, detail: Column, ts: str) -> DataFrame:
@@ -215,17 +215,34 @@ def customer_timeline(
                 transactions,
                 "transactions",
                 F.col("order_id").cast("string"),
-                F.format_string("%.2f", F.col("demand").cast("double")),
+                F.format_string("%.6f", F.col("demand").cast("double")),
                 "order_local_timestamp",
             ),
         ]
     )
     salts = salts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = records.withColumn(
-        "_salt", F.pmod(F.xxhash64("timestamp", "source", "what"), F.lit(salts)).cast("int")
-    )
-    wanted = ids.select(ID, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return salted.join(wanted, [ID, "_salt"], "left_semi").drop("_salt")
+    heavy = heavy_customers(records, salts)
+    spread = F.pmod(F.xxhash64("timestamp", "source", "what"), F.lit(salts)).cast("int")
+    salted = records.withColumn("_heavy", heavy.scalar())
+    is_heavy = F.array_contains("_heavy", F.col(ID))
+    salted = salted.withColumn("_salt", F.when(is_heavy, spread).otherwise(0)).drop("_heavy")
+    return salted.join(salted_ids(ids, heavy, salts), [ID, "_salt"], "left_semi").drop("_salt")
+
+
+def heavy_customers(records: DataFrame, parts: int) -> DataFrame:
+    """One row: the ids, as text, of customers with more than one ``parts``-th of all
+    records. There are fewer than ``parts`` of them, however many customers there are."""
+    counts = records.filter(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.sum("n").alias("n")).scalar()
+    heavy = counts.withColumn("_all", every).filter(F.col("n") * parts > F.col("_all"))
+    return heavy.agg(F.sort_array(F.collect_list(ID)).alias("heavy"))
+
+
+def salted_ids(ids: DataFrame, heavy: DataFrame, salts: int) -> DataFrame:
+    """The ids, those of heavy customers once for each salt."""
+    text = ids.select(F.col(ID).cast("string").alias(ID)).withColumn("_heavy", heavy.scalar())
+    own = F.when(F.array_contains("_heavy", F.col(ID)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return text.select(ID, F.explode(own).alias("_salt"))
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -376,8 +376,8 @@ _sql(
     """SELECT CAST(id AS VARCHAR) AS unique_customer_id, source, what, detail, ts AS timestamp FROM (
     SELECT id, 'log' AS source, event AS what, action AS detail, ts FROM log
     UNION ALL SELECT id, 'coupons', event_type, code, ts FROM coupons
-    UNION ALL SELECT id, 'transactions', CAST(order_id AS VARCHAR), CAST(demand AS VARCHAR), ts
-    FROM hist) WHERE id IN (SELECT id FROM in_all)""",
+    UNION ALL SELECT id, 'transactions', CAST(order_id AS VARCHAR),
+      CAST(CAST(demand AS DECIMAL(28,6)) AS VARCHAR), ts FROM hist) WHERE id IN (SELECT id FROM in_all)""",
 )
 _sql(
     "distinct_values",

@@ -142,6 +142,19 @@ def test_leakage_with_a_hot_customer(spark, log, data):
     assert got["leakage"] == pytest.approx(once) and got["leakage_raw"] == pytest.approx(raw)
 
 
+def test_only_heavy_customers_are_salted(spark, log, data):
+    salts = 12
+    counts = Counter(r[1] for r in data)
+    heavy = quality.heavy_customers(log, salts)
+    expected = [who for who, n in counts.items() if n * salts > len(data)]
+    assert heavy.first()["heavy"] == expected == ["hot"]
+    ids = spark.createDataFrame([(who,) for who in [*counts, "absent"]], f"{ID} STRING")
+    salted = Counter(r[ID] for r in quality.salted_ids(ids, heavy, salts).collect())
+    assert salted == Counter(dict.fromkeys(ids.toPandas()[ID], 1) | {"hot": salts})
+    nobody = quality.heavy_customers(log.limit(0), salts)
+    assert nobody.first()["heavy"] == [] and quality.salted_ids(ids, nobody, salts).count() == ids.count()
+
+
 def test_timeline_spreads_a_hot_customer(spark, log, data):
     ids = spark.createDataFrame([("hot",), ("u1",), ("absent",)], f"{ID} STRING")
     coupons = spark.createDataFrame(
@@ -155,7 +168,7 @@ def test_timeline_spreads_a_hot_customer(spark, log, data):
     got = quality.customer_timeline(ids, log, coupons, txn)
     want = Counter((r[1], "log", r[3], r[4], r[2]) for r in data if r[1] in ("hot", "u1"))
     want["hot", "coupons", "issued", "R1", datetime(2024, 3, 22)] += 1
-    want["u1", "transactions", "o1", "1.50", datetime(2024, 3, 23)] += 1
+    want["u1", "transactions", "o1", "1.500000", datetime(2024, 3, 23)] += 1
     assert Counter(map(tuple, got.collect())) == want
 
     # without broadcasts, the hot customer's records meet the ids in several partitions
