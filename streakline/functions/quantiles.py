@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+#: Ranks that a sketch of ``column_percentiles`` tells apart.
+ACCURACY = 10_000
+#: Values up to which a column is its own bracket.
+WHOLE = 2 * ACCURACY
 
 
 def exact_percentiles(
@@ -91,3 +95,74 @@ def exact_percentiles(
             for name in probs
         ],
     )
+
+
+def column_percentiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """A row a column: ``column``, n values, n_null, minimum, maximum and mean, and an exact,
+    linearly interpolated percentile per entry of ``probs``.
+
+    Two passes over ``df``, whatever the number of columns. The first counts, and sketches
+    all columns; a sketch gives bounds that each wanted rank lies between. The second counts
+    the values inside those bounds, some ten thousandths of a column, and the rows below
+    them. Ranks that a sketch should have bracketed and has not are an error.
+    """
+    around = [x for p in probs.values() for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
+
+    def measured(name: str) -> Column:
+        col = F.col(f"`{name}`")
+        value = col.cast("double")
+        total = F.sum(col.cast("decimal(28,6)")).cast("double")
+        return F.struct(
+            F.lit(name).alias("column"),
+            F.count(col).alias("n"),
+            F.count_if(col.isNull()).alias("n_null"),
+            F.min(value).alias("minimum"),
+            F.max(value).alias("maximum"),
+            F.try_divide(total, F.count(col)).alias("mean"),
+            F.percentile_approx(value, around, F.lit(ACCURACY)).alias("around"),
+        )
+
+    stats = df.agg(F.array(*[measured(c) for c in columns]).alias("stats"))
+    bounds = F.transform(
+        "stats",
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+            lambda q: F.struct(
+                F.when(s["n"] < WHOLE, s["minimum"]).otherwise(F.get(s["around"], 2 * q)).alias("low"),
+                F.when(s["n"] < WHOLE, s["maximum"]).otherwise(F.get(s["around"], 2 * q + 1)).alias("high"),
+            ),
+        ),
+    )
+    # one row of all columns; as a subquery it is worked out once, however often it is used
+    first = stats.select(F.struct("stats", bounds.alias("bounds")).alias("first"))
+    cells = []
+    for i, name in enumerate(columns):
+        value = F.col(f"`{name}`").cast("double")
+        for q in range(len(probs)):
+            bound = F.get(F.get("_first.bounds", F.lit(i)), F.lit(q))
+            inside = F.when(value >= bound["low"], value)
+            cell = F.struct(F.lit(name).alias("column"), F.lit(q).alias("q"), inside.alias("value"))
+            cells.append(F.when(value <= bound["high"], cell))
+    found = df.withColumn("_first", first.scalar()).select(
+        F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    )
+    # the values of one bracket, after the rows below it
+    counted = found.groupBy("column", "q", "value").agg(F.count(F.lit(1)).alias("n_equal"))
+    upto = F.sum("n_equal").over(Window.partitionBy("column", "q").orderBy(F.asc_nulls_first("value")))
+    placed = counted.withColumn("_end", upto).filter("value IS NOT NULL")
+    own = F.filter("_first.stats", lambda s: s["column"] == F.col("column"))
+    share = F.get(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("q"))
+    ranked = placed.withColumn("_first", first.scalar()).withColumn("_at", (F.get(own, 0)["n"] - 1) * share)
+    begin = F.col("_end") - F.col("n_equal")
+    holds = lambda rank: F.max(F.when((rank >= begin) & (rank < F.col("_end")), F.col("value")))
+    ends = ranked.groupBy("column", "q").agg(
+        holds(F.floor("_at")).alias("_low"), holds(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at")
+    )
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    missed = F.raise_error(F.concat(F.lit("a rank lies outside its bracket: "), F.col("column")))
+    ends = ends.withColumn("_value", F.coalesce(between, missed.cast("double")))
+    wide = ends.groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == q, F.col("_value"))).alias(name) for q, name in enumerate(probs)]
+    )
+    summary = df.sparkSession.range(1).select(first.scalar().alias("_first")).select(F.inline("_first.stats"))
+    return summary.drop("around").join(wide, "column", "left")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from streakline.functions.dates import in_window, local_time
 from streakline.functions.nulls import share
-from streakline.functions.quantiles import exact_percentiles
+from streakline.functions.quantiles import column_percentiles
 from streakline.operators.events import campaign_window, is_action, is_participation
+from streakline.sources.cleaning import numeric_columns
 from streakline.spec import ID, CampaignSpec
 
 Tables = Mapping[str, DataFrame]
@@ -267,25 +268,11 @@ def freq_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and NULL count of numeric columns."""
-    stats = df.agg(
-        *[
-            F.expr(
-                f"""struct('{c}' AS column, count({c}) AS n, count_if({c} IS NULL) AS n_null,
-                    cast(min({c}) AS DOUBLE) AS minimum, cast(max({c}) AS DOUBLE) AS maximum,
-                    try_divide(cast(sum(cast({c} AS DECIMAL(28,6))) AS DOUBLE), count({c})) AS mean
-                    ) AS {c}"""
-            )
-            for c in columns
-        ]
-    ).select(F.inline(F.array(*columns)))
-    cells = ", ".join(f"struct('{c}' AS column, cast({c} AS DOUBLE) AS value)" for c in columns)
-    long = df.select(F.expr(f"inline(array({cells}))"))
-    quartiles = exact_percentiles(
-        long, ["column"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
-    return stats.join(quartiles, "column", "left").select(
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Minimum, quartiles, mean, maximum and NULL count of numeric columns, by default all but
+    the id."""
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return column_percentiles(df, columns or [c for c in numeric_columns(df) if c != ID], probs).select(
         "column", "n", "n_null", "minimum", "q1", "median", "mean", "q3", "maximum"
     )
 
