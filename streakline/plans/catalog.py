@@ -19,6 +19,7 @@ from streakline.operators import (
     activity,
     audit,
     daily,
+    distinct,
     events,
     funnel,
     impact,
@@ -890,6 +891,11 @@ def opens_day_hour(t):
     return timeofday.opens_day_hour(t.local)
 
 
+@query
+def participation_levels(t):
+    return distinct.participation_levels(t.participation_bitmaps)
+
+
 # --- streak rebuilding ----------------------------------------------------
 
 

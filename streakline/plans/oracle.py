@@ -1322,6 +1322,16 @@ _sql(
     FROM local_clicks GROUP BY d, h""",
 )
 
+_LEVEL = "count(*) AS opens, count(DISTINCT id) AS customers"
+_sql(
+    "participation_levels",
+    f"""SELECT 'day' AS level, day, CAST(NULL AS INTEGER) AS hour, {_LEVEL} FROM camp
+    WHERE event = 'click' GROUP BY day
+    UNION ALL SELECT 'local day and hour', d, h, {_LEVEL} FROM local_clicks GROUP BY d, h
+    UNION ALL SELECT 'local hour', NULL, h, {_LEVEL} FROM local_clicks GROUP BY h
+    UNION ALL SELECT 'all', NULL, NULL, {_LEVEL} FROM local_clicks""",
+)
+
 # --- streak rebuilding ----------------------------------------------------
 
 

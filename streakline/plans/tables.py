@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streakline.operators import activity, audit, events, profile, retention, rewards, streaks, timeofday
+from streakline.operators import activity, audit, distinct, events, profile, retention, rewards, streaks, timeofday
 from streakline.plans import customer360 as c360
 from streakline.plans.customer_store import CustomerStore
 from streakline.plans.workspace import Workspace, shared_root
@@ -154,6 +154,11 @@ class CampaignTables:
         """Participations in local time."""
         return timeofday.local_time_events(self.camp, self.campaign)
 
+    @cached_property
+    def participation_bitmaps(self) -> DataFrame:
+        """Customers of each hour of participation, as bitmaps."""
+        return distinct.customer_bitmaps(distinct.participation_hours(self.camp, self.campaign))
+
     @cached_property
     def gaps(self) -> DataFrame:
         return audit.streak_gap_analysis(audit.streak_audit(self.log, self.campaign))
@@ -219,6 +224,11 @@ class ExportTables(CampaignTables):
         days = self.space.days("log_export", c.start, c.end).select(*self.raw_log.columns)
         return events.campaign_window(clean_log(days), c)
 
+    @cached_property
+    def participation_bitmaps(self) -> DataFrame:
+        made = super().participation_bitmaps
+        return made if self.space is None else self.space.once("participation_bitmaps", made)
+
     @property
     def ids(self) -> DataFrame:
         return self.store.ids
