@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline.llm.common import table
-from streakline.llm.tokens import Encoder, text_groups
+from streakline.llm.tokens import encoder_of, text_groups
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -158,7 +158,7 @@ class _Block:
 
 
 def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end: int, lower: bool):
-    encoder, block = Encoder(path, lower), _Block(TaskContext.get().partitionId())
+    encoder, block = encoder_of(path, lower), _Block(TaskContext.get().partitionId())
     for batch in batches:
         for part in text_groups(batch.column("chars").to_pylist()):
             rows = batch.slice(part.start, part.stop - part.start)

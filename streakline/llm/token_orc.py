@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streakline.llm.common import shared_folder, table
-from streakline.llm.tokens import Encoder, text_groups
+from streakline.llm.tokens import encoder_of, text_groups
 
 END = 0
 ORC = {
@@ -39,7 +39,7 @@ SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int
 
 
 def encode_documents(batches: Iterator[pa.RecordBatch], path: str, end: int):
-    encoder, shard, before = Encoder(path), TaskContext.get().partitionId(), 0
+    encoder, shard, before = encoder_of(path), TaskContext.get().partitionId(), 0
     for batch in batches:
         for part in text_groups(batch.column("chars").to_pylist()):
             rows = batch.slice(part.start, part.stop - part.start)

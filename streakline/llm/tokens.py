@@ -6,7 +6,8 @@ a single line break, and before a space that stands between two characters that
 not white space. Texts are cut there, equal pieces of a batch are encoded once, and a
 bounded memo keeps pieces between batches; the ids are those of the tokenizer on the
 whole text. Texts with Unicode white space or with the beginning of a special token,
-around which those rules are less plain, are not cut. Texts are lower-cased early, to
+around which those rules are less plain, are not cut. Pieces are known by 64-bit hashes of
+their bytes and length. Texts are lower-cased early, to
 share pieces, unless they hold combining marks: some of these compose with the small
 letter only, and tokenizers compose before they lower-case.
 """
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 
 BATCH_BYTES = 1 << 20
-MEMO_PIECES = 450_000
+MEMO_PIECES = 1_500_000
 UNCUT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
 MARKED = re.compile("[\u0300-\u036f]")
 CUT = re.compile(rb"(?<=[^ \t\n\r\x0b\x0c])(?= [^ \t\n\r\x0b\x0c])")
 _BASE = 0x9E3779B97F4A7C15
+_LENGTH = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 256, dtype=np.uint64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -47,6 +49,46 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Memo:
+    """The ids of pieces by the pieces' hashes, in arrays."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = self.counts = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand, and whether it does."""
+        at = np.searchsorted(self.hashes, hashes)
+        if not len(self.hashes):
+            return at, np.zeros(len(at), bool)
+        return at, self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """Pieces by rising hashes, none of which is known, with their ids in a row."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(counts) - counts)
+        self.counts = np.insert(self.counts, at, counts)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these pieces has, and all of them in a row."""
+        counts = self.counts[at]
+        return counts, self.flat[ragged(self.starts[at], counts)]
+
+
+_kept: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, lower: bool = False) -> Encoder:
+    """The worker process's encoder, with the vocabulary and the pieces of earlier tasks."""
+    if (path, lower) not in _kept:
+        _kept.clear()
+        _kept[path, lower] = Encoder(path, lower)
+    return _kept[path, lower]
+
+
 class Encoder:
     """``lower`` tells that the tokenizer reads letters of both cases alike."""
 
@@ -56,8 +98,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.memo, self.older = Memo(), Memo()
         self.powers = self.inverse = np.zeros(0, np.uint64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,32 +149,35 @@ class Encoder:
         prefix = np.zeros(len(byte) + 1, np.uint64)
         np.cumsum(_TABLE[byte] * self.powers[: len(byte)], out=prefix[1:])
         hashes = (prefix[ends] - prefix[starts]) * self.inverse[starts]
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        pieces = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        encoded = self._pieces(pieces)
-        n_ids = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        flat = np.frombuffer(b"".join(encoded), np.uint32)
-        each = n_ids[which]
+        hashes ^= (ends - starts).astype(np.uint64) * _LENGTH
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(data, unique, starts[first], ends[first])
+        at, _ = self.memo.find(unique)
+        each, ids = self.memo.ids(at[which])
         owner = np.searchsorted(begins, starts, "right") - 1
         np.add.at(counts, np.array([g[0] for g in group])[owner], each)
-        return flat[ragged((np.cumsum(n_ids) - n_ids)[which], each)]
-
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        memo, older = self.memo, self.older
-        missing = [p for p in pieces if p not in memo]
-        memo.update((p, older[p]) for p in missing if p in older)
-        missing = [p for p in missing if p not in memo]
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            done = self.tokenizer.encode_batch_fast(
-                [p.decode() for p in some], add_special_tokens=False
-            )
-            for piece, one in zip(some, done, strict=True):
-                memo[piece] = array("I", one.ids).tobytes()
-        found = [memo[p] for p in pieces]
-        if len(memo) > MEMO_PIECES:  # what is still in use moves on when it is next seen
-            self.memo, self.older = {}, memo
-        return found
+        if len(self.memo.hashes) > MEMO_PIECES:  # what is still in use moves on when it is next seen
+            self.memo, self.older = Memo(), self.memo
+        return ids
+
+    def _learn(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Take the pieces of ``data`` into the memo, from the older one or by encoding them."""
+        new = ~self.memo.find(hashes)[1]
+        at, known = self.older.find(hashes)
+        old = new & known
+        if old.any():
+            self.memo.add(hashes[old], *self.older.ids(at[old]))
+        new &= ~known
+        counts, parts = [], array("I")
+        pieces = list(zip(starts[new].tolist(), ends[new].tolist(), strict=True))
+        for i in range(0, len(pieces), 4096):
+            some = [data[a:b].decode() for a, b in pieces[i : i + 4096]]
+            for one in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                ids = one.ids
+                counts.append(len(ids))
+                parts.extend(ids)
+        if pieces:
+            self.memo.add(hashes[new], np.array(counts), np.frombuffer(parts, np.uint32))
 
 
 def _bounded(data: bytes) -> Iterator[bytes]:
