@@ -3,11 +3,13 @@
 Folding lower-cases, applies NFKC, drops zero-width characters, maps look-alike
 letters of other scripts to Latin, and reads digits and signs inside words as the
 letters they stand for. Lexicon entries are whole words and word beginnings of 4 to
-6 letters. They are learned from all distinct labelled rows by evidence alone, with the
-same three tests at every size: an entry occurs in ``MIN_DOCS`` toxic texts, its weight,
-the log odds of occurring in toxic against clean texts, is ``MIN_WEIGHT`` or more, and
-its counts have a probability under ``CHANCE`` if it occurred in both alike. Counts and
-weights are joined in Spark. Phrases of two words that hold an entry and speak for a
+6 letters. They are learned from a bounded sample of the labelled rows, ``LABELLED`` of each
+label, expected, taken by a hash of doc_id in the same way at every size: so few that the
+labels go to the texts, and texts are not shuffled to find them. An entry is admitted by
+evidence alone, with the same three tests at every size: it occurs in ``MIN_DOCS`` toxic
+texts, its weight, the log odds of occurring in toxic against clean texts, is
+``MIN_WEIGHT`` or more, and of all entries tested, ``CHANCE`` would be expected to have such
+counts if they occurred in both alike. Counts and weights are joined in Spark. Phrases of two words that hold an entry and speak for a
 clean text, by the same tests with the labels exchanged and log odds of
 ``EXCEPTION_WEIGHT``, are exceptions: an entry inside one does not count. Tasks read
 lexicon and exceptions from the shared folder.
@@ -44,7 +46,10 @@ from streakline.llm.words import slices
 
 MIN_DOCS = 3
 MIN_WEIGHT = 3.0
-CHANCE = 1e-4
+CHANCE = 0.5
+#: Labelled documents of each label that are learned from, about.
+LABELLED = 20_000
+_DRAWS = 1_000_003
 #: Different entries that a task counts before it hands them on.
 COUNTED = 200_000
 PREFIXES = (4, 5, 6)
@@ -217,9 +222,11 @@ def _entries_of(text: str | None) -> set[str]:
 
 
 def fit(labelled: DataFrame) -> ToxicityModel:
-    """A model from all distinct rows of ``labelled`` (text, toxic)."""
-    labelled = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    labelled = stage(labelled.where("toxic in (0, 1)").distinct(), "labelled")
+    """A model from all distinct rows of ``labelled`` (text, toxic), and, if the rows of a
+    label stand for others, their ``weight``."""
+    weight = F.max("weight") if "weight" in labelled.columns else F.lit(1.0)
+    labelled = labelled.withColumn("toxic", F.col("toxic").cast("int")).where("toxic in (0, 1)")
+    labelled = stage(labelled.groupBy("text", "toxic").agg(weight.alias("weight")), "labelled")
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(intercept=math.inf if 1 in sizes else -math.inf)
@@ -235,8 +242,10 @@ def fit(labelled: DataFrame) -> ToxicityModel:
 def _speaking(totals: DataFrame, own: tuple[Column, int], other: tuple[Column, int], least: float, name: str) -> str:
     """The path of a table (entry, weight) of the entries of ``totals`` that speak for the
     label of which ``own`` has the number of texts with the entry, and of all texts."""
-    weighed = totals.where(own[0] >= MIN_DOCS).withColumn("weight", log_odds(*own, *other))
-    found = weighed.where((F.col("weight") >= least) & (by_chance(*own, *other) <= CHANCE))
+    tested = stage(totals.where(own[0] >= MIN_DOCS), f"{name}-tested")
+    weighed = tested.withColumn("weight", log_odds(*own, *other))
+    by_chance_in_all = by_chance(*own, *other) * tested.count()
+    found = weighed.where((F.col("weight") >= least) & (by_chance_in_all <= CHANCE))
     path = shared_folder(totals.sparkSession, name)
     found.select("entry", "weight").write.parquet(path)
     return path
@@ -265,12 +274,12 @@ def _with_matcher(model: ToxicityModel, emit):
 
 
 def _calibrate(model: ToxicityModel, labelled: DataFrame) -> None:
-    scored = raw_scores(labelled, ["toxic"], model)
+    scored = raw_scores(labelled, ["toxic", "weight"], model)
     points = scored.groupBy(
         F.col("toxic").cast("double").alias("label"),
         F.log1p("total").alias("sum"),
         density(F.col("total"), F.col("n_words")).alias("density"),
-    ).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    ).agg(F.sum("weight").alias("weight"))
     points = VectorAssembler(inputCols=["sum", "density"], outputCol="features").transform(points)
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=50).fit(points)
     model.intercept = float(fitted.intercept)
@@ -313,9 +322,17 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the documents that labels are learned from."""
-    train = labels.where(remainder() != 0).select(F.col("doc_id").alias("label_id"), "toxic")
-    return docs.select("doc_id", "text").join(train, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    """(text, toxic, weight) of the documents that labels are learned from; a row stands for
+    ``weight`` labelled ones of its kind."""
+    known = labels.where((remainder() != 0) & F.col("toxic").cast("int").isin(0, 1))
+    known = known.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    counts = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    rates = {r["toxic"]: min(1.0, LABELLED / r["n"]) for r in counts} or {0: 1.0}
+    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("toxic")]
+    drawn = known.withColumn("weight", 1 / rate).where(F.pmod(F.xxhash64("label_id"), F.lit(_DRAWS)) < rate * _DRAWS)
+    rows = docs.select("doc_id", "text")
+    # about LABELLED numbers a label, whatever the number of labels
+    return rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "weight")
 
 
 def remainder() -> Column:

@@ -1,12 +1,17 @@
 """Operators without SQL, against plain Python."""
 
+import math
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_tables import CLASHING, odd_rows, write
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from streakline.llm import packing, token_orc, tokens, toxicity
@@ -56,9 +61,11 @@ def test_chosen_documents_of_token_files(spark, odd):
     assert "PushedFilters: [In(doc_id" in plan or "EqualTo(doc_id,8)" in plan
 
 
-def test_packed_pieces_hold_each_id_once(spark, odd):
+@pytest.mark.parametrize("lower", [False, True])
+def test_packed_pieces_hold_each_id_once(spark, odd, lower):
+    """``lower`` is how the query packs."""
     rows = packing.pack(
-        table(spark, odd, "documents"), public_tokenizers.path("word_bpe_49k.json")
+        table(spark, odd, "documents"), public_tokenizers.path("word_bpe_49k.json"), lower=lower
     ).collect()
     wanted = sorted(tuple(ids) for _, ids in encoded("word_bpe_49k.json", 1))
     sequences = defaultdict(list)
@@ -147,6 +154,90 @@ def test_phrases_of_clean_texts_are_exceptions(spark):
     assert found[0] == found[2] == 0 and found[1] > 3
 
 
+def expected_lexicon(texts):
+    """Entries and weights by plain counting of (text, toxic)."""
+    rows = sorted(set(texts), key=str)
+    n = Counter(toxic for _, toxic in rows)
+    counts = {0: Counter(), 1: Counter()}
+    for text, toxic in rows:
+        counts[toxic].update({e for w in set(toxicity.fold(text)) for e in toxicity.entries(w)})
+    tested = [e for e, k in counts[1].items() if k >= toxicity.MIN_DOCS]
+    share, found = n[1] / (n[0] + n[1]), {}
+    for e in tested:
+        k, other = counts[1][e], counts[0][e]
+        weight = math.log((k + 0.5) / (n[1] + 1)) - math.log((other + 0.5) / (n[0] + 1))
+        exponent = k * math.log(k / ((k + other) * share))
+        exponent += other * math.log(other / ((k + other) * (1 - share))) if other else 0
+        if weight >= toxicity.MIN_WEIGHT and math.exp(-exponent) * len(tested) <= toxicity.CHANCE:
+            found[e] = weight
+    return found
+
+
+@pytest.fixture(scope="module")
+def labelled_tables(tmp_path_factory):
+    rng = random.Random(7)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    insults = ["moronic", "vermin", "Ｖermin", "m0ronic"]
+    documents, labels = [], []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        text = rng.choices(words, k=12) + ([rng.choice(insults)] if toxic else [])
+        documents.append((i, " ".join(text), "en", "s", 0))
+        labels.append((i, 1, toxic))
+    documents += [(300, None, None, None, None), (301, "", None, None, None), (302, "vermin " * 200_000, None, None, None),
+                  (None, "vermin", None, None, None), documents[3], documents[3], (None, None, None, None, None)]
+    labels += [(300, 1, 0), (301, 1, 0), labels[5], labels[5], (None, 1, 1), (7, None, None), (999, 1, 1), (8, 0, 7)]
+    extra = (*CLASHING, "toxic", "label_id", "weight", "score", "entry")
+    folder = write(tmp_path_factory.mktemp("labelled"), {"documents": documents, "labels": labels}, ())
+    for name in ("documents", "labels"):
+        given = pq.read_table(f"{folder}/{name}.parquet")
+        for c in extra:
+            if c not in given.column_names:
+                given = given.append_column(c, pa.array([f"{c}{i}" for i in range(len(given))]))
+        pq.write_table(given, f"{folder}/{name}.parquet")
+    return folder, documents, labels
+
+
+def test_the_whole_query_against_plain_python(spark, labelled_tables, monkeypatch):
+    folder, documents, labels = labelled_tables
+    models = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows: models.append(fit(rows)) or models[0])
+    found = toxicity.op8_toxicity(spark, folder).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    texts = {i: t for i, t, *_ in documents if i is not None}
+    known = {(i, t) for i, _, t in labels if i in texts and not held(i) and t in (0, 1)}
+    expected = expected_lexicon([(texts[i], t) for i, t in known])
+    lexicon = toxicity._read(models[0].lexicon)
+    assert lexicon.keys() == expected.keys() and " vermin " in lexicon
+    assert all(lexicon[e] == pytest.approx(expected[e]) for e in lexicon)
+    matcher = toxicity.Matcher(models[0])
+    sizes = {}
+    for i, text, *_ in documents:
+        folded = toxicity.fold(text)
+        total, n = sum(matcher.hits(folded).values()), max(1, len(folded))
+        logit = models[0].intercept + models[0].per_sum * math.log1p(total) + models[0].per_density * math.log1p(100 * total / n)
+        sizes.setdefault(i, []).append(1 / (1 + math.exp(-logit)))
+    assert len(found) == len(documents)
+    for r in found:
+        assert any(r.score == pytest.approx(s) for s in sizes[r.doc_id])
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == held(r.doc_id)
+    predicted = {r.doc_id: r.predicted for r in found}
+    assert all(predicted[i] == int(i % 3 == 0) for i in range(300)) and predicted[302] == 1 and predicted[301] == 0
+
+
+def test_the_sample_is_bounded_for_each_label(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LABELLED", 100)
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 100 == 0).cast("int").alias("toxic"))
+    rows = toxicity.training_rows(docs, labels.union(labels))
+    found = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
+    held = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 5000, 100))
+    assert found[1].n == held and found[1].w == 1
+    assert 60 < found[0].n < 150 and found[0].w == pytest.approx((4000 - held) / 100, rel=0.1)
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     scores = toxicity.op8_toxicity(spark, folder)
