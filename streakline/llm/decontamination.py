@@ -136,14 +136,15 @@ def exact_matches(index: Index, phrases: DataFrame) -> DataFrame:
         .where(F.col("lists") == F.least("size", F.lit(RAREST)))
         .drop("lists")
     )
-    candidates = stage(lists, "candidates")
+    # lines and questions meet by a shuffle at every size: the lines move once, and what is
+    # asked grows with the corpus
     asked = (
-        candidates.join(bounded(phrases), "phrase_id")
+        stage(lists, "candidates")
+        .join(bounded(phrases), "phrase_id")
         .groupBy("uid")
         .agg(F.collect_list(F.struct("phrase_id", "start", "size", "terms")).alias("asked"))
     )
-    asked = F.broadcast(asked) if is_small(candidates) else asked
-    compared = index.documents.select("uid", "line").join(asked, "uid")
+    compared = index.documents.select("uid", "line").hint("merge").join(asked, "uid")
     same = let(
         F.split("line", " "),
         lambda w: F.filter("asked", lambda c: F.slice(w, c["start"] + 1, c["size"]) == c["terms"]),
