@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _noted: list[list[str]] = []
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a worker process for its next tasks; only the last one
+    is, so that the operators that a worker serves do not add up in its memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_kept() -> None:
+    """Free what another operator has kept."""
+    _kept.clear()
 
 
 @contextmanager

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import ASCII_LOWER, aliased, aliased_schema, restored, stage, table
+from streakline.llm.common import ASCII_LOWER, aliased, aliased_schema, forget_kept, restored, stage, table
 from streakline.llm.components import components
 from streakline.llm.words import Sequences, Words, slices
 
@@ -48,6 +48,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 24, 3
 REGISTERS = BANDS * ROWS
+#: Pairs whose likelihoods are worked out together.
+PAIRS_AT_ONCE = 1024
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: Members compared with one copy of a leader.
 MEMBERS = 256
@@ -113,6 +115,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_kept()
     for batch in slices(batches):
         found = Shingles(batch.column("text").to_pylist())
         sizes, sketches = [], []
@@ -134,6 +137,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_kept()
     for batch in slices(batches):
         nodes = batch.column("node").to_numpy()
         found = Shingles(batch.column("text").to_pylist())
@@ -149,9 +153,9 @@ def explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def discard_unlikely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose estimated similarity does not speak against a link."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    forget_kept()
+    parts = (b.slice(i, PAIRS_AT_ONCE) for b in batches for i in range(0, b.num_rows, PAIRS_AT_ONCE))
+    for batch in parts:
         a, b = (
             batch.column(c).flatten().to_numpy().reshape(-1, REGISTERS)
             for c in ("sketch_a", "sketch_b")
@@ -163,6 +167,7 @@ def discard_unlikely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows in which each leader's text comes before its members'."""
+    forget_kept()
     leader, own = None, np.zeros(0, np.uint64)
     for batch in slices(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from streakline.llm.common import kept
+
 BATCH_BYTES = 1 << 20
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 1_000_000
 UNCUT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
 MARKED = re.compile("[\u0300-\u036f]")
 CUT = re.compile(rb"(?<=[^ \t\n\r\x0b\x0c])(?= [^ \t\n\r\x0b\x0c])")
@@ -78,15 +80,9 @@ class Memo:
         return counts, self.flat[ragged(self.starts[at], counts)]
 
 
-_kept: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder_of(path: str, lower: bool = False) -> Encoder:
     """The worker process's encoder, with the vocabulary and the pieces of earlier tasks."""
-    if (path, lower) not in _kept:
-        _kept.clear()
-        _kept[path, lower] = Encoder(path, lower)
-    return _kept[path, lower]
+    return kept(("encoder", path, lower), lambda: Encoder(path, lower))
 
 
 class Encoder:

@@ -41,7 +41,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streakline.llm.common import aliased, aliased_schema, restored, shared_folder, stage, table
+from streakline.llm.common import aliased, aliased_schema, kept, restored, shared_folder, stage, table
 from streakline.llm.words import slices
 
 MIN_DOCS = 3
@@ -158,18 +158,11 @@ class Matcher:
         return best
 
 
-_made: dict[tuple[str | None, str | None], Matcher] = {}
-
-
 def _matcher(model: ToxicityModel) -> Matcher:
     """The model's matcher; a worker process keeps the last one it made from tables."""
     if model.weights or model.exceptions:
         return Matcher(model)
-    key = model.lexicon, model.excepted
-    if key not in _made:
-        _made.clear()
-        _made[key] = Matcher(model)
-    return _made[key]
+    return kept(("matcher", model.lexicon, model.excepted), lambda: Matcher(model))
 
 
 def _count(batches, emit):
