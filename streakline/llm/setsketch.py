@@ -14,13 +14,15 @@ probability 1 - (1 - 0.75 ** 3) ** 24, all but two in a million.
    other components: one pair a member. The likelihood of the two sketches, jointly
    with the known sizes, discards pairs far below the threshold; the rest are
    verified on their full sets. Components are found, and buckets that still hold
-   several get their next leader. Once the members outside each bucket's largest
-   component make no more than 200 pairs a node, these pairs are all checked: by their
-   registers within the join, which names a pair once, in the first bucket it shares.
+   several get their next leader, while pairs are many and rounds halve them.
+4. What is left of a bucket is dealt into blocks of bounded size. A task takes one or
+   two blocks, counts the common shingles of all its texts at once by products of
+   incidence matrices, and gives a spanning forest of the links: no row a pair.
    Every pair that shares a bucket is thus compared, or already connected.
 
 Verification streams members past their leader's set; leaders with many members are
-dealt out over salts. No step holds a group in one task or emits all its pairs.
+dealt out over salts. No step holds a group in one task or emits all its pairs. The
+comparisons of a bucket whose members stay unlinked still grow with its square.
 
 Null and empty texts have no shingles and stay alone; texts of fewer words than a
 shingle have their whole sequence as the only one; repeated rows are equal texts. A
@@ -53,6 +55,10 @@ PAIRS_AT_ONCE = 1024
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: Members compared with one copy of a leader.
 MEMBERS = 256
+#: Texts and shingles of a block, expected.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles whose occurrences make one incidence matrix.
+COLUMNS = 2048
 #: Standard errors below the threshold at which an estimate discards a pair.
 ERRORS = 5
 #: Similarity so many standard errors below the threshold, as sketches show it.
@@ -184,14 +190,59 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(links, pa.int64()))
 
 
-def alike(size_a: Column, size_b: Column, a: Column, b: Column) -> Column:
-    """Whether sizes and equal registers allow a link: what the likelihood would say at its
-    most generous, as an expression for joins."""
-    equal = F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements any two of the sets have in common."""
+    counts = np.zeros((len(sets), len(sets)), np.int32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, first, number, times = np.unique(
+        np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True
     )
-    sizes = 100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)
-    return sizes & (equal >= math.floor(REGISTERS * LEAST))
+    # columns in the order of the first set that has them, so that like sets meet in few matrices
+    order = np.lexsort((first, times < 2))
+    column = np.empty(len(order), np.int64)
+    column[order] = np.arange(len(order))
+    column = column[number]
+    by_column = np.argsort(column, kind="stable")
+    column, owner = column[by_column], owner[by_column]
+    for begin in range(0, int((times > 1).sum()), COLUMNS):
+        end = min(begin + COLUMNS, int((times > 1).sum()))
+        own = slice(*np.searchsorted(column, [begin, end]))
+        rows, row = np.unique(owner[own], return_inverse=True)
+        matrix = np.zeros((len(rows), end - begin), np.float32)
+        matrix[row, column[own] - begin] = 1
+        counts[np.ix_(rows, rows)] += (matrix @ matrix.T).astype(np.int32)
+    return counts
+
+
+def forest(links: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links, as (child, parent)."""
+    new = np.ones(len(links), bool)
+    for root in range(len(links)):
+        if not new[root]:
+            continue
+        new[root] = False
+        waiting = [root]
+        while waiting:
+            parent = waiting.pop()
+            children = np.flatnonzero(links[parent] & new)
+            new[children] = False
+            waiting.extend(children.tolist())
+            yield from ((child, parent) for child in children.tolist())
+
+
+def link_block(rows: pa.Table) -> pa.Table:
+    """Links that connect the texts of one or two blocks as all their links do."""
+    forget_kept()
+    nodes = rows.column("node").to_numpy()
+    sets = []
+    for batch in slices(rows.select(["text"]).combine_chunks().to_batches()):
+        found = Shingles(batch.column("text").to_pylist())
+        sets.extend(found.set_of(i) for i in range(batch.num_rows))
+    sizes = np.array([len(s) for s in sets])
+    both = common_shingles(sets).astype(np.int64)
+    links = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    edges = np.array(list(forest(links)), np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(nodes[edges[:, 0]]), "b": pa.array(nodes[edges[:, 1]])})
 
 
 class Linker:
@@ -225,18 +276,45 @@ class Linker:
         ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return stage(ordered.select("a", "b", "text").mapInArrow(verify, "a long, b long"), "links")
 
+    def links_within(self, unresolved: DataFrame) -> DataFrame:
+        """Links that connect the members of each bucket of ``unresolved`` (bucket, node,
+        component, largest) as all links between them do. Blocks of the largest component
+        are not compared with each other."""
+        minor = F.col("component") != F.col("largest.component")
+        sized = unresolved.join(self.nodes.select("node", "size"), "node").withColumn("minor", minor)
+        blocks = lambda own: F.greatest(
+            F.ceil(F.count(F.when(own, 1)) / BLOCK_TEXTS),
+            F.ceil(F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) / BLOCK_SHINGLES),
+        )
+        plan = sized.groupBy("bucket").agg(
+            blocks(F.lit(True)).alias("all"),
+            blocks(F.col("minor")).alias("minors"),
+            blocks(~F.col("minor")).alias("majors"),
+        )
+        spread = F.xxhash64("node")
+        block = (
+            F.when(F.col("all") == 1, 0)
+            .when(F.col("minor"), F.pmod(spread, "minors"))
+            .otherwise(F.col("minors") + F.pmod(spread, "majors"))
+        )
+        many = F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
+        partners = F.sequence(F.lit(0).cast("long"), F.when(F.col("all") == 1, 1).otherwise(many) - 1)
+        placed = sized.join(plan, "bucket").select(
+            "bucket", "node", block.cast("long").alias("block"), F.explode(partners).alias("partner")
+        )
+        tasks = placed.select(
+            "bucket", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "node"
+        )
+        texts = tasks.join(self.texts, "node").select("bucket", "i", "j", "node", "text")
+        return stage(
+            texts.groupBy("bucket", "i", "j").applyInArrow(link_block, "a long, b long"), "links"
+        )
+
 
 def band(sketch: Column, i: Column) -> Column:
     return F.slice(sketch, 1 + i * ROWS, ROWS)
 
 
-def first_bucket(a: Column, b: Column) -> Column:
-    """The bucket of the first band in which two sketches agree."""
-    bands = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    first = F.get(F.filter(bands, lambda i: band(a, i) == band(b, i)), 0)
-    return F.xxhash64(first, band(a, first))
-
-
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """(bucket, node) of buckets with at least two nodes."""
     keys = [F.xxhash64(F.lit(i), band(F.col("sketch"), F.lit(i))) for i in range(BANDS)]
@@ -264,7 +342,8 @@ def linkable(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def at_once(n_nodes: int) -> int:
-    """How many remaining pairs are checked without a further round of leaders."""
+    """How many remaining pairs are checked without a further round of leaders, even if the
+    last round has halved them."""
     return max(200 * n_nodes, 10_000)
 
 
@@ -289,6 +368,7 @@ def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     )
     n_nodes = nodes.count()
     found = nodes.sparkSession.createDataFrame([], "node long, component long")
+    before = math.inf
     for turn in itertools.count():
         rows = open_rows.join(found, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
@@ -314,24 +394,12 @@ def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         ).first()
         if not work["buckets"]:
             return found
-        last = turn > 0 and work["pairs"] <= at_once(n_nodes)
+        slow = turn > 1 and 2 * work["pairs"] > before
+        last = turn > 0 and (slow or work["pairs"] <= at_once(n_nodes))
+        before = work["pairs"]
         unresolved = rows.join(buckets.select("bucket", "largest"), "bucket")
         if last:
-            sketched = unresolved.join(linker.nodes.select("node", "size", "sketch"), "node")
-            minor = sketched.where("component <> largest.component").select(
-                "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "sketch")]
-            )
-            both = minor.join(
-                sketched,
-                (minor.bucket == sketched.bucket)
-                & (F.col("component") != F.col("x_component"))
-                & ((F.col("component") == F.col("largest.component")) | (F.col("x_node") < F.col("node")))
-                & alike(F.col("size"), F.col("x_size"), F.col("sketch"), F.col("x_sketch"))
-                & (first_bucket(F.col("sketch"), F.col("x_sketch")) == minor.bucket),
-            )
-            pairs = both.select(
-                F.greatest("x_node", "node").alias("a"), F.least("x_node", "node").alias("b")
-            ).distinct()
+            links = linker.links_within(unresolved)
         else:
             leaders = (
                 unresolved.where("not led")
@@ -339,13 +407,12 @@ def link_nodes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 .agg(F.max(F.struct("degree", (-F.col("node")).alias("node"), "component")).alias("l"))
                 .select("bucket", (-F.col("l.node")).alias("a"), F.col("l.component").alias("a_component"))
             )
-            pairs = (
+            links = linker.links(
                 unresolved.join(leaders, "bucket")
                 .where("component <> a_component")
                 .select("a", F.col("node").alias("b"))
                 .distinct()
             )
-        links = linker.links(pairs)
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = found if links.isEmpty() else components(known.union(links))
         if last:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -195,3 +196,55 @@ def test_pipeline_stages_against_sql(spark, tmp_path):
             assert len(after) == len(clean)
         elif name == "packing":
             assert after.groupby("doc_id", dropna=False).ngroups == before.doc_id.nunique(dropna=False)
+
+
+def test_unlinked_copies_end_in_blocks(spark, tmp_path, monkeypatch):
+    """400 copies edited apart, a few linked ones among them: at most two rounds of leaders,
+    whatever the limit of pairs, then blocks that give links only."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    documents = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(120), 4):
+            own[at] = f"e{i % 390}"
+        documents.append((i, " ".join(own), "en", "s", 0))
+    documents += [(400 + i, documents[i][1] + " more", "en", "s", 0) for i in range(0, 400, 40)]
+    folder = write(tmp_path, {"documents": documents})
+    columns, expected = duck(folder, setsketch.SQL)
+    rounds, links, within = [], setsketch.Linker.links, setsketch.Linker.links_within
+    emitted = []
+
+    def blocks(self, unresolved):
+        found = within(self, unresolved)
+        emitted.append((unresolved.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(setsketch, "at_once", lambda n: 0)
+    monkeypatch.setattr(setsketch, "BLOCK_TEXTS", 64)
+    monkeypatch.setattr(
+        setsketch.Linker, "links", lambda self, pairs: (rounds.append(1), links(self, pairs))[1]
+    )
+    monkeypatch.setattr(setsketch.Linker, "links_within", blocks)
+    found = setsketch.op6_setsketch(spark, folder)
+    assert plain(found.select(*columns).collect()) == plain(expected)
+    assert len(rounds) <= 2
+    assert emitted and emitted[0][1] <= emitted[0][0]
+
+
+def test_blocks_count_common_shingles_and_keep_components():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n, dtype=np.uint64)) for n in rng.integers(0, 90, 40)]
+    sets += [np.arange(i, i + 3000, dtype=np.uint64) for i in (0, 400, 2990)]
+    both = setsketch.common_shingles(sets)
+    assert all(
+        both[i, j] == len(np.intersect1d(x, y))
+        for i, x in enumerate(sets)
+        for j, y in enumerate(sets)
+        if i != j
+    )
+    links = np.triu(rng.random((60, 60)) < 0.02, 1)
+    links |= links.T
+    edges = list(setsketch.forest(links))
+    reach = np.linalg.matrix_power((links | np.eye(60, dtype=bool)).astype(float), 60) > 0
+    assert len(edges) == 60 - len({tuple(r) for r in reach}) and all(links[c, p] for c, p in edges)
