@@ -7,13 +7,14 @@ import sys
 from collections.abc import Iterable
 from datetime import date
 from hashlib import sha256
+from typing import Any
 
 from pyspark.sql import SparkSession
 
 from streakline.plans.catalog import analyses
 from streakline.plans.tables import CampaignTables, ExportTables
 from streakline.plans.workspace import Workspace, shared_root
-from streakline.sources import readers, schemas
+from streakline.sources import plan, readers, schemas
 from streakline.sources.cleaning import null_scrub
 from streakline.spec import CampaignSpec, PeriodSpec, numbered_tiers
 
@@ -27,9 +28,13 @@ def read_exports(
     fmt: str = "csv",
     multi_line: bool = False,
     space: Workspace | None = None,
+    **own: Any,
 ) -> ExportTables:
     """Tables over the exports ``log``, ``coupons``, ``transactions`` and ``customers``.
 
+    ``own`` holds what ``ExportTables`` takes of the campaign's own plan: reward_plan,
+    check_days and margin_days.
+
     With a workspace, each export is parsed once and kept there with its types, the dated
     ones by day; without one, each report parses what it reads.
     """
@@ -58,6 +63,7 @@ def read_exports(
         id_prefix=id_prefix,
         space=space,
         exports=exports,
+        **own,
     )
 
 
@@ -90,7 +96,11 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}", type=day, required=True)
     parser.add_argument("--format", default="csv")
     parser.add_argument("--id-prefix", default="")
-    parser.add_argument("--reward-code", required=True, help="text before the tier number in codes")
+    parser.add_argument("--reward-code", required=True, help="text that all reward codes hold")
+    parser.add_argument("--tiers", help="CSV of code, tier, value; else the standard tiers, numbered")
+    parser.add_argument("--rewards", help="CSV of date, type, code and amounts; else the standard calendar")
+    parser.add_argument("--check-days", type=day, nargs="*", default=[], help="days whose hours are checked")
+    parser.add_argument("--margin-days", type=int, default=13, help="days of orders around the campaign")
     parser.add_argument("--timezone", default="Europe/Amsterdam")
     parser.add_argument("--only", nargs="*", default=[])
     parser.add_argument("--multi-line", action="store_true", help="quoted values hold line breaks")
@@ -98,23 +108,33 @@ def main(argv: list[str] | None = None) -> None:
     argv = sys.argv[1:] if argv is None else argv
     args = parser.parse_args(argv)
 
+    spark = SparkSession.builder.appName("streakline").getOrCreate()
     campaign = CampaignSpec(
         start=args.start,
         end=args.end,
         timezone=args.timezone,
-        tiers=numbered_tiers(args.reward_code),
+        tiers=plan.read_tiers(spark, args.tiers) if args.tiers else numbered_tiers(args.reward_code),
         code_marker=args.reward_code,
     )
     periods = PeriodSpec(args.pre_start, args.start, args.end, args.post_end)
     paths = {name: getattr(args, name) for name in ("log", "coupons", "transactions", "customers")}
-    spark = SparkSession.builder.appName("streakline").getOrCreate()
     root = shared_root(spark, f"{args.out.rstrip('/')}/_shared")
     run = run_name(a for a in argv if a != "--fresh")
     if args.fresh:
         Workspace(spark, root, run).close()
     space = Workspace(spark, root, run)
     tables = read_exports(
-        spark, paths, campaign, periods, args.id_prefix, args.format, args.multi_line, space
+        spark,
+        paths,
+        campaign,
+        periods,
+        args.id_prefix,
+        args.format,
+        args.multi_line,
+        space,
+        reward_plan=plan.read_reward_days(spark, args.rewards) if args.rewards else (),
+        check_days=tuple(args.check_days),
+        margin_days=args.margin_days,
     )
     write_reports(tables, args.out, args.only, space)
     space.close()
