@@ -156,16 +156,27 @@ def exact_matches(index: Index, phrases: DataFrame) -> DataFrame:
 
 def proximity_matches(index: Index, phrases: DataFrame, slop: int) -> DataFrame:
     """(phrase_id, uid, at): the rarest term of a phrase stands at ``at`` and all its other
-    terms stand, in any order, within the phrase's length plus ``slop`` words of it."""
+    terms stand, in any order, within the phrase's length plus ``slop`` words of it.
+
+    Positions are dealt into stretches of a document as long as the widest reach, and a
+    term is looked for in the stretch of the rarest one and in its two neighbours, so a
+    document of any length costs what stands near the rarest terms.
+    """
     ranked = stage(ranked_terms(index, phrases.select("phrase_id", "terms").distinct()), "terms")
+    reach = F.lit((ranked.agg(F.max("size")).first()[0] or 1) + max(slop, 0))
+    stretch = F.floor(F.col("pos") / reach)
     rarest = bounded(ranked.where("rank = 1").select("phrase_id", "term", "size"))
     anchors = index.postings.join(rarest, "term").select(
-        "phrase_id", "uid", F.col("pos").alias("at"), "size"
+        "phrase_id", "uid", F.col("pos").alias("at"), "size", stretch.alias("own")
     )
     needed = ranked.select("phrase_id", "term").distinct()
     counts = needed.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("needed"))
-    wanted = anchors.join(bounded(needed), "phrase_id")
-    near = wanted.join(index.postings, ["uid", "term"]).where(
+    around = F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])).alias("stretch")
+    wanted = anchors.join(bounded(needed), "phrase_id").select(
+        "phrase_id", "uid", "at", "size", "term", around
+    )
+    places = index.postings.select("uid", "term", "pos", stretch.alias("stretch"))
+    near = wanted.join(places, ["uid", "term", "stretch"]).where(
         F.abs(F.col("pos") - F.col("at")) < F.col("size") + slop
     )
     return (

@@ -248,3 +248,30 @@ def test_blocks_count_common_shingles_and_keep_components():
     edges = list(setsketch.forest(links))
     reach = np.linalg.matrix_power((links | np.eye(60, dtype=bool)).astype(float), 60) > 0
     assert len(edges) == 60 - len({tuple(r) for r in reach}) and all(links[c, p] for c, p in edges)
+
+
+def test_proximity_in_long_texts(spark):
+    """Against plain Python, with matches on both sides of the stretches' edges."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=n)) for n in (0, 3, 40, 900, 2500)]
+    items = [(1, "a b h"), (2, "c a b d h"), (3, "g")]
+    phrases = decontamination.phrases_of(spark.createDataFrame(items, "item_id LONG, text STRING"))
+    docs = frame(spark, texts)
+    index = decontamination.build_index(
+        docs, phrases.select(F.explode("terms").alias("term")), ["doc_id"]
+    )
+    times = {w: sum(t.split().count(w) for t in texts) for w in "abcdefgh"}
+    expected = set()
+    for item, text in items:
+        terms = text.split()
+        rarest = min(terms, key=lambda w: (times[w], terms.index(w)))
+        for doc_id, own in enumerate(t.split() for t in texts):
+            for at in [i for i, w in enumerate(own) if w == rarest]:
+                reach = len(terms) + 1
+                around = own[max(0, at - reach + 1) : at + reach]
+                if set(terms) <= set(around):
+                    expected.add((item, doc_id, at))
+    near = decontamination.proximity_matches(index, phrases, 1)
+    found = near.join(index.documents, "uid").join(phrases.select("phrase_id", "item_id"), "phrase_id")
+    assert sorted((r.item_id, r.kept_0, r["at"]) for r in found.collect()) == sorted(expected)
+    assert len(expected) > 50
