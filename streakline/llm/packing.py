@@ -8,10 +8,11 @@ cut, and its rest goes to the tier of its new length. Windows are therefore full
 What the end of a partition leaves over is laid end to end into full windows of
 ever shorter tiers; under 256 ids a partition remain in one padded window.
 
-Step groups hold the same number of ids each: ``STEP_TOKENS`` / tier windows of one
-tier. Documents are packed in blocks of ``BLOCK_TOKENS`` ids as they are read, so
-there is no shuffle and memory is bounded by the block; a document longer than that
-is one block of its own.
+Step groups hold the same number of places each: ``STEP_TOKENS`` / tier windows of one
+tier, numbered over all partitions from a table of their counts, so only the last group
+of a tier is short. A padded window counts as one of 2048. Documents are packed in blocks
+of ``BLOCK_TOKENS`` ids as they are read, so documents are not shuffled and memory is
+bounded by the block; a document longer than that is one block of its own.
 
 A null text has only the end id; repeated rows are packed each; an empty table gives
 an empty result.
@@ -28,19 +29,22 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streakline.llm.common import table
+from streakline.llm.common import stage, table
 from streakline.llm.tokens import encoder_of, text_groups
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
 BLOCK_TOKENS = 1 << 19
 STEP_TOKENS = 16 * TIERS[-1]
+#: Sequence numbers of a partition begin at its number times two to this power.
+SHARD_BITS = 36
+#: ``turn`` numbers the windows of a tier within a partition.
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
-    "tier int, step_group long, ids array<int>, ids_crc32 long"
+    "tier int, turn long, ids array<int>, ids_crc32 long"
 )
 
 #: (document, start, length)
@@ -120,7 +124,7 @@ class _Block:
     """Documents whose ids are at hand, and the windows made of them."""
 
     def __init__(self, shard: int):
-        self.base, self.sequences, self.groups = shard << 36, 0, dict.fromkeys(TIERS, 0)
+        self.base, self.sequences, self.turns = shard << SHARD_BITS, 0, dict.fromkeys(TIERS, 0)
         self.docs: dict[int, tuple[int | None, np.ndarray]] = {}
         self.packer, self.added = Packer(), 0
 
@@ -128,19 +132,18 @@ class _Block:
         columns: list[list] = [[] for _ in range(9)]
         chunks: list[np.ndarray] = []
         for tier, pieces in windows:
-            group = self.groups[tier] // (STEP_TOKENS // tier)
-            self.groups[tier] += 1
             offset = 0
             for document, start, n in pieces:
                 doc_id, ids = self.docs[document]
                 part = ids[start : start + n]
                 chunks.append(part)
                 row = (doc_id, start, n, len(ids), self.base + self.sequences, offset, tier)
-                row += (self.base + group * len(TIERS) + TIERS.index(tier), zlib.crc32(part))
+                row += (self.turns[tier], zlib.crc32(part))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
                 offset += n
             self.sequences += 1
+            self.turns[tier] += 1
         if chunks:
             offsets = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, np.concatenate(chunks).astype(np.int32))
@@ -179,8 +182,8 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end: int, lower:
     yield from block.emit(block.packer.rest())
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = END, lower: bool = False) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with their window, tier, step group and ids.
+def pieces(docs: DataFrame, tokenizer: str, end: int = END, lower: bool = False) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with their window, tier, turn and ids.
 
     ``lower`` tells that the tokenizer reads letters of both cases alike.
     """
@@ -189,8 +192,36 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, lower: bool = False) -
     ).mapInArrow(lambda b: pack_batches(b, tokenizer, end, lower), SCHEMA)
 
 
+def in_step_groups(found: DataFrame) -> DataFrame:
+    """``pieces`` with their step group instead of their turn. The pieces are written once;
+    what is joined to them has a row a partition and tier."""
+    staged = stage(found, "pieces")
+    shard = F.shiftright("sequence_id", SHARD_BITS).alias("shard")
+    counts = staged.where("offset = 0").groupBy(shard, "tier").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(
+        "shard", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    number = F.col("before") + F.col("turn")
+    group = F.floor(number * F.col("tier") / STEP_TOKENS).cast("long")
+    tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")) - 1
+    own = [c for c in staged.columns if c not in ("turn", "ids", "ids_crc32")]
+    rest = [c for c in staged.columns if c in ("ids", "ids_crc32")]
+    return (
+        staged.select("*", shard)
+        .join(firsts, ["shard", "tier"])
+        .select(*own, (group * len(TIERS) + tier).alias("step_group"), *rest)
+    )
+
+
+def pack(docs: DataFrame, tokenizer: str, end: int = END, lower: bool = False) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with their window, tier, step group and ids."""
+    return in_step_groups(pieces(docs, tokenizer, end, lower))
+
+
 def packed_digest(docs: DataFrame) -> DataFrame:
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), lower=True).drop("ids")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return in_step_groups(pieces(docs, path, lower=True).drop("ids"))
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,6 +92,25 @@ def test_packed_pieces_hold_each_id_once(spark, odd, lower):
         assert ids == expected[doc_id]
 
 
+def test_step_groups_run_over_all_partitions(spark):
+    """50 small partitions: at most the last group of a tier is short, and groups of
+    different tiers have different numbers."""
+    docs = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('some words of text ', int(1 + id % 170))").alias("text")
+    )
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(docs.repartition(50), path, lower=True).collect()
+    windows = defaultdict(set)
+    for row in rows:
+        windows[row.tier, row.step_group].add(row.sequence_id)
+    assert len({group for _, group in windows}) == len(windows)
+    for tier in packing.TIERS:
+        sizes = [len(v) for (t, _), v in sorted(windows.items()) if t == tier]
+        assert all(n == packing.STEP_TOKENS // tier for n in sizes[:-1])
+    assert {t for t, _ in windows} == set(packing.TIERS)
+    assert packing.pack(docs.limit(0), path, lower=True).count() == 0
+
+
 @pytest.mark.parametrize("pair", ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "E\u0301"])
 def test_ids_of_capitals_with_combining_marks(pair):
     path = public_tokenizers.path("word_bpe_49k.json")
